@@ -18,6 +18,7 @@ column named as an output column is replaced.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
@@ -54,7 +55,7 @@ class Transducer:
                 node = self.child[key]
             self.token_at[node] = rank
         self.inner = inner
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -85,13 +86,14 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def _follows(self, last: int, token: int) -> bool:
-        found = self._pairs.get((last, token))
+        key = last * len(self.bytes_of) + token
+        found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) > 300_000:
                 self._pairs.clear()
             whole = self.bytes_of[token]
             found = self.merged(whole) == [token] if last < 0 else self._follows(-1, token) and self.merged(self.bytes_of[last] + whole, len(self.bytes_of[last])) == [last, token]
-            self._pairs[last, token] = found
+            self._pairs[key] = found
         return found
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple]:
@@ -211,10 +213,10 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Codec:
-    def __init__(self, rank_data: bytes, pattern: str, max_pieces: int = 500_000):
+    def __init__(self, rank_data: bytes, pattern: str, max_pieces: int = 300_000):
         ranks = read_ranks(rank_data)
         self.ranks, self.max_pieces = ranks, max_pieces
-        self.transducer, self.machine = Transducer(ranks), Utf8Machine()
+        self.machine = Utf8Machine()
         white = re.sub(r"\\(s)(?![^\[]*\])", f"[{WHITE}]".replace("\\", "\\\\"), pattern)
         self.split = regex.compile(white.replace(r"\S", f"[^{WHITE}]").replace(r"\s", WHITE)).findall
         self.pieces: dict[str, bytes] = {}
@@ -224,6 +226,10 @@ class Codec:
         self.whole = np.array([self.machine.run(0, token) == 0 for token in self.token_bytes], bool)
         self._after: dict[tuple[int, int], int] = {}
 
+    @functools.cached_property
+    def transducer(self) -> Transducer:
+        return Transducer(self.ranks)
+
     def after(self, state: int, token: int) -> int:
         found = self._after.get((state, token))
         if found is None:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe
+from tessella.llm import bpe, language, toxicity
 from tessella.llm.scratch import table
 
 
@@ -14,8 +14,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _held_out(folds: int, fold: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _held_out(4, 2))
+    known = language.learn(docs.where("not held_out"))
+    return language.identify(docs.drop("lang"), known).drop("lang_out")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _held_out(5, 0))
+    labels = table(spark, sf_dir, "labels").where(~_held_out(5, 0))
+    return toxicity.fit(docs, labels).score(docs)
+
+
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {"op1_byte_bpe": op1_byte_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
