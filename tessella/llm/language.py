@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 BLOCK = 4_096
 DICTIONARY = 64_000
 SHORT = 400
+LEAD = 256
 OUT = T.StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean").add("lang_out", "string")
 
 
@@ -37,10 +38,14 @@ def plain(text: str) -> bytes:
 
 
 class Coder:
-    """Two compressors for each language: a fast one, and a thorough one for texts under SHORT bytes, whose sizes are close."""
+    """Two compressors for each language: a fast one, and a thorough one for texts under SHORT bytes, whose sizes are close.
+
+    A block that gains too little is stored as it is, which would make short texts equal in all languages. So a short text comes
+    after the dictionary's last LEAD bytes: they cost one copy in each language and make the block one that is compressed."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = 5, short_level: int = 19):
         self.langs = sorted(dictionaries)
+        self.leads = [dictionaries[lang][-LEAD:] + b" " for lang in self.langs]
         self.fast, self.thorough = ([self._compressor(dictionaries[lang], n, m) for lang in self.langs] for n, m in ((level, 4), (short_level, 3)))
 
     @staticmethod
@@ -53,7 +58,9 @@ class Coder:
     def sizes(self, text: str) -> list[int]:
         data = plain(text)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in (self.thorough if len(data) < SHORT else self.fast)]
+        if len(data) >= SHORT:
+            return [sum(len(c.compress(b)) for b in blocks) for c in self.fast]
+        return [len(c.compress(lead + data)) for c, lead in zip(self.thorough, self.leads)]
 
     def judge(self, text: str | None, margin: float) -> tuple[str, float, bool, str]:
         if not text or not self.langs or not any(map(str.isalpha, text)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, language, toxicity
+from tessella.llm import bpe, language, quality, toxicity
 from tessella.llm.scratch import table
 
 
@@ -18,6 +18,10 @@ def _held_out(folds: int, fold: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _held_out(4, 2))
     known = language.learn(docs.where("not held_out"))
@@ -31,8 +35,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_byte_bpe": op1_byte_bpe, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality.ORACLE}
