@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontaminate, language, line_dedup, near_dup, quality, toxicity
+from tessella.llm import bpe, decontaminate, language, line_dedup, lm_score, near_dup, quality, toxicity
 from tessella.llm.scratch import table
 
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80).withColumnRenamed("id", "doc_id")
 
@@ -47,7 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op5_near_dup": op5_near_dup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
