@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontaminate, language, line_dedup, lm_score, near_dup, quality, toxicity
+from tessella.llm import bpe, decontaminate, kneser_ney, language, line_dedup, lm_score, near_dup, quality, toxicity
 from tessella.llm.scratch import table
 
 
@@ -30,6 +30,11 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80).withColumnRenamed("id", "doc_id")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,7 +56,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
