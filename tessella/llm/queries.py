@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontaminate, kneser_ney, language, line_dedup, lm_score, near_dup, quality, toxicity
+from tessella.llm import bpe, decontaminate, kneser_ney, language, line_dedup, lm_score, near_dup, quality, toxicity, warc
 from tessella.llm.scratch import table
 
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -56,8 +60,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {"op2_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
