@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -60,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
