@@ -7,7 +7,11 @@ windows are epoch seconds as doubles, so years of any length fit. Precisions of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Seconds of the precisions below a day, years of those above a month.
 SECONDS = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1.0, "min": 60.0, "h": 3600.0}
@@ -67,68 +71,66 @@ def _decimals(v: Column, n: Column) -> Column:
     return out
 
 
-def days_from_civil(y: Column, m: Column, d: Column) -> Column:
-    """Days from 1970-01-01 of a proleptic Gregorian date, in whole numbers of any size (years counted from March)."""
-    y = y - F.when(m <= 2, 1).otherwise(0)
-    era = F.floor(y / 400)
-    yoe = y - era * 400
-    doy = F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1
-    return era * 146097 + yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy - 719468
-
-
-_TIME = r"^([+-]?\d{4,})(?:-(\d{2}))?(?:-(\d{2}))?(?:[T ](\d{2}))?(?::(\d{2}))?(?::(\d{2}(?:\.\d+)?))?Z?$"
-
-
-def time_parts(raw: Column) -> dict[str, Column]:
-    part = lambda i: F.nullif(F.regexp_extract(raw, _TIME, i), F.lit(""))
-    return {"y": part(1).cast("bigint"), "m": part(2).cast("bigint"), "d": part(3).cast("bigint"), "h": part(4).cast("bigint"), "min": part(5).cast("bigint"), "s": part(6).cast("double")}
+_TIME = re.compile(r"([+-]?\d{4,})(?:-(\d{2}))?(?:-(\d{2}))?(?:[T ](\d{2}))?(?::(\d{2}))?(?::(\d{2}(?:\.\d+)?))?Z?")
+_MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+
+
+def _days(year: int, month: int, day: int = 1) -> int:
+    """Days from 1970-01-01 in the proleptic Gregorian calendar, for years of any size."""
+    past = year - 1
+    leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+    return past * 365 + past // 4 - past // 100 + past // 400 + sum(_MONTHS[: month - 1]) + (leap and month > 2) + day - 719_163
+
+
+@functools.lru_cache(100_000)
+def _time(raw: str | None, precision: str | None) -> tuple:
+    """error, seconds of the start as written, lo (start of the step that holds it), hi (start of the next), hi_incl."""
+    found = _TIME.fullmatch((raw or "").strip())
+    fail = lambda error: (error, None, None, None, None)
+    if not found:
+        return fail("not a time")
+    if precision not in PRECISIONS:
+        return fail("bad precision")
+    rank, given = PRECISIONS.index(precision), dict(zip(("m", "d", "h", "min", "s"), found.groups()[1:]))
+    year, value = int(found[1]), {k: float(v) if k == "s" else int(v) for k, v in given.items() if v is not None}
+    month, day = value.get("m") or 1, value.get("d") or 1
+    leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+    if month > 12 or day > _MONTHS[month - 1] + (leap and month == 2) or value.get("h", 0) > 23 or value.get("min", 0) > 59 or value.get("s", 0) >= 60:
+        return fail("out of range")
+    if any(rank <= PRECISIONS.index(k) and k not in value for k in given):
+        return fail("too few parts")
+    if any(rank > PRECISIONS.index(k) and value.get(k, 0) > (k in "md") for k in given):
+        return fail("too many parts")
+    seconds = float(_days(year, month, day) * 86_400 + value.get("h", 0) * 3_600 + value.get("min", 0) * 60) + value.get("s", 0.0)
+    if precision in YEARS:
+        n = YEARS[precision]
+        lo, hi = (float(_days(y, 1) * 86_400) for y in (year // n * n, year // n * n + n))
+    elif precision == "m":
+        lo, hi = (float(_days(year + m // 12, m % 12 + 1) * 86_400) for m in (month - 1, month))
+    else:
+        lo, hi = seconds, seconds + (86_400.0 if precision == "d" else SECONDS[precision])
+    hi = max(hi, lo + abs(lo) * 2.0**-52)
+    return None, seconds, lo, hi, lo >= hi
+
+
+_FACTS = T.StructType().add("error", "string").add("seconds", "double").add("lo", "double").add("hi", "double").add("hi_incl", "boolean")
+
+
+@F.pandas_udf(_FACTS)
+def time_facts(raw: pd.Series, precision: pd.Series) -> pd.DataFrame:
+    """Calendar arithmetic on years of any size; as column expressions it outgrows code generation. Equal texts are worked out once."""
+    return pd.DataFrame([_time(r, p) for r, p in zip(raw, precision)], columns=["error", "seconds", "lo", "hi", "hi_incl"])
 
 
 def parse_times(df: DataFrame, raw: str = "raw", precision: str = "time_precision") -> DataFrame:
     """df with seconds (of the start) and error. Parts finer than the precision must be absent, 00 or the first day or month."""
-    parts = time_parts(F.trim(F.col(raw)))
-    df = df.withColumns({f"__{k}": v for k, v in parts.items()} | {"__rank": F.array_position(F.array(*[F.lit(x) for x in PRECISIONS]), F.col(precision))})
-    p, rank = {k: F.col(f"__{k}") for k in parts}, F.col("__rank")
-    month, day = F.coalesce(F.nullif(p["m"], F.lit(0)), F.lit(1)), F.coalesce(F.nullif(p["d"], F.lit(0)), F.lit(1))
-    at = lambda name: PRECISIONS.index(name) + 1
-    finer = ((rank > at("m")) & (month > 1)) | ((rank > at("d")) & (day > 1)) | ((rank > at("h")) & (F.coalesce(p["h"], F.lit(0)) > 0)) | ((rank > at("min")) & (F.coalesce(p["min"], F.lit(0)) > 0)) | ((rank > at("s")) & (F.coalesce(p["s"], F.lit(0.0)) > 0))
-    coarse = ((rank <= at("m")) & p["m"].isNull()) | ((rank <= at("d")) & p["d"].isNull()) | ((rank <= at("h")) & p["h"].isNull()) | ((rank <= at("min")) & p["min"].isNull()) | ((rank <= at("s")) & p["s"].isNull())
-    leap = ((p["y"] % 4 == 0) & (p["y"] % 100 != 0)) | (p["y"] % 400 == 0)
-    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    error = (
-        F.when(p["y"].isNull(), "not a time")
-        .when(rank.isNull() | (rank == 0), "bad precision")
-        .when(~month.between(1, 12) | (day > last) | (F.coalesce(p["h"], F.lit(0)) > 23) | (F.coalesce(p["min"], F.lit(0)) > 59) | (F.coalesce(p["s"], F.lit(0.0)) >= 60), "out of range")
-        .when(coarse, "too few parts")
-        .when(finer, "too many parts")
-    )
-    seconds = (days_from_civil(p["y"], month, day) * 86400).cast("double") + F.coalesce(p["h"], F.lit(0)) * 3600 + F.coalesce(p["min"], F.lit(0)) * 60 + F.coalesce(p["s"], F.lit(0.0))
-    out = df.withColumns({"error": error, "__seconds": seconds}).withColumn("seconds", F.when(F.col("error").isNull(), F.col("__seconds")))
-    return out.drop("__seconds", "__rank", *[f"__{k}" for k in parts])
+    return df.withColumn("__f", time_facts(F.col(raw), F.col(precision))).withColumns({"error": F.col("__f.error"), "seconds": F.col("__f.seconds")}).drop("__f")
 
 
 def time_windows(df: DataFrame, raw: str = "raw", precision: str = "time_precision") -> DataFrame:
     """df with lo (start), hi (start of the next step) and hi_incl; widened by one unit in the last place where doubles need it."""
-    parsed = parse_times(df, raw, precision)
-    parts = time_parts(F.trim(F.col(raw)))
-    parsed = parsed.withColumns({f"__{k}": parts[k] for k in ("y", "m")})
-    p, at = {k: F.col(f"__{k}") for k in ("y", "m")}, F.col(precision)
-    month = F.coalesce(F.nullif(p["m"], F.lit(0)), F.lit(1))
-    step = F.lit(None).cast("double")
-    for name, s in SECONDS.items():
-        step = F.when(at == name, F.lit(s)).otherwise(step)
-    step = F.when(at == "d", F.lit(86400.0)).otherwise(step)
-    years = F.lit(None).cast("bigint")
-    for name, n in YEARS.items():
-        years = F.when(at == name, F.lit(n).cast("bigint")).otherwise(years)
-    start = F.floor(p["y"] / years) * years
-    first = lambda y: (days_from_civil(y, F.lit(1), F.lit(1)) * 86400).cast("double")
-    next_month = days_from_civil(p["y"] + F.when(month == 12, 1).otherwise(0), F.when(month == 12, 1).otherwise(month + 1), F.lit(1))
-    lo = F.when(years.isNotNull(), first(start)).otherwise(F.col("seconds"))
-    hi = F.when(years.isNotNull(), first(start + years)).when(at == "m", (next_month * 86400).cast("double")).otherwise(F.col("seconds") + step)
-    out = parsed.withColumns({"lo": F.when(F.col("error").isNull(), lo), "hi": F.when(F.col("error").isNull(), hi)}).drop("__y", "__m")
-    wide = F.greatest(F.col("hi"), F.col("lo") + F.abs("lo") * 2.0**-52)
-    return out.withColumn("hi", wide).withColumn("hi_incl", F.col("lo") >= F.col("hi"))
+    out = df.withColumn("__f", time_facts(F.col(raw), F.col(precision)))
+    return out.withColumns({c: F.col(f"__f.{c}") for c in ("error", "seconds", "lo", "hi", "hi_incl")}).drop("__f")
 
 
 def with_civil(df: DataFrame, seconds: str) -> DataFrame:
