@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import q_claims, q_search
+from tessella.plans import q_claims, q_search, q_store
 
-MODULES = [q_claims, q_search]
+MODULES = [q_claims, q_search, q_store]
 
 
 def entry(spark: SparkSession) -> DataFrame:

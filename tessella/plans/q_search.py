@@ -211,7 +211,7 @@ def narrow_facets(s, d):
     return A.narrow_facets(A.ref_values(order_records(s, d), "CUSTOMER").select("to", "docs"), names, "1", ancestors=anc)
 
 
-@query("SELECT p_brand AS prop, p_type AS kind, count(*)::BIGINT AS docs, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_brand)::INT AS position FROM part GROUP BY ALL QUALIFY position <= 5")
+@query("SELECT p_brand AS prop, p_type AS kind, count(*)::BIGINT AS docs, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_brand)::INT AS position FROM part GROUP BY p_brand, p_type QUALIFY position <= 5")
 def rank_facets(s, d):
     return A.rank_facets(table(s, d, "part").groupBy(F.col("p_brand").alias("prop"), F.col("p_type").alias("kind")).agg(F.count("*").alias("docs")), ["kind"], 5)
 
