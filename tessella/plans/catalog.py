@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.operators import facets as A, filters as P
 from tessella.plans.q_search import order_records, orders
-from tessella.plans import q_claims, q_search, q_store, q_text
+from tessella.plans import q_claims, q_io, q_search, q_store, q_text
 
-MODULES = [q_claims, q_search, q_store, q_text]
+MODULES = [q_claims, q_io, q_search, q_store, q_text]
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
