@@ -5,7 +5,8 @@ exactly if each token survives the merging of its own bytes, and each adjacent p
 So the encoder is a non-deterministic transducer whose states are (last token, node of the token trie); it has one accepting
 path for each byte string. ``Transducer`` determinises it on demand: a state is the set of the paths still possible, each with
 the tokens it holds back; what all paths agree on is emitted. A path dies when no token continues, so output waits for no more
-bytes than the longest token has. States and pieces are memoised in tables of bounded size, emptied when full.
+bytes than the longest token has. The table of states has a bounded size: states met first (the common
+ones) stay, and pieces that need others are searched without it. Encoded pieces are memoised in a table emptied when full.
 
 Decoding. ``Utf8Machine`` is a table over UTF-8's lead and continuation ranges; ``StreamingDecoder`` runs it over tokens (a
 token that is whole characters leaves the start state at once) and holds incomplete characters until they end.
@@ -37,7 +38,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
@@ -56,9 +57,6 @@ class Transducer:
             self.token_at[node] = rank
         self.inner = inner
         self._pairs: dict[int, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         start = ((-1, 0, ()),)
         self.states, self.ids, self.final = [start], {start: 0}, [()]
         self.steps: dict[int, tuple[int, tuple]] = {}
@@ -125,20 +123,35 @@ class Transducer:
         self.steps[state << 8 | byte] = out = (found, first[:emit])
         return out
 
+    def _search(self, piece: bytes) -> list[int]:
+        """The accepting path of the transducer before determinisation: for each prefix the last token of its encoding."""
+        n = len(piece)
+        last, start = [-1, *[None] * n], [0] * (n + 1)
+        child, token_at, follows, pairs, size = self.child.get, self.token_at, self._follows, self._pairs, len(self.bytes_of)
+        for j in range(n):
+            node, before = 0, last[j]
+            for i in range(j, n):
+                node = child(node << 8 | piece[i])
+                if node is None:
+                    break
+                if last[i + 1] is None and (token := token_at[node]) is not None:
+                    fits = pairs.get(before * size + token)
+                    if fits or fits is None and follows(before, token):
+                        last[i + 1], start[i + 1] = token, j
+        out, i = [], n
+        while i:
+            out.append(last[i])
+            i = start[i]
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
-            self._reset()
+        """Determinised steps as far as the table of states goes; when it is full, a piece that needs another state is searched."""
         out, state, get = [], 0, self.steps.get
         for byte in piece:
             step = get(state << 8 | byte)
             if step is None:
-                if len(self.states) > 2 * self.max_states:  # one very long piece: its own paths start the new table
-                    here = self.states[state]
-                    self._reset()
-                    get, state = self.steps.get, 1
-                    self.ids[here] = 1
-                    self.states.append(here)
-                    self.final.append(here[-1][2])
+                if len(self.states) >= self.max_states:
+                    return self._search(piece)
                 step = self._step(state, byte)
             state, emit = step
             if emit:
@@ -213,7 +226,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Codec:
-    def __init__(self, rank_data: bytes, pattern: str, max_pieces: int = 300_000):
+    def __init__(self, rank_data: bytes, pattern: str, max_pieces: int = 500_000):
         ranks = read_ranks(rank_data)
         self.ranks, self.max_pieces = ranks, max_pieces
         self.machine = Utf8Machine()
@@ -269,14 +282,14 @@ def _codec(rank_data: bytes, pattern: str) -> Codec:
 def _added(df: DataFrame, column: str, added: T.StructType, f) -> DataFrame:
     """df with columns that f makes from the binary column, batch by batch. Each batch is worked on in slices of bounded bytes."""
     names = {x.name for x in added}
-    kept = [c for c in df.columns if c not in names]
+    kept = [c for c in df.columns if c not in names and c != "__text__"]
     schema = T.StructType([*[df.schema[c] for c in kept], *added])
     source = "__bytes__"
     ready = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").cast("binary").alias(source))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            step = max(1, min(whole.num_rows, int(whole.num_rows * 16_000_000 / max(whole.nbytes, 1))))
+            step = max(1, min(whole.num_rows, int(whole.num_rows * 4_000_000 / max(whole.nbytes, 1))))
             for i in range(0, whole.num_rows, step):
                 batch = whole.slice(i, step)
                 made = f(batch.column(batch.num_columns - 1).to_pylist())
@@ -312,7 +325,20 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> Dat
     return _added(df, ids, T.StructType().add("decoded", "binary"), bytes_of)
 
 
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """encode() and decode() in one pass, so that a task holds one codec: df without its text, with ids, n_tokens and decoded."""
+    with open(rank_path, "rb") as file:
+        shared = df.sparkSession.sparkContext.broadcast(file.read())
+
+    def both(texts: list[bytes | None]) -> list[pa.Array]:
+        codec = _codec(shared.value, pattern)
+        ids = [codec.encode(x.decode("utf-8", "replace")) if x else b"" for x in texts]
+        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([codec.decode(x) for x in ids], pa.binary())]
+
+    return _added(df.withColumnRenamed(text, "__text__"), "__text__", T.StructType().add("ids", "binary").add("n_tokens", "long").add("decoded", "binary"), both).drop("__text__")
+
+
 def digests(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
     """df without its text, with n_tokens, ids_sha256 and decoded_sha256."""
-    done = decode(encode(df, rank_path, pattern, text), rank_path, pattern)
+    done = round_trip(df, rank_path, pattern, text)
     return done.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("ids", "decoded")
