@@ -160,7 +160,7 @@ def _minimise(f, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
     return x
 
 
-def _slices(texts: list, limit: int = 4_000_000) -> Iterator[list]:
+def _slices(texts: list, limit: int = 1_000_000) -> Iterator[list]:
     """Consecutive runs of texts of bounded size together (a text over the limit comes alone)."""
     run, size = [], 0
     for t in texts:

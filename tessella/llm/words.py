@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slices(texts: list[bytes | None], limit: int = 4_000_000) -> Iterator[list[bytes | None]]:
+def slices(texts: list[bytes | None], limit: int = 1_000_000) -> Iterator[list[bytes | None]]:
     """Consecutive runs of texts of bounded size together; a text over the limit comes alone."""
     run, size = [], 0
     for t in texts:
