@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK = 12_000_000
-SHARD = 24_000_000
+BLOCK = 4_000_000
+SHARD = 10_000_000
 ASKED = "shard long, block long, keys binary, extra binary"
 TEXTS = "block long, shard long, a binary, b binary"
 
