@@ -2,7 +2,7 @@
 
 ``write`` makes for each page a request, a response (or a revisit of the first capture with the same payload) and a metadata
 record; request and metadata name the response in WARC-Concurrent-To. Spark's text writer puts each page's records, as one value
-that ends in the two line ends of a WARC record, into archive files of at most ``per_file`` pages.
+that ends in the two line ends of a WARC record, into gzip archives of at most ``per_file`` pages.
 
 ``read`` loads archives as bytes and cuts records by Content-Length, so a payload may hold anything, WARC headers too. ``assemble``
 joins request, response and metadata through the concurrent-to identifiers into one nested row for each capture, and revisits to
@@ -16,6 +16,7 @@ urls become %0D and %0A. Columns other than id, url and html are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -68,7 +69,7 @@ def write(found: DataFrame, path: str, per_file: int = 2_000) -> None:
     about = _record("metadata", [("WARC-Record-ID", ids["metadata"]), joined, target, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page, F.lit(_END)))
     gap = F.lit(_END + _END)
     value = F.concat(ask, gap, F.when(revisit, again).otherwise(full), gap, about)
-    found.select(value.alias("value")).write.option("lineSep", _END + _END).option("maxRecordsPerFile", per_file).text(path)
+    found.select(value.alias("value")).write.option("lineSep", _END + _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[dict]:
@@ -112,7 +113,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for files in batches:
             for content in files.column(0):
                 rows, size = [], 0
-                for r in records(memoryview(content.as_buffer()).tobytes()):
+                for r in records(gzip.decompress(memoryview(content.as_buffer()))):
                     rows.append(_parsed(r) if payloads else (*_parsed(r)[:-1], None))
                     size += len(r["body"])
                     if size > 8_000_000:
