@@ -2,14 +2,16 @@
 
 A document's registers are truncated minima: of each of ``REGISTERS`` hash functions the smallest value over the shingle set,
 rounded up to the grid base**-k. Registers of a union are the larger of two, so sketches merge, and two sets agree in a register
-with a probability close to their similarity. ``BANDS`` runs of ``REGISTERS / BANDS`` registers are the join keys: a pair at
-similarity 0.8 is missed with probability (1 - 0.8**6)**48, under one in two million, and a pair above it less often.
+with a probability close to their similarity. The join keys are ``BANDS`` bands of ``ROWS`` registers, each a fixed random choice
+of them: a pair at similarity 0.8 agrees in a band with probability 0.8**10, so it is missed about once in 100,000 times (the
+spread of the number of equal registers included), a pair above it far less often; at 0.5 one pair in nine is a candidate, at 0.4
+one in eighty.
 
 Equal shingle sets are one class from the start, so copies never pair up. In a bucket (one key of one band) each class meets the
 bucket's leader; confirmed links merge classes to components. Only classes of one bucket that are still in different components
 are then compared with each other, which leaves out the pairs whose outcome cannot matter, whatever the size of the group: while
 those pairs are many, another leader is drawn for each bucket; then all of them are compared. Before sets are fetched, the joint
-maximum-likelihood estimate from registers and exact set sizes drops pairs far below the threshold (by 0.15, six standard errors).
+maximum-likelihood estimate from registers and exact set sizes drops pairs far below the threshold (by 0.12, five standard errors).
 
 Defined results: null, empty and blank texts have an empty set and stay alone. Texts with fewer words than a shingle are one
 shingle. Repeated ids give one row for each input row, in one component. Ties take the smallest id. An empty table gives an
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.components import connected
 from tessella.llm.scratch import drop, written
-from tessella.llm.words import shingles, slices
+from tessella.llm.words import mix, shingles, slices
 
-REGISTERS, BANDS = 288, 48
+REGISTERS, BANDS, ROWS = 288, 120, 10
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # of the grid of register values; RATE places the smallest set's values inside it
-SLACK = 0.15
+SLACK = 0.12
+_CHOICE = np.stack([np.random.default_rng(7_000 + i).choice(REGISTERS, ROWS, replace=False) for i in range(BANDS)])
 _FACTORS = np.random.default_rng(20_260_101).integers(0, 2**63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -46,6 +49,14 @@ def registers(items: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """For rows of registers the keys of their bands; the band's number is part of the key."""
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(regs), 1))
+    for i in range(ROWS):
+        key = mix(key * np.uint64(65_537) + regs[:, _CHOICE[:, i]].astype(np.uint64))
+    return key.view(np.int64)
+
+
 def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, steps: int = 40) -> np.ndarray:
     """The similarity that makes the registers likeliest, for rows of registers and their sets' sizes (golden-section search)."""
     more, less = (a > b).sum(1), (a < b).sum(1)
@@ -85,17 +96,18 @@ def sketches(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, id_col: str, text: str, size: int, ids: DataFrame) -> DataFrame:
-    """(id, items) for the ids: sorted 64-bit hashes, packed."""
+    """(id, items) for the ids: the different 64-bit hashes of the shingles, sorted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                items = [x.tobytes() for run in slices(part.column(1).to_pylist()) for x in shingles(run, size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], names=["id", "items"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                items = [x.view(np.int64) for run in slices(part.column(1).to_pylist()) for x in shingles(run, size)]
+                ends = pa.array(np.cumsum([0, *map(len, items)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(items) if items else [], pa.int64()))], names=["id", "items"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(work, "id long, items binary").dropDuplicates(["id"])
+    return rows.mapInArrow(work, "id long, items array<long>").dropDuplicates(["id"])
 
 
 def _both(pairs: DataFrame, facts: DataFrame, *cols: str) -> DataFrame:
@@ -125,20 +137,26 @@ def _confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text: str, size: in
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     items = written(_sets(df, id_col, text, size, ids), "sets")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("items_a"), batch.column("items_b")):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    links = written(_both(pairs, items, "items").select("a", "b", "items_a", "items_b").mapInArrow(work, "a long, b long"), "links")
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    links = _both(pairs, items, "items").where(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both))
+    links = written(links.select("a", "b"), "links")
     drop(items)
     return links
 
 
+def _bands(reps: DataFrame) -> DataFrame:
+    """(bucket, id): one row for each band of each representative."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1_000):
+                part = batch.slice(i, 1_000)
+                keys = band_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["bucket", "id"])
+
+    return reps.select("id", "registers").mapInArrow(work, "bucket long, id long")
+
+
 def _unsettled(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame, int, int]:
     """Rows (bucket, id, label) of buckets with more than one label, their (bucket, label) counts, pairs across labels, rows."""
     if labels is None:
@@ -147,25 +165,24 @@ def _unsettled(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame,
         rows = buckets.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
     rows = written(rows, "labelled")
     parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    whole = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.expr("(sum(n) * sum(n) - sum(n * n)) DIV 2").alias("pairs")).where("pairs > 0")
-    mixed = written(whole, "mixed")
+    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.expr("(sum(n) * sum(n) - sum(n * n)) DIV 2").alias("pairs")).where("pairs > 0")
     pairs, n = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-    only = mixed.select("bucket")
-    return rows.join(only, "bucket", "left_semi"), parts.join(only, "bucket", "left_semi").select("bucket", "label"), int(pairs), int(n)
+    return rows, parts.select("bucket", "label"), int(pairs), int(n)
 
 
 def _across(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """All pairs of one bucket with different labels; joined by label first, so that no pair inside a label is made."""
     la, lb = (parts.select("bucket", F.col("label").alias(c)) for c in ("la", "lb"))
     left, right = (rows.select("bucket", F.col("label").alias(f"l{c}"), F.col("id").alias(c)) for c in "ab")
-    pairs = la.join(lb, "bucket").where("la < lb").join(left, ["bucket", "la"]).join(right, ["bucket", "lb"])
+    labels = la.join(lb, (la["bucket"] == lb["bucket"]) & (la["la"] < lb["lb"])).select(la["bucket"], "la", "lb")
+    pairs = labels.join(left, ["bucket", "la"]).join(right, ["bucket", "lb"])
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _drawn(rows: DataFrame, turn: int) -> DataFrame:
-    """Each row's id with one id of its bucket, where their labels differ."""
-    leader = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("d"))
-    pairs = rows.join(leader, "bucket").where("label <> d.label")
+    """Each row's id with one id of its bucket, where their labels differ; of the ids a row meets, one for each pair of labels."""
+    leader = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.xxhash64("label", "id", F.lit(turn))).alias("d")).select(F.col("bucket").alias("__b"), "d")
+    pairs = rows.join(leader, (F.col("bucket") == F.col("__b")) & (F.col("label") != F.col("d.label")))
     return pairs.select(F.least("id", "d.id").alias("a"), F.greatest("id", "d.id").alias("b")).distinct()
 
 
@@ -174,12 +191,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     sketched = written(sketches(df, id_col, text, size), "sketches")
     classes = written(sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = written(sketched.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "registers").dropDuplicates(["id"]), "representatives")
-    width = 2 * REGISTERS // BANDS
-    keys = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substr(F.col("registers"), i * width + 1, F.lit(width)))))
-    bands = reps.select("id", keys.alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1")
-    buckets = written(bands.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "id", "leader"), "buckets")
-    pairs = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    bands = _bands(reps)
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1").drop("members")
+    buckets = written(bands.join(shared, "bucket"), "buckets")
+    # first each class meets the smallest id among its buckets' leaders: one pair a class joins most of every group
+    pairs = buckets.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
 
     links, labels, last = None, None, False
     for turn in range(100):
@@ -194,7 +210,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
         rows, parts, n_pairs, n_rows = _unsettled(buckets, labels)
         if not n_pairs:
             break
-        last = n_pairs <= 8 * n_rows or turn == 12
+        last = n_pairs <= 64 * n_rows or turn == 12
         pairs = _across(rows, parts) if last else _drawn(rows, turn)
     out = sketched.select("id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     if labels is None:
