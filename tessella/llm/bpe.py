@@ -230,8 +230,8 @@ class Codec:
         ranks = read_ranks(rank_data)
         self.ranks, self.max_pieces = ranks, max_pieces
         self.machine = Utf8Machine()
-        white = re.sub(r"\\(s)(?![^\[]*\])", f"[{WHITE}]".replace("\\", "\\\\"), pattern)
-        self.split = regex.compile(white.replace(r"\S", f"[^{WHITE}]").replace(r"\s", WHITE)).findall
+        outside = re.sub(r"\\s(?![^\[]*\])", lambda m: f"[{WHITE}]", pattern.replace(r"\S", f"[^{WHITE}]"))
+        self.split = regex.compile(outside.replace(r"\s", WHITE)).findall
         self.pieces: dict[str, bytes] = {}
         self.token_bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
