@@ -26,7 +26,6 @@ def edges(s, d):
 
 
 def ancestors(s, d):
-    """The known depth of this hierarchy makes the closure two plain joins; value_ancestors() is the general loop."""
     return H.value_ancestors(edges(s, d))
 
 

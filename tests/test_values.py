@@ -26,7 +26,7 @@ def test_bad_times(raw, precision, error):
 
 
 def test_deep_time_is_widened():
-    _, seconds, lo, hi, _ = V._time("-13800000000", "s" if False else "1Gy")
+    _, seconds, lo, hi, _ = V._time("-13800000000", "1Gy")
     assert lo < seconds < hi
 
 
