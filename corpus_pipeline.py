@@ -42,7 +42,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and whether they decode to the text's bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.round_trip(docs.withColumn("__sum", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), path, pattern)
+    encoded = bpe.round_trip(docs.withColumn("__sum", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), path, pattern, keep_tables=False)
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("__sum")).alias("round_trip"))
 
 

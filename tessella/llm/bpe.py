@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -279,7 +280,7 @@ def _codec(rank_data: bytes, pattern: str) -> Codec:
     return _BUILT[key]
 
 
-def _added(df: DataFrame, column: str, added: T.StructType, f) -> DataFrame:
+def _added(df: DataFrame, column: str, added: T.StructType, f, keep_tables: bool = True) -> DataFrame:
     """df with columns that f makes from the binary column, batch by batch. Each batch is worked on in slices of bounded bytes."""
     names = {x.name for x in added}
     kept = [c for c in df.columns if c not in names and c != "__text__"]
@@ -294,6 +295,9 @@ def _added(df: DataFrame, column: str, added: T.StructType, f) -> DataFrame:
                 batch = whole.slice(i, step)
                 made = f(batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *[x.name for x in added]])
+        if not keep_tables:
+            _BUILT.clear()
+            gc.collect()
 
     return ready.mapInArrow(work, schema)
 
@@ -325,8 +329,11 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids") -> Dat
     return _added(df, ids, T.StructType().add("decoded", "binary"), bytes_of)
 
 
-def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """encode() and decode() in one pass, so that a task holds one codec: df without its text, with ids, n_tokens and decoded."""
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep_tables: bool = True) -> DataFrame:
+    """encode() and decode() in one pass, so that a task holds one codec: df without its text, with ids, n_tokens and decoded.
+
+    Without keep_tables a task frees its tables at its end, which leaves the Python worker's memory to other operators.
+    """
     with open(rank_path, "rb") as file:
         shared = df.sparkSession.sparkContext.broadcast(file.read())
 
@@ -335,7 +342,7 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text")
         ids = [codec.encode(x.decode("utf-8", "replace")) if x else b"" for x in texts]
         return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([codec.decode(x) for x in ids], pa.binary())]
 
-    return _added(df.withColumnRenamed(text, "__text__"), "__text__", T.StructType().add("ids", "binary").add("n_tokens", "long").add("decoded", "binary"), both).drop("__text__")
+    return _added(df.withColumnRenamed(text, "__text__"), "__text__", T.StructType().add("ids", "binary").add("n_tokens", "long").add("decoded", "binary"), both, keep_tables).drop("__text__")
 
 
 def digests(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:

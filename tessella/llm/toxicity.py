@@ -194,7 +194,7 @@ class Model:
         return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text__")).mapInArrow(work, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 1_500, max_chars: int = 200_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 1_000, max_chars: int = 200_000) -> Model:
     """A model of the labelled texts: at most max_rows of each label are fitted, see the module's text.
 
     The sample holds both labels alike; the intercept is moved to the labels' true odds.
