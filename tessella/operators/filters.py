@@ -17,7 +17,7 @@ FACETABLE = ("rel", "amount", "time")
 
 @dataclass(frozen=True)
 class Filter:
-    """A selection. kind: to, direct, amount, time, exists, has, special, missing."""
+    """A selection. kind: to, among, direct, amount, time, exists, has, special, missing."""
 
     kind: str
     prop: str = ""
@@ -31,11 +31,17 @@ class Filter:
     def path(self) -> tuple:
         return (self.parent, "<has>" if self.kind == "has" else self.prop)
 
+    @property
+    def mark(self) -> str:
+        return f"__in_{id(self.values[0])}"
+
     def condition(self) -> Column:
         """Whether one record satisfies the selection (of missing: whether it contradicts it)."""
         prop = F.col("prop") == self.prop
         if self.kind == "to":
             return prop & F.col("to").isin(*self.values)
+        if self.kind == "among":
+            return prop & F.col(self.mark)
         if self.kind == "direct":
             return prop & F.col("to").isin(*self.values) & F.col("is_leaf")
         if self.kind in ("amount", "time"):
@@ -61,6 +67,11 @@ def to(prop, *values, parent=None):
     return Filter("to", prop, values, parent=parent)
 
 
+def among(prop, ids, parent=None):
+    """As to(), for the values of ids(id): a DataFrame of any size, which is joined and not listed."""
+    return Filter("among", prop, (ids,), parent=parent)
+
+
 def direct(prop, *values, parent=None):
     return Filter("direct", prop, values, parent=parent)
 
@@ -105,6 +116,17 @@ def _any(filters: list[Filter], missing: bool) -> Column:
     return reduce(or_, found) if found else F.lit(False)
 
 
+def _marked(records: DataFrame, filters: list[Filter]) -> DataFrame:
+    """records with a flag for each among filter. Records of other properties get keys of their own, so that none is hot."""
+    for f in {f.mark: f for f in filters if f.kind == "among"}.values():
+        # filters on several properties may share one ids frame
+        props = [g.prop for g in filters if g.kind == "among" and g.mark == f.mark]
+        key = F.when(F.col("prop").isin(props) & F.col("to").isNotNull(), F.col("to")).otherwise(F.concat(F.lit("\0"), "claim_id"))
+        ids = f.values[0].select(F.col("id").alias("__id")).distinct().withColumn("__found", F.lit(True))
+        records = records.withColumn("__key", key).join(ids, F.col("__key") == F.col("__id"), "left").withColumn(f.mark, F.col("__found").isNotNull()).drop("__key", "__id", "__found")
+    return records
+
+
 def flags(docs: DataFrame, records: DataFrame, filters: list[Filter]) -> DataFrame:
     """(doc_id, one flag for each top-level path, one for each group): one pass over the records of the paths' properties."""
     paths = _paths(filters)
@@ -114,6 +136,7 @@ def flags(docs: DataFrame, records: DataFrame, filters: list[Filter]) -> DataFra
         if p[0] is not None:
             groups.setdefault(p[0], {})[p] = fs
     out = docs.select("doc_id").distinct()
+    records = _marked(records, filters)
     rows = records.where("depth = 0")
     if top:
         marks = [F.coalesce(F.bool_or(_any(fs, m)), F.lit(False)).alias(f"{flag_name(p)}{'_x' if m else ''}") for p, fs in top.items() for m in (False, True)]
