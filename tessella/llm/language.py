@@ -5,8 +5,9 @@ blocks of ``BLOCK`` bytes; each block is compressed with each dictionary, and th
 texts cannot drift away from the dictionary. ``score`` is 1 - smallest / second smallest, ``rejected`` marks a score below
 ``margin`` (the operator's own ``lang`` is then ``und``).
 
-Only the dictionaries come from a sample: for each language, whole training texts of at most ``BLOCK`` characters in the order
-of their text's hash, at most ``max_texts`` of them, until ``DICTIONARY`` bytes are full.
+Only the dictionaries come from a sample. Training texts of any length are cut into blocks of ``BLOCK`` characters; a language's
+different blocks, in the order of their hash, fill its dictionary up to ``DICTIONARY`` bytes, which is what bounds the sample
+(and ``max_texts`` blocks, which only matters where blocks are short). Blocks are compared after normalization, so copies count once.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. With one known language its score is 1 for
 every text with letters; with none all texts are ``und``. Equal sizes go to the alphabetically first language, with score 0.
@@ -15,6 +16,7 @@ Repeated rows get equal results; extra columns pass through, and one named as an
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,17 +76,66 @@ class Coder:
         return self.langs[best], score, rejected, "und" if rejected else self.langs[best]
 
 
+def _order(block: bytes) -> bytes:
+    return hashlib.blake2b(block, digest_size=8).digest()
+
+
+def _first(blocks: dict[bytes, bytes], max_texts: int) -> list[tuple[bytes, bytes]]:
+    """The first max_texts of different blocks, or as many as fill DICTIONARY bytes, as (order, block)."""
+    out, size = [], 0
+    for block, order in sorted(blocks.items(), key=lambda x: (x[1], x[0]))[:max_texts]:
+        if size >= DICTIONARY:
+            break
+        out.append((order, block))
+        size += len(block) + 1
+    return out
+
+
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", max_texts: int = 400, max_langs: int = 1_000) -> dict[str, bytes]:
-    """A dictionary for each non-null language of labelled."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.lower(F.col(text)).alias("t")).where(F.col("lang").isNotNull() & (F.length("t") > 0) & (F.length("t") <= BLOCK))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("t"), "t")  # row_number below a bound is cut within each task first
-    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_texts)
-    found: dict[str, list[str]] = {}
-    for r in rows.orderBy("lang", "n").collect():  # max_texts * BLOCK characters a language at most
-        found.setdefault(r.lang, []).append(r.t)
-    if len(found) > max_langs:
-        raise ValueError(f"{len(found)} languages; max_langs bounds what is broadcast")
-    return {lang: b" ".join(map(plain, dict.fromkeys(texts)))[:DICTIONARY] for lang, texts in found.items()}
+    """A dictionary for each non-null language of labelled that has a text with a letter.
+
+    Each task keeps the first different blocks of a language until they fill a dictionary; whatever is among the first of all
+    blocks is among the first of its task, so the tasks' blocks are enough.
+    """
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("t")).where(F.col("lang").isNotNull() & (F.length("t") > 0))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, dict[bytes, bytes]] = {}
+        sizes: dict[str, int] = {}
+        limits: dict[str, tuple[bytes, bytes]] = {}  # the last block of a full dictionary: no later one can enter it
+        for batch in batches:
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name not in found and len(found) > max_langs:
+                    continue  # learn() raises on what is already here
+                blocks = found.setdefault(name, {})
+                for i in range(0, len(t), BLOCK):
+                    block = plain(t[i : i + BLOCK])
+                    if not block or block in blocks:
+                        continue
+                    order = _order(block)
+                    if name in limits and (order, block) > limits[name]:
+                        continue
+                    blocks[block] = order
+                    sizes[name] = sizes.get(name, 0) + len(block) + 1
+                    if sizes[name] >= 4 * DICTIONARY or len(blocks) >= 4 * max_texts:
+                        first = _first(blocks, max_texts)
+                        limits[name] = first[-1]
+                        found[name] = blocks = {b: o for o, b in first}
+                        sizes[name] = sum(len(b) + 1 for b in blocks)
+        for name, blocks in found.items():
+            for order, block in _first(blocks, max_texts):
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([order], pa.binary()), pa.array([block], pa.binary())], names=["lang", "o", "b"])
+
+    different = rows.mapInArrow(work, "lang string, o binary, b binary").distinct()
+    first = Window.partitionBy("lang").orderBy("o", "b")
+    cut = different.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_texts)
+    cut = cut.withColumn("before", F.coalesce(F.sum(F.octet_length("b") + 1).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < DICTIONARY)
+    out: dict[str, list[bytes]] = {}
+    for r in cut.orderBy("lang", "n").collect():  # DICTIONARY bytes and one block a language at most
+        out.setdefault(r.lang, []).append(bytes(r.b))
+    if len(out) > max_langs:
+        raise ValueError(f"more than {max_langs} languages; max_langs bounds what is broadcast")
+    return {name: b" ".join(blocks)[:DICTIONARY] for name, blocks in out.items()}
 
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = 0.02) -> DataFrame:
