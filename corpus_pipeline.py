@@ -22,8 +22,9 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of a recurring template go from all documents but its first; documents that keep no word of theirs go."""
-    cleaned = line_dedup.clean(docs).where("kept").select(*docs.columns)
+    """Lines of a recurring template, then recurring sentences inside lines and frequent short lines, go from all documents but
+    their first; documents that keep no word of theirs go."""
+    cleaned = line_dedup.cut_passages(line_dedup.clean(docs)).where("kept").select(*docs.columns)
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else cleaned
 
 

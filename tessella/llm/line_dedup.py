@@ -12,16 +12,26 @@ for each task. Only recurring keys are joined back.
 Defined results: null text stays null, with no lines dropped; an empty text has one empty line. Lines keep their order. Equal
 rows are one document. A document whose every line with a word went has kept = false. Other columns pass through; the columns
 this adds replace ones of the same name. Keys are 96-bit hashes of the template.
+
+``cut_passages`` goes on where whole lines end: lines are cut at sentence ends, so that a passage inside a longer line is found
+wherever it stands, and a short line goes if it stands in at least ``SHORT_DOCS`` documents. Equal sentences only (but for
+numbers), so the first document always keeps what goes elsewhere. Sentences under ``min_tokens`` inside a line stay, and a
+passage without a sentence end is found only as a whole line.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.quality import SPACE, SPACES
 from tessella.llm.scratch import written
 
 LEAD, WIDE = 2, 12
+#: Where a line is cut (the same in Java and Python), and in how many documents a line under min_tokens has to stand to go.
+CUT = r"(?<=[.!?] )(?=[^ ])"
+SHORT_DOCS = 20
 
 
 def template_keys(df: DataFrame, id_col: str, text: str, min_tokens: int) -> DataFrame:
@@ -58,6 +68,60 @@ def clean(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens:
     return out.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in rest], *added)
 
 
+def _units(df: DataFrame, id_col: str, text: str, min_tokens: int) -> DataFrame:
+    """(id, line, seg, x, y): the sentences of at least min_tokens tokens, and as seg -1 the lines with fewer."""
+    lines = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(F.col(text), "[0-9]+", "<*>"), "\n", -1)).alias("line", "l"))
+    tokens = lambda c: F.array_remove(F.split(c, SPACE, -1), "")
+    lines = lines.select("id", "line", "l", (F.size(tokens(F.col("l"))) < min_tokens).alias("short"))
+    parts = lines.select("id", "line", "short", F.posexplode(F.when(F.col("short"), F.array("l")).otherwise(F.split("l", CUT, -1))).alias("seg", "l"))
+    parts = parts.select("id", "line", F.when(F.col("short"), -1).otherwise(F.col("seg")).alias("seg"), tokens(F.col("l")).alias("m"))
+    parts = parts.where(F.when(F.col("seg") < 0, F.size("m") > 0).otherwise(F.size("m") >= min_tokens))
+    return parts.select("id", "line", "seg", F.xxhash64("m").alias("x"), F.hash("m").alias("y"))
+
+
+def _rebuilt(text: str | None, gone: list | None) -> str | None:
+    """text without the sentences of gone; a line that keeps no token goes."""
+    if text is None:
+        return None
+    by_line: dict[int, set[int]] = {}
+    for g in gone:
+        by_line.setdefault(g["line"], set()).add(g["seg"])
+    out = []
+    for i, line in enumerate(text.split("\n")):
+        if i in by_line:
+            if -1 in by_line[i]:
+                continue
+            parts = re.split(CUT, line)
+            line = "".join(p for k, p in enumerate(parts) if k not in by_line[i])
+            if not line.strip(SPACES):
+                continue
+            line = line.rstrip(" ") if len(parts) - 1 in by_line[i] else line
+        out.append(line)
+    return "\n".join(out)
+
+
+def cut_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens: int = 6, short_docs: int = SHORT_DOCS) -> DataFrame:
+    """The result of clean() without recurring sentences and short lines, with n_cut, how many of them went; kept follows."""
+    docs = written(df, "lines")
+    units = written(_units(docs, id_col, text, min_tokens), "passages")
+    long, short = units.where("seg >= 0"), units.where("seg < 0")
+    often = long.groupBy("x", "y").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("x", "y", "first")
+    # a document counts once for a short line, however often it has it
+    many = short.select("x", "y", "id").distinct().groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= max(2, short_docs)).select("x", "y", "first")
+    gone = long.join(often, ["x", "y"]).unionByName(short.join(many, ["x", "y"])).where(F.col("id") > F.col("first"))
+    gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("line", "seg")).alias("__cut"))
+    rebuilt = F.udf(_rebuilt, "string", useArrow=True)
+    rest = [c for c in docs.columns if c != "n_cut"]
+    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left").withColumn("__some", F.col("__cut").isNotNull())
+    joined = joined.withColumn("__new", rebuilt(F.when(F.col("__some"), F.col(text)), F.col("__cut")))  # other texts are not sent
+    out = joined.withColumns({
+        text: F.when(F.col("__some"), F.col("__new")).otherwise(F.col(text)),
+        "kept": F.col("kept") & (~F.col("__some") | (F.btrim("__new", F.lit(SPACES)) != "")),
+        "n_cut": F.coalesce(F.array_size("__cut"), F.lit(0)),
+    })
+    return out.select(*[F.col(f"`{c}`") for c in rest], "n_cut")
+
+
 #: DuckDB SQL with the same result for clean() on documents(doc_id, text).
 ORACLE = """
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),

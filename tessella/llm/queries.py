@@ -44,6 +44,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.cut_passages(op7_line_dedup(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _held_out(4, 2))
     known = language.learn(docs.where("not held_out"))
@@ -61,7 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op7_passage_dedup": op7_passage_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_lm_score": op4_lm_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
