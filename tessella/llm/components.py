@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.scratch import written
-
-SMALL = 100_000
+from tessella.llm.scratch import drop, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -17,20 +15,20 @@ def connected(edges: DataFrame) -> DataFrame:
     path. No edges give an empty result; loops and repeated edges change nothing.
     """
     pairs = edges.select("a", "b").where("a <> b")
-    edges = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    few = edges.count() <= SMALL
-    fit = lambda df: df.coalesce(1) if few else df  # noqa: E731  few rows: the same steps in one task, without shuffles
+    left = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     maps: list[DataFrame] = []
-    while not edges.isEmpty() or not maps:
-        left = fit(edges)
-        to = left.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("to"))
-        far = to.select(F.col("id").alias("__id"), F.col("to").alias("__to"))
-        to = fit(written(to.join(far, to["to"] == far["__id"], "left").select("id", F.coalesce("__to", "to").alias("to")), "pointers"))
+    while not maps or not left.isEmpty():
+        near = left.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("to"))
+        far = near.select(F.col("id").alias("__id"), F.col("to").alias("__to"))
+        to = written(near.join(far, near["to"] == far["__id"], "left").select("id", F.coalesce("__to", "to").alias("to")), "pointers")
         maps.append(to)
         of_a, of_b = (to.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
-        edges = written(left.join(of_a, "a").join(of_b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "edges")
+        before, left = left, written(left.join(of_a, "a").join(of_b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "edges")
+        drop(before)
     out = maps[0].select("id", F.col("to").alias("label"))
     for to in maps[1:]:
         far = to.select(F.col("id").alias("__id"), F.col("to").alias("__to"))
         out = out.join(far, out["label"] == far["__id"], "left").select("id", F.coalesce("__to", "label").alias("label"))
-    return written(out, "labels")
+    out = written(out, "labels")
+    drop(left, *maps)
+    return out

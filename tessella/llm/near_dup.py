@@ -3,19 +3,27 @@
 A document's registers are truncated minima: of each of ``REGISTERS`` hash functions the smallest value over the shingle set,
 rounded up to the grid base**-k. Registers of a union are the larger of two, so sketches merge, and two sets agree in a register
 with a probability close to their similarity. The join keys are ``BANDS`` bands of ``ROWS`` registers, each a fixed random choice
-of them: a pair at similarity 0.8 agrees in a band with probability 0.8**10, so it is missed about once in 100,000 times (the
-spread of the number of equal registers included), a pair above it far less often; at 0.5 one pair in nine is a candidate, at 0.4
-one in eighty.
+of them. A pair of similarity J agrees in K registers, K binomial, and misses all bands with a chance near (1 - (K/288)**8)**80:
+2.8 of 100,000 pairs at exactly 0.8, 0.3 of 100,000 at 0.82. At 0.5 a quarter of the pairs share a band, at 0.3 one in 200.
 
-Equal shingle sets are one class from the start, so copies never pair up. In a bucket (one key of one band) each class meets the
-bucket's leader; confirmed links merge classes to components. Only classes of one bucket that are still in different components
-are then compared with each other, which leaves out the pairs whose outcome cannot matter, whatever the size of the group: while
-those pairs are many, another leader is drawn for each bucket; then all of them are compared. Before sets are fetched, the joint
-maximum-likelihood estimate from registers and exact set sizes drops pairs far below the threshold (by 0.12, five standard errors).
+Equal shingle sets are one class from the start, so copies never pair up. Confirmed links merge classes to components in three
+steps, each of a fixed number of joins:
+
+1. each class meets the smallest leader of its buckets (a bucket is one key of one band): one pair a class;
+2. each class meets all other leaders of its buckets that are still in another component: at most ``BANDS`` pairs a class;
+3. classes that share a bucket with one of another component, leaders left out, meet by an exact prefix filter. Each set is ordered
+   from rare to frequent shingles (counts among these classes). Two sets that reach the threshold share a shingle among the first
+   n - ceil(n * percent / 100) + 1 of either, and at the first one that they share both still have enough shingles left. A passage
+   that thousands of classes share is frequent, so it stays at the end, and classes that share nothing else do not meet. Bounds
+   of whole components are compared first, so pairs inside a component are never made.
+
+Before sets are fetched in steps 1 and 2, the joint maximum-likelihood estimate from registers and exact set sizes drops pairs far
+below the threshold (by 0.12, five standard errors); step 3 compares the full sets at once.
 
 Defined results: null, empty and blank texts have an empty set and stay alone. Texts with fewer words than a shingle are one
-shingle. Repeated ids give one row for each input row, in one component. Ties take the smallest id. An empty table gives an
-empty result. Columns other than id and text are ignored.
+shingle. Each input row gives one row. Rows of one id belong to one component, whatever their texts; without a text they are that
+id's too. A null id is no id: its rows link by text only, and component_id is the smallest id that is not null, or null. Ties take
+the smallest id. An empty table gives an empty result. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from tessella.llm.components import connected
 from tessella.llm.scratch import drop, written
 from tessella.llm.words import mix, shingles, slices
 
-REGISTERS, BANDS, ROWS = 288, 120, 10
+REGISTERS, BANDS, ROWS = 288, 80, 8
 BASE, RATE, TOP = 1.001, 20.0, 65_534  # of the grid of register values; RATE places the smallest set's values inside it
 SLACK = 0.12
 _CHOICE = np.stack([np.random.default_rng(7_000 + i).choice(REGISTERS, ROWS, replace=False) for i in range(BANDS)])
@@ -80,7 +88,7 @@ def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
 
 
 def sketches(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(id, n, digest, registers) for each row; digest names the shingle set."""
+    """(row, id, n, digest, registers) for each row; digest names the shingle set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,36 +96,48 @@ def sketches(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
             for run in slices(batch.column(1).to_pylist()):
                 for items in shingles(run, size):
                     n.append(len(items))
-                    digest.append(hashlib.sha256(items.tobytes()).digest()[:16] if len(items) else None)
+                    digest.append(_digest(items) if len(items) else None)
                     regs.append(registers(items).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n", "digest", "registers"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(work, "id long, n long, digest binary, registers binary")
+    made = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(work, "id long, n long, digest binary, registers binary")
+    return made.select(F.monotonically_increasing_id().alias("row"), "*")
+
 
+def _digest(items: np.ndarray) -> bytes:
+    return hashlib.sha256(items.tobytes()).digest()[:16]
 
-def _sets(df: DataFrame, id_col: str, text: str, size: int, ids: DataFrame) -> DataFrame:
-    """(id, items) for the ids: the different 64-bit hashes of the shingles, sorted."""
+
+def _sets(df: DataFrame, id_col: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
+    """(row, items) for wanted(row, id, digest): the different 64-bit hashes of the shingles, sorted.
+
+    An id can have several texts; the digest tells which of them is meant.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                items = [x.view(np.int64) for run in slices(part.column(1).to_pylist()) for x in shingles(run, size)]
+                found = [x for run in slices(part.column(2).to_pylist()) for x in shingles(run, size)]
+                same = [_digest(x) == d for x, d in zip(found, part.column(1).to_pylist())]
+                items = [x.view(np.int64) for x, ok in zip(found, same) if ok]
                 ends = pa.array(np.cumsum([0, *map(len, items)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(items) if items else [], pa.int64()))], names=["id", "items"])
+                values = pa.array(np.concatenate(items) if items else np.zeros(0, np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(same, pa.bool_())), pa.ListArray.from_arrays(ends, values)], names=["row", "items"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(work, "id long, items array<long>").dropDuplicates(["id"])
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text).cast("binary").alias("t"))
+    found = rows.join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("row", "digest", "t")
+    return found.mapInArrow(work, "row long, items array<long>").dropDuplicates(["row"])
 
 
 def _both(pairs: DataFrame, facts: DataFrame, *cols: str) -> DataFrame:
     """pairs with cols of facts for a and for b."""
     for side in "ab":
-        pairs = pairs.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols]), side)
+        pairs = pairs.join(facts.select(F.col("row").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols]), side)
     return pairs
 
 
-def _near(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and the likelihood estimate leave."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,93 +148,116 @@ def _near(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
             guess = likely(a, b, *(batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")))
             yield batch.filter(pa.array(guess >= percent / 100 - SLACK)).select(["a", "b"])
 
-    found = _both(pairs, sketched, "n", "registers").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    found = _both(pairs, reps, "n", "registers").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     return found.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(work, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    items = written(_sets(df, id_col, text, size, ids), "sets")
-
     both = F.size(F.array_intersect("items_a", "items_b"))
     links = _both(pairs, items, "items").where(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both))
-    links = written(links.select("a", "b"), "links")
-    drop(items)
-    return links
+    return links.select("a", "b")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(bucket, id): one row for each band of each representative."""
+    """(bucket, row): one row for each band of each class."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1_000):
                 part = batch.slice(i, 1_000)
                 keys = band_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["bucket", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["bucket", "row"])
 
-    return reps.select("id", "registers").mapInArrow(work, "bucket long, id long")
+    return reps.select("row", "registers").mapInArrow(work, "bucket long, row long")
 
 
-def _unsettled(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame, int, int]:
-    """Rows (bucket, id, label) of buckets with more than one label, their (bucket, label) counts, pairs across labels, rows."""
-    if labels is None:
-        rows = buckets.select("bucket", "id", F.col("id").alias("label"))
-    else:
-        rows = buckets.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    rows = written(rows, "labelled")
-    parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.expr("(sum(n) * sum(n) - sum(n * n)) DIV 2").alias("pairs")).where("pairs > 0")
-    pairs, n = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-    return rows, parts.select("bucket", "label"), int(pairs), int(n)
+def _labelled(rows: DataFrame, labels: DataFrame, col: str = "row") -> DataFrame:
+    """rows with label, the component of col: labels has those of linked classes, any other class is alone."""
+    named = labels.select(F.col("id").alias("__class"), "label")
+    return rows.join(named, rows[col] == named["__class"], "left").drop("__class").withColumn("label", F.coalesce("label", col))
 
 
-def _across(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs of one bucket with different labels; joined by label first, so that no pair inside a label is made."""
-    la, lb = (parts.select("bucket", F.col("label").alias(c)) for c in ("la", "lb"))
-    left, right = (rows.select("bucket", F.col("label").alias(f"l{c}"), F.col("id").alias(c)) for c in "ab")
-    labels = la.join(lb, (la["bucket"] == lb["bucket"]) & (la["la"] < lb["lb"])).select(la["bucket"], "la", "lb")
-    pairs = labels.join(left, ["bucket", "la"]).join(right, ["bucket", "lb"])
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _other_leaders(buckets: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
+    """(a, b): the leaders a of b's buckets that are in another component, and were not compared with it."""
+    pairs = buckets.where("row <> leader").select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    of_a, of_b = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _drawn(rows: DataFrame, turn: int) -> DataFrame:
-    """Each row's id with one id of its bucket, where their labels differ; of the ids a row meets, one for each pair of labels."""
-    leader = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.xxhash64("label", "id", F.lit(turn))).alias("d")).select(F.col("bucket").alias("__b"), "d")
-    pairs = rows.join(leader, (F.col("bucket") == F.col("__b")) & (F.col("label") != F.col("d.label")))
-    return pairs.select(F.least("id", "d.id").alias("a"), F.greatest("id", "d.id").alias("b")).distinct()
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row): the classes of buckets that, without their leader, hold more than one component."""
+    rows = written(_labelled(buckets.where("row <> leader").select("bucket", "row"), labels), "mixed")
+    open_ = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return rows.join(open_, "bucket", "left_semi").select("row").distinct()
+
+
+def _prefixes(items: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(s, row, label, n, rest): the first shingles of each set in the order from rare to frequent, and how many of the set's
+    shingles come from there on. Shingles of one set alone come first and match nothing, so they are counted, not listed."""
+    flat = items.select("row", F.explode("items").alias("s"))
+    often = flat.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    order = flat.join(often, "s").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))  # one set's shingles
+    sets = _labelled(items.select("row", F.size("items").alias("n")), labels).join(order, "row")
+    length = F.expr(f"n - (n * {percent} + 99) DIV 100 + 1 - (n - size(o))")
+    cut = sets.where(length > 0).select("row", "label", "n", F.size("o").alias("m"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "x"))
+    return cut.select(F.col("x.s").alias("s"), "row", "label", "n", (F.col("m") - F.col("i")).alias("rest"))
+
+
+def _meeting(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that can reach the threshold by their sizes and by what is left of both."""
+    need = lambda n, m: f"({n} + {m}) * {percent} <= (100 + {percent}) * "  # noqa: E731  a common part of so many at least
+    parts = prefixes.groupBy("s", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
+    x, y = parts.alias("x"), parts.alias("y")
+    near = f"x.s = y.s AND x.label < y.label AND x.lo * {percent} <= y.hi * 100 AND y.lo * {percent} <= x.hi * 100 AND {need('x.lo', 'y.lo')} least(x.rest, y.rest)"
+    labels = x.join(y, F.expr(near)).select("x.s", F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+    left, right = (prefixes.select("s", F.col("row").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("rest").alias(f"r{c}")) for c in "ab")
+    right = right.withColumnsRenamed({"s": "__s", "lb": "__lb"})
+    one = labels.join(left, ["s", "la"])
+    fits = f"s = __s AND lb = __lb AND na * {percent} <= nb * 100 AND nb * {percent} <= na * 100 AND {need('na', 'nb')} least(ra, rb)"
+    return one.join(right, F.expr(fits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of df: components of pairs with 100 * common >= percent * joint items."""
     sketched = written(sketches(df, id_col, text, size), "sketches")
-    classes = written(sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = written(sketched.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "registers").dropDuplicates(["id"]), "representatives")
+    classes = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("class"))
+    rows = written(sketched.select("row", "id", "n", "digest").join(classes, "digest", "left").select("row", "id", "n", "digest", "class"), "rows")
+    first = rows.where("row = class").select("row")
+    reps = written(sketched.join(first, "row", "left_semi"), "classes")
+    drop(sketched)
     bands = _bands(reps)
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1").drop("members")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("row").alias("leader")).where("members > 1").drop("members")
     buckets = written(bands.join(shared, "bucket"), "buckets")
-    # first each class meets the smallest id among its buckets' leaders: one pair a class joins most of every group
-    pairs = buckets.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
 
-    links, labels, last = None, None, False
-    for turn in range(100):
+    def sets(rows: DataFrame) -> DataFrame:
+        return written(_sets(df, id_col, text, size, reps.select("row", "id", "digest").join(rows, "row", "left_semi")), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
         near = written(_near(pairs, reps, percent), "near")
-        if not near.isEmpty():
-            found = _confirmed(near, df, id_col, text, size, percent)
-            links = found if links is None else links.unionByName(found)
-            labels = connected(links)
-        drop(near)
-        if last:
-            break
-        rows, parts, n_pairs, n_rows = _unsettled(buckets, labels)
-        if not n_pairs:
-            break
-        last = n_pairs <= 64 * n_rows or turn == 12
-        pairs = _across(rows, parts) if last else _drawn(rows, turn)
-    out = sketched.select("id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
-    if labels is None:
-        out = out.withColumn("component_id", F.coalesce("rep", "id"))
-    else:
-        out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep", "id"))
-    return out.select("id", "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+        items = sets(near.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+        out = written(_linked(near, items, percent), "links")
+        drop(near, items)
+        return out
+
+    once = rows.where("id IS NOT NULL AND class IS NOT NULL").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("id", "a")
+    links = [written(rows.where("class IS NOT NULL").join(once, "id").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "same-id")]
+    pairs = written(buckets.where("row <> leader").groupBy(F.col("row").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
+    links.append(linked(pairs))
+    labels = connected(links[0].unionByName(links[1]))
+    links.append(linked(_other_leaders(buckets, labels, pairs)))
+    drop(labels)
+    labels = connected(links[0].unionByName(links[1]).unionByName(links[2]))
+    items = sets(_mixed(buckets, labels))
+    links.append(written(_linked(written(_meeting(written(_prefixes(items, labels, percent), "prefixes"), percent), "meeting"), items, percent), "links"))
+    drop(labels, items, buckets, pairs, reps)
+    labels = connected(links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3]))
+    drop(*links)
+    named = written(_labelled(rows.select("id", "n", "class"), labels, "class"), "labelled")
+    drop(labels, rows)
+    # a row without a shingle has no class: its component is that of its id's other rows, or itself
+    least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
+    of_id = named.where("label IS NULL AND id IS NOT NULL").select("id").distinct().join(named.where("label IS NOT NULL").groupBy("id").agg(F.min("label").alias("of_id")), "id")
+    out = named.join(of_id, "id", "left").withColumn("label", F.coalesce("label", "of_id")).join(least, "label", "left")
+    component = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
