@@ -1,16 +1,19 @@
-"""Stupid-backoff scores of all documents under the bigram counts of all other documents.
+"""Stupid-backoff scores of all documents under the n-gram counts of all other documents.
 
-Words are lower-cased (A-Z) and hashed to 64 bits, bigrams likewise. Blocks of documents send their different n-grams with their
-counts to shards of the hash range; the shards' sums are the count tables, and each block gets the corpus count of each of its
-n-grams back (see ``blocks``). What is gathered grows with the corpus.
+1. ``count_tables``: the documents' n-grams of 1 to ``order`` words (lower-cased A-Z, hashed to 64 bits, the order in the last two
+   bits), counted in each block of documents, then summed by hash range. The result is a table in the shared folder with the
+   n-grams and counts of one range in each row; it grows with the corpus.
+2. ``score``: the documents' n-grams, exploded and packed as in ``blocks``, are joined to the count tables by hash range.
+3. The counts found return to their block, where each document's logarithms are summed.
 
-Of a document's bigram (v, w), with counts c from which the document's own are taken away, and N words in the other documents:
-c(v, w) / c(v) if c(v, w) > 0, else ``BACKOFF`` * c(w) / N if c(w) > 0, else ``BACKOFF`` * 1 / (N + 1). The first word counts as
-a unigram without the factor.
+For a word w after the words of its context, with counts c from which the document's own are taken away, and N words in the other
+documents: c(context, w) / c(context) if c(context, w) > 0, else ``BACKOFF`` times the same with the context cut by its first word;
+without context c(w) / N if c(w) > 0, else 1 / (N + 1). A document's first words have shorter contexts, without a factor.
 ``log_score`` is the sum of the natural logarithms, ``mean_log`` that by word.
 
-Defined results: null, empty and blank texts have n_words 0, log_score 0 and mean_log null. Repeated rows count as documents of
-their own. Columns other than id and text are ignored; an empty table gives an empty result.
+Defined results: null, empty and blank texts have n_words 0, log_score 0 and mean_log null. Repeated rows, whatever their ids, and
+rows with a null id count as documents of their own. Columns other than id and text are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -19,74 +22,99 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.blocks import asked, shard_bits, texts, unpacked
+from tessella.llm.blocks import TEXTS, answer, asked, gathered, packed, shard_bits, texts, unpacked
+from tessella.llm.scratch import drop, written
 from tessella.llm.words import mix, word_hashes
 
+ORDER = 2
 BACKOFF = 0.4
 _PAIR = np.uint64(0x9FB21C651E98DF25)
+_TAG = np.uint64(3)
 
 
-def _grams(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words and bigrams of a block (the bigram of each word with the one before it in the block) and each word's document."""
+def _grams(block: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the n-gram that ends at each word, each word's document and its place there (an n-gram needs n words)."""
     words, bounds = word_hashes(block)
-    words = words & ~np.uint64(1)  # the last bit tells words from bigrams
     doc = np.repeat(np.arange(len(block)), np.diff(bounds))
-    pairs = mix(np.concatenate([[np.uint64(0)], words[:-1]])[: len(words)] * _PAIR + words) | np.uint64(1)
-    return words, pairs, doc, np.concatenate([[False], doc[1:] == doc[:-1]])[: len(words)]
-
-
-def _ask(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    words, pairs, _, inside = _grams(block)
-    keys, counts = np.unique(np.concatenate([words, pairs[inside]]), return_counts=True)
-    return keys, counts.astype("<u4")
-
-
-def _total(table: pa.Table) -> pa.Table:
-    """A shard: the sum of each key's counts, for each block; with the shard's words in all."""
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(c, "<u4") for c in table.column("extra").to_pylist()]
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
-    different, inverse = np.unique(all_keys, return_inverse=True)
-    total = np.bincount(inverse, all_counts, len(different)).astype("<u8")[inverse] if len(different) else np.zeros(0, "<u8")
-    if total.max(initial=0) < 1 << 32:
-        total = total.astype("<u4")
-    words = np.array([all_counts[all_keys & np.uint64(1) == 0].sum()], "<u8").tobytes()
-    ends = np.cumsum([len(k) for k in keys])
-    n = len(keys)
-    wide = total.dtype.itemsize.to_bytes(1, "little")
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "a": pa.array([words + wide] * n, pa.binary()), "b": pa.array([total[e - len(k) : e].tobytes() for k, e in zip(keys, ends)], pa.binary())})
-
-
-def _score(table: pa.Table) -> pa.Table:
-    ids, block, answers = unpacked(table)
-    words, pairs, doc, inside = _grams(block)
-    n_docs = len(block)
-    n_words = np.bincount(doc, minlength=n_docs)
-    log = np.zeros(n_docs)
-    if len(words):
-        keys, inverse = np.unique(np.concatenate([words, pairs[inside]]), return_inverse=True)
-        total = np.concatenate([np.frombuffer(b, f"<u{a[8]}").astype(np.float64) for a, b in answers])
-        if len(total) != len(keys):
-            raise RuntimeError("the two passes over the documents saw different blocks")
-        corpus = float(sum(int.from_bytes(a[:8], "little") for a, _ in answers))
-        docs = np.concatenate([doc, doc[inside]])
-        _, own_of, own = np.unique(docs * np.int64(len(keys)) + inverse, return_inverse=True, return_counts=True)
-        other = total[inverse] - own[own_of]  # count in other documents, at each occurrence
-        one = other[: len(words)]
-        two = np.zeros(len(words))
-        two[inside] = other[len(words) :]
-        rest = corpus - n_words[doc]
-        back = np.where(one > 0, one / np.maximum(rest, 1), 1 / (rest + 1))
-        before = np.concatenate([[0.0], one[:-1]])
-        # the document's last word has no bigram after it, so c(v) counts words, not bigram starts, as usual
-        value = np.where(two > 0, two / np.maximum(before, 1), np.where(inside, BACKOFF, 1.0) * back)
-        log = np.bincount(doc, np.log(value), n_docs)
-    mean = pa.array(np.divide(log, n_words, out=np.zeros(n_docs), where=n_words > 0), mask=n_words == 0)
-    return pa.table({"id": pa.array(ids), "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(log), "mean_log": mean})
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    place = np.arange(len(words)) - bounds[:-1][doc]
+    grams, last = [words & ~_TAG], words
+    for k in range(1, order):
+        last = mix(np.concatenate([[np.uint64(0)], last[:-1]])[: len(words)] * _PAIR + words)
+        grams.append(last & ~_TAG | np.uint64(k))
+    return grams, doc, place
+
+
+def _counted(order: int):
+    def ask(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        grams, _, place = _grams(block, order)
+        keys, counts = np.unique(np.concatenate([g[place >= k] for k, g in enumerate(grams)]), return_counts=True)
+        return keys, counts.astype("<u4")
+
+    return ask
+
+
+def count_tables(rows: DataFrame, bits: int, order: int = ORDER) -> DataFrame:
+    """(shard, keys, counts, words) of rows(id, text): a shard's n-grams, sorted, their counts, and how many words it holds."""
+
+    def merged(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([unpacked(k) for k in table.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("extra").to_pylist()])
+        different, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, counts, len(different)).astype("<u8")
+        words = int(total[different & _TAG == 0].sum())
+        return pa.table({"shard": table.column("shard")[:1], "keys": pa.array([packed(different)], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary()), "words": pa.array([words])})
+
+    return asked(rows, _counted(order), bits).groupBy("shard").applyInArrow(merged, "shard long, keys binary, counts binary, words long")
+
+
+def _found(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """The count of each key that a shard's blocks ask for. All of them are in the table, as it counts the same documents."""
+    keys, counts = unpacked(known.column("keys")[0].as_py()), np.frombuffer(known.column("counts")[0].as_py(), "<u8")
+    made = []
+    for data in asked.column("keys").to_pylist():
+        found = counts[np.searchsorted(keys, unpacked(data))]
+        made.append(found.astype("<u4" if found.max(initial=0) < 1 << 32 else "<u8"))
+    return answer(asked, [m.dtype.itemsize.to_bytes(1, "little") for m in made], [m.tobytes() for m in made])
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(id, n_words, log_score, mean_log) for each row of df."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
-    answers = asked(rows, _ask, shard_bits(rows, "t")).groupBy("shard").applyInArrow(_total, "block long, shard long, a binary, b binary")
-    return texts(rows).unionByName(answers).groupBy("block").applyInArrow(_score, "id long, n_words long, log_score double, mean_log double")
+    bits = shard_bits(rows, "t", order / 2)
+    tables = written(count_tables(rows, bits, order), "counts")
+    corpus = tables.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+
+    def keys_only(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        keys = _counted(order)(block)[0]
+        return keys, np.zeros(0, np.uint8)
+
+    def summed(table: pa.Table) -> pa.Table:
+        ids, block, answers = gathered(table)
+        grams, doc, place = _grams(block, order)
+        n_docs = len(block)
+        n_words = np.bincount(doc, minlength=n_docs)
+        log = np.zeros(n_docs)
+        if len(doc):
+            inside = [place >= k for k in range(order)]
+            keys, inverse = np.unique(np.concatenate([g[i] for g, i in zip(grams, inside)]), return_inverse=True)
+            total = np.concatenate([np.frombuffer(b, f"<u{a[0]}").astype(np.int64) for a, b in answers])
+            docs = np.concatenate([doc[i] for i in inside])
+            _, own_of, own = np.unique(docs * np.int64(len(keys)) + inverse, return_inverse=True, return_counts=True)
+            others = np.split(total[inverse] - own[own_of], np.cumsum([i.sum() for i in inside])[:-1])
+            rest = corpus - n_words[doc]
+            value, before = np.where(others[0] > 0, others[0] / np.maximum(rest, 1), 1 / (rest + 1)), others[0]
+            for k in range(1, order):
+                seen = np.zeros(len(doc), np.int64)
+                seen[inside[k]] = others[k]
+                # the document's last word has no n-gram after it, so a context's count is that of the n-gram, not of its followers
+                context = np.concatenate([[0], before[:-1]])
+                value = np.where(seen > 0, seen / np.maximum(context, 1), np.where(inside[k], BACKOFF, 1.0) * value)
+                before = seen
+            log = np.bincount(doc, np.log(value), n_docs)
+        mean = pa.array(np.divide(log, n_words, out=np.zeros(n_docs), where=n_words > 0), mask=n_words == 0)
+        return pa.table({"id": ids, "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(log), "mean_log": mean})
+
+    found = asked(rows, keys_only, bits).groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(_found, TEXTS)
+    answers = written(found, "answers")
+    drop(tables)
+    return texts(rows).unionByName(answers).groupBy("block").applyInArrow(summed, "id long, n_words long, log_score double, mean_log double")

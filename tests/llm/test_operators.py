@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from tessella.llm import bpe, decontaminate, kneser_ney, language, line_dedup, lm_score, near_dup, quality, toxicity, warc
+from tessella.llm import blocks, bpe, decontaminate, kneser_ney, language, line_dedup, lm_score, near_dup, quality, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -99,23 +99,33 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
-def test_lm_score(spark, texts):
-    got = {r.id: r for r in lm_score.score(frame(spark, texts)).collect()}
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_score(spark, texts, order):
+    got = {r.id: r for r in lm_score.score(frame(spark, texts), order=order).collect()}
     words = [WORD.findall(t.lower()) for t in texts]
-    one, two = collections.Counter(), collections.Counter()
-    for w in words:
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    total = sum(one.values())
+    grams = lambda w: [tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)]
+    corpus = collections.Counter(g for w in words for g in grams(w))
     for i, w in enumerate(words):
-        a, b, n, log = collections.Counter(w), collections.Counter(zip(w, w[1:])), total - len(w), 0.0
-        for j, x in enumerate(w):
-            if j and two[w[j - 1], x] > b[w[j - 1], x]:
-                v = (two[w[j - 1], x] - b[w[j - 1], x]) / (one[w[j - 1]] - a[w[j - 1]])
+        own, n, log = collections.Counter(grams(w)), sum(map(len, words)) - len(w), 0.0
+        left = lambda g: corpus[g] - own[g]
+        for j in range(len(w)):
+            factor = 1.0
+            for k in range(min(order, j + 1), 0, -1):
+                g = tuple(w[j - k + 1 : j + 1])
+                if left(g) > 0:
+                    log += math.log(factor * left(g) / (left(g[:-1]) if k > 1 else n))
+                    break
+                factor *= lm_score.BACKOFF
             else:
-                v = (0.4 if j else 1) * ((one[x] - a[x]) / n if one[x] > a[x] else 1 / (n + 1))
-            log += math.log(v)
-        assert got[i].log_score == pytest.approx(log)
+                log += math.log(factor / lm_score.BACKOFF / (n + 1))
+        assert got[i].log_score == pytest.approx(log) and got[i].n_words == len(w)
+
+
+def test_keys_of_a_block_survive_packing():
+    r = np.random.default_rng(1)
+    for n, top in ((0, 9), (1, 9), (5, 9), (500, 2**64 - 1), (500, 2**40)):
+        keys = np.unique(r.integers(0, top, n, np.uint64))
+        assert (blocks.unpacked(blocks.packed(keys)) == keys).all()
 
 
 @pytest.mark.parametrize("size", [2, 5])
