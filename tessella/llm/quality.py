@@ -3,8 +3,12 @@
 ``measures`` computes the statistics of each text inside the row: no explode, no shuffle, no Python. ``sketch`` counts integer
 measures in buckets of a bounded relative width (exact below 128, then 1/64): counts of equal buckets add up, so sketches merge
 in any order to the same result, and a group has a few hundred buckets at most however many rows it has. ``thresholds`` reads
-the median and the upper (and lower) quartile from the merged sketches and sets fences around them; a source with fewer than
-``MIN_GROUP`` texts of a language takes the language's merged sketch. ``judge`` joins the fences back and filters.
+the median and a tail quantile (``TAIL`` by measure) from the merged sketches. The fence lies beyond the tail quantile by half its
+distance from the median, or by one bucket where that is more, so no constant of the measure's own scale decides. Each source of
+a language has its own; a source with fewer than ``MIN_GROUP`` texts, or whose tail equals its median, takes the language's merged
+sketch, and such a language that of all texts. No source is looser than its language's tail quantile plus twice that quantile's
+distance from the median, so a source that is mostly junk does not set the rule for itself. ``judge`` joins the fences back and
+filters.
 
 Defined results: a null or empty text has no words and fails the base rule. Null language or source is a group of its own.
 Repeated rows are judged alike. An empty table gives an empty result. Windows of three words need three words.
@@ -20,9 +24,8 @@ from tessella.llm.scratch import written
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Measure: the least spread it is taken to have, so that a group of equal texts doesn't reject all others.
-SPREAD = {"symbols": 15, "dup_lines": 80, "repeats": 60, "word_len": 40}
-FENCE = 6
+#: Measure: the percentage of a group's texts that its tail quantile leaves below.
+TAIL = {"symbols": 95, "dup_lines": 98, "repeats": 98, "word_len": 98}
 MIN_GROUP = 100
 _POS = 24  # low bits of a packed window that hold its position
 
@@ -102,20 +105,36 @@ def quantiles(sketches: DataFrame, by: list[str], percents: dict[str, int]) -> D
     return found.select(*by, "measure", "total", *[F.expr(f"filter(b, x -> x.c * 100 >= total * {p})[0].bucket").alias(name) for name, p in percents.items()])
 
 
+def _width(q: str) -> str:
+    """The width of the bucket that starts at q."""
+    return f"CASE WHEN {q} < 128 THEN 1L ELSE shiftleft(1L, length(bin({q})) - 7) END"
+
+
 def thresholds(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, <measure>_max of each, word_len_min): one row for each pair in stats."""
-    fine = sketch(stats, [lang, source])
-    percents = {"q25": 25, "q50": 50, "q75": 75}
-    small = quantiles(fine, [lang, source], percents)
-    large = quantiles(merge(fine, [lang]), [lang], percents).select(F.col(lang).alias("__lang"), F.col("measure").alias("__m"), *[F.col(q).alias(f"__{q}") for q in percents])
-    both = small.join(large, small[lang].eqNullSafe(large["__lang"]) & (small["measure"] == large["__m"]))
-    for q in percents:
-        both = both.withColumn(q, F.when(F.col("total") >= MIN_GROUP, F.col(q)).otherwise(F.col(f"__{q}")))
-    spread = F.create_map(*[x for k, v in SPREAD.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
-    both = both.withColumn("hi", F.col("q50") + FENCE * F.greatest(F.col("q75") - F.col("q50"), spread))
-    both = both.withColumn("lo", F.col("q50") - FENCE * F.greatest(F.col("q50") - F.col("q25"), spread))
-    limits = [F.max(F.when(F.col("measure") == k, F.col("hi"))).alias(f"{k}_max") for k in SPREAD]
-    return both.groupBy(lang, source).agg(*limits, F.max(F.when(F.col("measure") == "word_len", F.col("lo"))).alias("word_len_min"))
+    """(lang, source, <measure>_max of each, word_len_min, own_<measure>): one row for each pair in stats. own_ tells whose sketch
+    set the upper fence: source, language or all."""
+    fine = written(sketch(stats, [lang, source]), "buckets")
+    percents = {"mid": 50, "low": 100 - TAIL["word_len"], **{f"p{p}": p for p in sorted({*TAIL.values()})}}
+    facts = lambda by: [*by, "measure", "total", "mid", "low", F.expr(f"CASE measure {' '.join(f"WHEN '{k}' THEN p{p}" for k, p in TAIL.items())} END").alias("top")]
+    own = quantiles(fine, [lang, source], percents).select(*facts([lang, source]))
+    of_lang = quantiles(merge(fine, [lang]), [lang], percents).select(*facts([lang]))
+    of_all = quantiles(merge(fine, []), [], percents).select(*facts([]))
+    renamed = lambda df, tag: df.withColumnsRenamed({c: f"{tag}_{c}" for c in df.columns})
+    both = own.join(renamed(of_lang, "l"), F.col(lang).eqNullSafe(F.col(f"l_{lang}")) & (F.col("measure") == F.col("l_measure"))).join(renamed(of_all, "a"), F.col("measure") == F.col("a_measure"))
+
+    def chosen(side: str, end: str) -> list[Column]:
+        """The end (top or low) and the median of the first sketch that is large enough and has a tail."""
+        mine, language = (f"{t}total >= {MIN_GROUP} AND {t}{end} <> {t}mid" for t in ("", "l_"))
+        return [F.expr(f"CASE WHEN {mine} THEN {c} WHEN {language} THEN l_{c} ELSE a_{c} END").alias(f"{side}_{c}") for c in (end, "mid")] + [F.expr(f"CASE WHEN {mine} THEN 'source' WHEN {language} THEN 'language' ELSE 'all' END").alias(f"{side}_from")]
+
+    both = both.select(lang, source, "measure", "l_total", "l_top", "l_mid", *chosen("up", "top"), *chosen("down", "low"))
+    hi = f"up_top + greatest((up_top - up_mid) DIV 2, {_width('up_top')})"
+    cap = f"CASE WHEN l_total >= {MIN_GROUP} AND l_top <> l_mid THEN l_top + greatest(2 * (l_top - l_mid), {_width('l_top')}) END"
+    both = both.withColumn("hi", F.expr(f"least({hi}, {cap})"))  # least() leaves nulls out
+    both = both.withColumn("lo", F.expr(f"down_low - greatest((down_mid - down_low) DIV 2, {_width('down_low')})"))
+    limits = [F.max(F.when(F.col("measure") == k, F.col("hi"))).alias(f"{k}_max") for k in TAIL]
+    owners = [F.max(F.when(F.col("measure") == k, F.col("up_from"))).alias(f"own_{k}") for k in TAIL]
+    return both.groupBy(lang, source).agg(*limits, F.max(F.when(F.col("measure") == "word_len", F.col("lo"))).alias("word_len_min"), *owners)
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -125,14 +144,33 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     and for the join, whose other side has one row for each language and source.
     """
     stats = written(measures(df, text).withColumn("base_failed", base_failed()), "quality")
-    limits = thresholds(stats.where("NOT base_failed"), lang, source).withColumnsRenamed({lang: "__lang", source: "__source"})
+    limits = thresholds(stats.where("NOT base_failed"), lang, source).drop(*[f"own_{k}" for k in TAIL]).withColumnsRenamed({lang: "__lang", source: "__source"})
     joined = stats.join(limits, stats[lang].eqNullSafe(limits["__lang"]) & stats[source].eqNullSafe(limits["__source"]), "left")
     fine = F.lit(True)
     for name, rate in _rates().items():
         fine = fine & (rate <= F.coalesce(F.col(f"{name}_max"), rate.cast("bigint")))
     fine = fine & (_rates()["word_len"] >= F.coalesce(F.col("word_len_min"), F.lit(0)))
     out = joined.withColumn("kept", ~F.col("base_failed") & fine)
-    return out.drop("__lang", "__source", "word_len_min", "n_lines", *[f"{k}_max" for k in SPREAD])
+    return out.drop("__lang", "__source", "word_len_min", "n_lines", *[f"{k}_max" for k in TAIL])
+
+
+def _duck_width(q: str) -> str:
+    return f"CASE WHEN {q} < 128 THEN 1 ELSE 1::BIGINT << (length(bin({q})) - 7) END"
+
+
+def _levels() -> str:
+    """Quantiles of each source, language and of all texts, from the bucket counts k."""
+    top = " ".join(f"WHEN '{k}' THEN {p}" for k, p in TAIL.items())
+    out = []
+    for name, by in (("own", "lang, source, "), ("lang", "lang, "), ("all", "")):
+        out.append(f"c_{name} AS (SELECT {by}measure, bucket, sum(sum(n)) OVER (PARTITION BY {by}measure ORDER BY bucket) AS c, sum(sum(n)) OVER (PARTITION BY {by}measure) AS total FROM k GROUP BY {by}measure, bucket)")
+        out.append(f"q_{name} AS (SELECT {by}measure, any_value(total) AS total, min(bucket) FILTER (c * 100 >= total * 50) AS mid, min(bucket) FILTER (c * 100 >= total * {100 - TAIL['word_len']}) AS low, min(bucket) FILTER (c * 100 >= total * CASE measure {top} END) AS top FROM c_{name} GROUP BY {by}measure)")
+    return ",\n".join(out)
+
+
+def _pick(end: str) -> str:
+    own, lang = (f"{t}.total >= {MIN_GROUP} AND {t}.{end} <> {t}.mid" for t in "ol")
+    return ", ".join(f"CASE WHEN {own} THEN o.{c} WHEN {lang} THEN l.{c} ELSE a.{c} END AS {end}_{n}" for c, n in ((end, "q"), ("mid", "m")))
 
 
 #: DuckDB SQL with the same result for a table documents(doc_id, text, lang, source).
@@ -152,20 +190,13 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 m AS (SELECT lang, source, measure, v FROM (SELECT lang, source, symbols, dup_lines, repeats, word_len FROM b WHERE NOT base_failed)
         UNPIVOT (v FOR measure IN (symbols, dup_lines, repeats, word_len))),
 k AS (SELECT lang, source, measure, CASE WHEN v < 128 THEN v ELSE v - v % (1::BIGINT << (length(bin(v)) - 7)) END AS bucket, count(*) AS n FROM m GROUP BY ALL),
-fine AS (SELECT lang, source, measure, bucket, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM k),
-fq AS (SELECT lang, source, measure, any_value(total) AS total, min(bucket) FILTER (c * 100 >= total * 25) AS q25, min(bucket) FILTER (c * 100 >= total * 50) AS q50,
-        min(bucket) FILTER (c * 100 >= total * 75) AS q75 FROM fine GROUP BY ALL),
-kl AS (SELECT lang, measure, bucket, sum(n) AS n FROM k GROUP BY ALL),
-coarse AS (SELECT lang, measure, bucket, sum(n) OVER (PARTITION BY lang, measure ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY lang, measure) AS total FROM kl),
-cq AS (SELECT lang, measure, min(bucket) FILTER (c * 100 >= total * 25) AS q25, min(bucket) FILTER (c * 100 >= total * 50) AS q50,
-        min(bucket) FILTER (c * 100 >= total * 75) AS q75 FROM coarse GROUP BY ALL),
-z AS (SELECT fq.lang, fq.source, fq.measure, CASE WHEN total >= {MIN_GROUP} THEN fq.q25 ELSE cq.q25 END AS q25, CASE WHEN total >= {MIN_GROUP} THEN fq.q50 ELSE cq.q50 END AS q50,
-        CASE WHEN total >= {MIN_GROUP} THEN fq.q75 ELSE cq.q75 END AS q75,
-        CASE fq.measure {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SPREAD.items())} END AS spread
-        FROM fq JOIN cq ON fq.lang IS NOT DISTINCT FROM cq.lang AND fq.measure = cq.measure),
-f AS (SELECT lang, source, {', '.join(f"max(q50 + {FENCE} * greatest(q75 - q50, spread)) FILTER (measure = '{k}') AS {k}_max" for k in SPREAD)},
-        max(q50 - {FENCE} * greatest(q50 - q25, spread)) FILTER (measure = 'word_len') AS word_len_min FROM z GROUP BY ALL)
+{_levels()},
+z AS (SELECT o.lang, o.source, o.measure, l.total AS l_total, l.top AS l_top, l.mid AS l_mid, {_pick("top")}, {_pick("low")}
+        FROM q_own o JOIN q_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN q_all a ON o.measure = a.measure),
+x AS (SELECT *, top_q + greatest((top_q - top_m) // 2, {_duck_width("top_q")}) AS hi, low_q - greatest((low_m - low_q) // 2, {_duck_width("low_q")}) AS lo,
+        CASE WHEN l_total >= {MIN_GROUP} AND l_top <> l_mid THEN l_top + greatest(2 * (l_top - l_mid), {_duck_width("l_top")}) END AS cap FROM z),
+f AS (SELECT lang, source, {', '.join(f"max(least(hi, coalesce(cap, hi))) FILTER (measure = '{k}') AS {k}_max" for k in TAIL)}, max(lo) FILTER (measure = 'word_len') AS word_len_min FROM x GROUP BY ALL)
 SELECT b.doc_id, b.lang, b.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND {' AND '.join(f'({k} <= coalesce({k}_max, {k}))' for k in SPREAD)} AND word_len >= coalesce(word_len_min, 0) AS kept
+    NOT base_failed AND {' AND '.join(f'({k} <= coalesce({k}_max, {k}))' for k in TAIL)} AND word_len >= coalesce(word_len_min, 0) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 """

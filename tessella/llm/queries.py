@@ -24,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_warc_captures(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
@@ -69,7 +73,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op7_passage_dedup": op7_passage_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_lm_score": op4_lm_score, "op4_trigram_score": op4_trigram_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op7_passage_dedup": op7_passage_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op3_warc_captures": op3_warc_captures, "op4_lm_score": op4_lm_score, "op4_trigram_score": op4_trigram_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

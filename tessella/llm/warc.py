@@ -1,32 +1,36 @@
 """WARC archives of pages: writing captures, reading them back, and assembling each capture's records into one row.
 
 ``write`` makes for each page a request, a response (or a revisit of the first capture with the same payload) and a metadata
-record; request and metadata name the response in WARC-Concurrent-To. Spark's text writer puts each page's records, as one value
-that ends in the two line ends of a WARC record, into gzip archives of at most ``per_file`` pages.
+record; request and metadata name the response in WARC-Concurrent-To. Record ids are made of the page id and the payload's digest.
+Pages are put together to pieces of about ``ARCHIVE`` bytes, and Spark's text writer makes a gzip archive of each piece, so an
+archive is never larger than that and one page. (Spark has no writer for bytes, so an archive is one gzip member.)
 
-``read`` loads archives as bytes and cuts records by Content-Length, so a payload may hold anything, WARC headers too. ``assemble``
-joins request, response and metadata through the concurrent-to identifiers into one nested row for each capture, and revisits to
-the responses they refer to.
+``read`` decompresses archives as streams and cuts records by Content-Length, so a payload may hold anything, WARC headers too.
+``assemble`` brings the records of a capture together by their concurrent-to identifiers, one shuffle for all kinds, to one nested
+row for each capture; only revisits then meet the responses they refer to.
 
 Defined results: null html is an empty payload. Payloads under ``MIN_SHARED`` bytes are always responses. Among equal payloads the
-smallest page id is the response, the others revisit it; repeated page ids with equal payloads count as one page (one row for
-each input row is written and read). Null urls are written as ``about:blank``. An empty table gives no records. Line ends inside
-urls become %0D and %0A. Columns other than id, url and html are ignored.
+smallest page id is the response, the others revisit it, those without a page id too; without any page id all are responses.
+Repeated page ids with unlike payloads are captures of their own; repeated rows give a row for each. Null urls are written as
+``about:blank``. An empty table gives no records. Line ends inside urls become %0D and %0A. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessella.llm.scratch import shared_dir
+from tessella.llm.scratch import drop, shared_dir, written
 
 MIN_SHARED = 100
+ARCHIVE = 32_000_000
 DATE = "2026-01-01T00:00:00Z"
 _END = "\r\n"
 RECORD = "warc_type string, record_id string, concurrent_to string, refers_to string, uri string, page_id long, payload_digest string, payload_bytes long, payload binary"
@@ -43,25 +47,45 @@ def _record(kind: str, headers: list[tuple[str, Column]], body: Column) -> Colum
 def captures(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, html, digest, refers_to): refers_to names the page whose response holds the payload, null for responses.
 
-    Only payloads that occur more than once are joined back, one row each.
+    Payloads meet by digest and page id alone; the pages are then joined by page id and digest, so a popular payload's texts stay
+    spread out.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("about:blank")), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    shared = rows.where(F.octet_length("html") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
-
-
-def write(found: DataFrame, path: str, per_file: int = 2_000) -> None:
+    large = rows.where(F.octet_length("html") >= MIN_SHARED).select("page_id", "digest")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    again = large.join(first, "digest").where("page_id IS NULL OR refers_to < page_id").distinct()
+    again = again.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
+    return rows.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive values put together up to ARCHIVE characters."""
+    run, size = [], 0
+    piece = lambda: pa.RecordBatch.from_arrays([pa.array([(_END + _END).join(run)], pa.large_string())], names=["value"])
+    for batch in batches:
+        for value in batch.column(0).to_pylist():
+            if run and size + len(value) > ARCHIVE:
+                yield piece()
+                run, size = [], 0
+            run.append(value)
+            size += len(value)
+    if run:
+        yield piece()
+
+
+def write(found: DataFrame, path: str) -> None:
     """Archives of captures() in the folder path."""
-    page = F.col("page_id").cast("string")
-    ids = {kind: F.concat(F.lit(f"<urn:x-capture:{kind}:"), page, F.lit(">")) for kind in ("response", "request", "metadata")}
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    named = lambda kind, of: F.concat(F.lit(f"<urn:x-capture:{kind}:"), of, F.lit(":"), F.col("digest"), F.lit(">"))
+    ids = {kind: named(kind, page) for kind in ("response", "request", "metadata")}
     revisit = F.col("refers_to").isNotNull()
     target = ("WARC-Target-URI", F.col("url"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     status = F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}{_END}")
     http = ("Content-Type", F.lit("application/http; msgtype=response"))
     full = _record("response", [("WARC-Record-ID", ids["response"]), target, digest, http], F.concat(status, F.col("html")))
-    refers = F.concat(F.lit("<urn:x-capture:response:"), F.col("refers_to").cast("string"), F.lit(">"))
+    refers = named("response", F.col("refers_to").cast("string"))
     profile = F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     again = _record("revisit", [("WARC-Record-ID", ids["response"]), target, digest, ("WARC-Refers-To", refers), ("WARC-Profile", profile), http], status)
     joined = ("WARC-Concurrent-To", ids["response"])
@@ -69,26 +93,25 @@ def write(found: DataFrame, path: str, per_file: int = 2_000) -> None:
     about = _record("metadata", [("WARC-Record-ID", ids["metadata"]), joined, target, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page, F.lit(_END)))
     gap = F.lit(_END + _END)
     value = F.concat(ask, gap, F.when(revisit, again).otherwise(full), gap, about)
-    found.select(value.alias("value")).write.option("lineSep", _END + _END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    pieces = found.select(value.alias("value")).mapInArrow(_pieces, "value string")
+    pieces.write.option("lineSep", _END + _END).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
-def records(data: bytes) -> Iterator[dict]:
+def records(data: BinaryIO) -> Iterator[dict]:
     """The records of one archive, in order. A header without a length or a body cut short ends in an error."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record starts at byte {at}")
-        headers = {name.lower(): value for name, _, value in (line.partition(": ") for line in lines)}
-        size = int(headers["content-length"])
-        body = data[end + 4 : end + 4 + size]
-        if len(body) < size:
-            raise ValueError(f"the record at byte {at} is cut short")
+    while line := data.readline():
+        if line == b"\r\n":
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record starts with {line[:40]!r}")
+        headers = {}
+        while (line := data.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
+            headers[name.lower()] = value
+        body = data.read(int(headers["content-length"]))
+        if len(body) < int(headers["content-length"]):
+            raise ValueError(f"the record {headers.get('warc-record-id')} is cut short")
         yield headers | {"body": body}
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
 
 
 def _parsed(r: dict) -> tuple:
@@ -113,7 +136,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for files in batches:
             for content in files.column(0):
                 rows, size = [], 0
-                for r in records(gzip.decompress(memoryview(content.as_buffer()))):
+                for r in records(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))):
                     rows.append(_parsed(r) if payloads else (*_parsed(r)[:-1], None))
                     size += len(r["body"])
                     if size > 8_000_000:
@@ -128,30 +151,37 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 def assemble(found: DataFrame) -> DataFrame:
     """One row for each capture: page_id, request, response and metadata as structs, and the payload's facts (of the response that
-    a revisit refers to)."""
-    main = found.where(F.col("warc_type").isin("response", "revisit"))
-    parts = {kind: found.where(F.col("warc_type") == kind) for kind in ("request", "metadata")}
-    request = parts["request"].select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "uri").alias("request"))
-    metadata = parts["metadata"].select(F.col("concurrent_to").alias("record_id"), "page_id", F.struct("record_id", "page_id").alias("metadata"))
-    response = F.struct("record_id", "warc_type", "uri", "payload_digest", "payload_bytes", "payload", "refers_to")
-    once = lambda df: df.dropDuplicates(["record_id"])  # noqa: E731  rows that repeat a page id have equal records
-    rows = main.select("record_id", response.alias("response")).join(once(request), "record_id", "left").join(once(metadata), "record_id", "left")
-    sizes = once(main.where("warc_type = 'response'").select(F.col("record_id").alias("__to"), F.col("payload_bytes").alias("__n"), F.col("payload_digest").alias("__d")).withColumnRenamed("__to", "record_id")).withColumnRenamed("record_id", "__to")
-    rows = rows.join(sizes, F.col("response.refers_to") == F.col("__to"), "left")
-    origin = F.regexp_extract(F.col("response.refers_to"), ":([-0-9]+)>$", 1)
-    return rows.select(
-        "page_id", "request", "response", "metadata",
-        F.coalesce("response.payload_bytes", "__n").alias("payload_bytes"), F.coalesce("__d", "response.payload_digest").alias("payload_digest"),
-        F.col("response.warc_type").alias("record_type"), F.when(F.col("response.refers_to").isNotNull(), origin.cast("long")).alias("refers_to"),
+    a revisit refers to). A capture whose records are written several times gives as many rows. The rows are written once, in the
+    shared folder, and read for captures and for what revisits refer to."""
+    part = lambda kinds, *cols: F.max(F.when(F.col("warc_type").isin(kinds), F.struct(*cols)))
+    rows = found.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture")).agg(
+        part(["request"], "record_id", "uri").alias("request"),
+        part(["response", "revisit"], "record_id", "warc_type", "uri", "payload_digest", "payload_bytes", "payload", "refers_to").alias("response"),
+        part(["metadata"], "record_id", "page_id").alias("metadata"),
+        F.count(F.when(F.col("warc_type").isin("response", "revisit"), 1)).alias("n"),
+    )
+    rows = written(rows.where("n > 0").select("request", "response", "metadata", F.explode(F.expr("sequence(1L, n)")).alias("copy")).drop("copy"), "captures")
+    full = rows.where("response.warc_type = 'response'").withColumns({"payload_bytes": F.col("response.payload_bytes"), "origin": F.lit(None).cast("long")})
+    sizes = full.select(F.col("response.record_id").alias("to"), "payload_bytes").dropDuplicates(["to"])
+    again = rows.where("response.warc_type = 'revisit'").join(sizes, F.col("response.refers_to") == F.col("to"), "left").drop("to")
+    again = again.withColumn("origin", F.regexp_extract("response.refers_to", ":response:([-0-9]+):", 1).try_cast("long"))
+    return full.unionByName(again).select(
+        F.col("metadata.page_id").alias("page_id"), "request", "response", "metadata", "payload_bytes",
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.col("origin").alias("refers_to"),
     )
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to archives in the shared folder, read them back, and give each page's digest row."""
+def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
+    """Write the pages to archives in the shared folder, read them back, and give each capture's nested row with its facts. The
+    archives are deleted once their captures are assembled."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(captures(pages), path)
-    return assemble(read(spark, path, payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = read(spark, path, payloads)
+    out = assemble(archives)
+    archives._written_to = path
+    drop(archives)
+    return out
 
 
 #: DuckDB SQL with the same result for a table pages(page_id, html).

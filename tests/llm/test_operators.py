@@ -87,6 +87,18 @@ def test_quality_measures(spark, texts):
             assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute_measures(source[x.doc_id])
 
 
+def test_quality_fences_follow_the_source(spark):
+    """Texts of 100 words; a text with symbols in 150 of 1,000 words is usual in one source and not in the other."""
+    r = random.Random(6)
+    row = lambda i, source, marked: (i, " ".join(f"w{j}" + "#" * (j <= marked) for j in r.sample(range(1, 9_000), 9) + list(range(1, 92))), "en", source)
+    rows = [row(i, "plain", i % 4) for i in range(200)] + [row(i, "code", 15 + i % 20) for i in range(200, 400)] + [row(400, "plain", 15), row(401, "code", 15), row(402, "plain", 3), row(403, "code", 90), row(404, "few", 3), row(405, "few", 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {x.doc_id: x.kept for x in quality.judge(df).collect()}
+    assert [got[i] for i in range(400, 406)] == [False, True, True, False, True, False]
+    stats = quality.measures(df).withColumn("base_failed", quality.base_failed())
+    assert {x.source: x.own_symbols for x in quality.thresholds(stats).collect()} == {"plain": "source", "code": "source", "few": "language"}
+
+
 def test_warc_round_trip(spark):
     long = "WARC/1.1\r\n\r\nWARC-Type: response\r\nContent-Length: 5\r\n" * 9
     pages = [(1, "u", long), (2, None, long), (3, "a\r\nb", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (0, "u", "é" * 60)]
@@ -96,9 +108,24 @@ def test_warc_round_trip(spark):
         data = (html or "").encode()
         assert got[i].payload_bytes == len(data) and got[i].payload_digest == hashlib.sha256(data).hexdigest()
     assert (got[2].record_type, got[2].refers_to) == ("revisit", 1) and {got[i].record_type for i in (0, 1, 3, 4, 5, 6)} == {"response"}
+    assert got[2].request.uri == "about:blank" and got[1].response.record_id != got[2].response.record_id and got[3].metadata.page_id == 3
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_odd_page_ids(spark):
+    x, y = "x" * 120, "y" * 130
+    pages = [(None, "u", "b"), (2, "u", x), (2, "u", y), (3, "u", y), (None, "u", y), (4, "u", "z" * 100), (4, "u", "z" * 100), (-1, "u", "w" * 100), (5, "u", "w" * 100)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string"), payloads=True).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [
+        (None, digest("b"), 1, "response", None), (2, digest(x), 120, "response", None), (2, digest(y), 130, "response", None), (3, digest(y), 130, "revisit", 2), (None, digest(y), 130, "revisit", 2),
+        *[(4, digest("z" * 100), 100, "response", None)] * 2, (-1, digest("w" * 100), 100, "response", None), (5, digest("w" * 100), 100, "revisit", -1),
+    ]
+    rows = [(r.page_id, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to) for r in got]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
+    assert all(hashlib.sha256(r.response.payload).hexdigest() == r.payload_digest for r in got if r.record_type == "response")
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_score(spark, texts, order):
     got = {r.id: r for r in lm_score.score(frame(spark, texts), order=order).collect()}
