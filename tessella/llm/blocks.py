@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 4_000_000
-SHARD = 2_500_000
+SHARD = 1_000_000
 ASKED = "shard long, block long, checksum long, keys binary, extra binary"
 TEXTS = "block long, shard long, checksum long, a binary, b binary"
 

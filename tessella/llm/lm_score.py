@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.blocks import TEXTS, answer, asked, gathered, packed, shard_bits, texts, unpacked
-from tessella.llm.scratch import drop, written
+from tessella.llm.scratch import drop, free_shuffles, written
 from tessella.llm.words import mix, word_hashes
 
 ORDER = 2
@@ -82,6 +82,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     bits = shard_bits(rows, "t", order / 2)
     tables = written(count_tables(rows, bits, order), "counts")
+    free_shuffles(df.sparkSession)
     corpus = tables.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
     def keys_only(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,4 +118,5 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int
     found = asked(rows, keys_only, bits).groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(_found, TEXTS)
     answers = written(found, "answers")
     drop(tables)
+    free_shuffles(df.sparkSession)
     return texts(rows).unionByName(answers).groupBy("block").applyInArrow(summed, "id long, n_words long, log_score double, mean_log double")
