@@ -6,22 +6,29 @@ into k + 1 pieces; an occurrence within k edits has at least one piece unchanged
 bytes from its place. So one automaton over all pieces finds all candidates, and Myers' bit-parallel dynamic programme gives the
 smallest edit distance of the item to any part of the candidate's window.
 
-Items reach the executors in blocks of at most ``BLOCK`` bytes, one pass over the documents for each block; there is no shuffle.
+Items reach the executors in blocks of about ``BLOCK`` bytes, which bounds the automaton (about 100 bytes for each of them), with one
+pass over the documents for each block; there is no shuffle. A Python worker keeps the automaton of its last block for its next
+tasks. The driver reads one block after the other and holds all of them until the result is made: item sets are taken to be far
+smaller than the documents, as benchmarks are.
 
 Defined results: null and empty texts match nothing, nor do items without a letter or digit. Equal items each match. Repeated
-rows give repeated matches. Empty tables give an empty result. Columns other than ids and texts are ignored.
+rows give repeated matches; items that share an id are one item with several texts, with the smallest distance of any. Ids may be
+of any type, null too. Empty tables give an empty result. Columns other than ids and texts are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 PERCENT = 8
-BLOCK = 32_000_000
+BLOCK = 4_000_000
 _KEEP = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
@@ -62,7 +69,7 @@ class Myers:
 class Items:
     """The automaton over the pieces of (id, text) items."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int = PERCENT):
+    def __init__(self, items: list[tuple], percent: int = PERCENT):
         self.items, pieces = [], {}
         for item_id, text in items:
             p = plain(text)
@@ -78,7 +85,7 @@ class Items:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> dict[int, int]:
+    def find(self, text: str | None) -> dict:
         """Item id to the smallest distance, for the items that occur within their budget."""
         data, found, done = plain(text), {}, {}
         if not data or not len(self.automaton):
@@ -119,27 +126,43 @@ class Items:
         return True
 
 
+_LAST: dict[bytes, Items] = {}
+
+
+def _index(name: bytes, items: list[tuple], percent: int) -> Items:
+    """The worker's automaton of these items; it holds one at a time."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Items(items, percent)
+    return _LAST[name]
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, distance) for each document and item that occurs in it within its budget."""
-    stated = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
+    stated = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     total = stated.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = int(total) // BLOCK + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("item_id", stated.schema["i"].dataType), T.StructField("distance", T.IntegerType())])
 
-    def scan(items: list[tuple[int, str]]) -> DataFrame:
+    def scan(items: list[tuple]) -> DataFrame:
+        name = hashlib.sha256(pickle.dumps((items, percent))).digest()  # tasks of one query share it
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value, percent)
+            index = _index(name, shared.value, percent)
             for batch in batches:
-                found = [(d, i, k) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, k in sorted(index.find(t).items())]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "distance"])
+                found = [index.find(t) for t in batch.column(1).to_pylist()]
+                rows = pa.array([at for at, f in enumerate(found) for _ in f], pa.int32())
+                pairs = [x for f in found for x in sorted(f.items(), key=repr)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([i for i, _ in pairs], to_arrow_type(schema["item_id"].dataType)), pa.array([k for _, k in pairs], pa.int32())], names=schema.names)
 
-        return rows.mapInArrow(work, "doc_id long, item_id long, distance int")
+        return rows.mapInArrow(work, schema)
 
     out = None
     for block in range(blocks):
-        part = stated if blocks == 1 else stated.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        done = scan(sorted((r.i, r.t) for r in part.collect()))
+        part = stated if blocks == 1 else stated.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block)
+        done = scan(sorted(((r.i, r.t) for r in part.collect()), key=repr))
         out = done if out is None else out.unionByName(done)
-    return out
+    # items that share an id can stand in several blocks
+    return out if blocks == 1 else out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))

@@ -197,7 +197,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 1_000, max_chars: int = 200_000) -> Model:
     """A model of the labelled texts: at most max_rows of each label are fitted, see the module's text.
 
-    The sample holds both labels alike; the intercept is moved to the labels' true odds.
+    The sample holds both labels alike; the intercept is moved to the labels' true odds. An id with several texts stands for the
+    smallest of them that is not too long.
     """
     y = F.col(label).cast("int")
     known = labels.select(F.col(id_col).alias("__id__"), y.alias("__y__")).where(y.isin(0, 1))
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         part = known.where(F.col("__y__") == value).orderBy(F.xxhash64(F.col("__id__").cast("string")), "__id__").limit(max_rows)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(F.col(id_col).alias("__id__"), F.col(text).alias("__t__")).where(F.coalesce(F.length("__t__"), F.lit(0)) <= max_chars)
-    rows = texts.join(F.broadcast(sample), "__id__").select("__t__", "__y__")  # 2 * max_rows ids at most
+    rows = texts.join(F.broadcast(sample), "__id__").groupBy("__id__", "__y__").agg(F.min("__t__").alias("__t__")).select("__t__", "__y__")  # 2 * max_rows ids at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
