@@ -1,9 +1,9 @@
 """Stupid-backoff scores of all documents under the n-gram counts of all other documents.
 
-1. ``count_tables``: the documents' n-grams of 1 to ``order`` words (lower-cased A-Z, hashed to 64 bits, the order in the last two
-   bits), counted in each block of documents, then summed by hash range. The result is a table in the shared folder with the
-   n-grams and counts of one range in each row; it grows with the corpus.
-2. ``score``: the documents' n-grams, exploded and packed as in ``blocks``, are joined to the count tables by hash range.
+1. The documents' n-grams of 1 to ``order`` words (lower-cased A-Z, hashed to 64 bits, the order in the last two bits) are exploded
+   and counted in each block of documents, packed as in ``blocks``, and partitioned by hash range: one shuffle.
+2. Each hash range sums its n-grams to its part of the count table and joins that to the n-grams it got, in the same partition.
+   What is gathered grows with the corpus; no part of the table leaves its partition.
 3. The counts found return to their block, where each document's logarithms are summed.
 
 For a word w after the words of its context, with counts c from which the document's own are taken away, and N words in the other
@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.blocks import TEXTS, answer, asked, gathered, packed, shard_bits, texts, unpacked
-from tessella.llm.scratch import drop, free_shuffles, written
+from tessella.llm.blocks import TEXTS, answer, asked, gathered, shard_bits, texts, unpacked
+from tessella.llm.scratch import written
 from tessella.llm.words import mix, word_hashes
 
 ORDER = 2
@@ -53,41 +53,25 @@ def _counted(order: int):
     return ask
 
 
-def count_tables(rows: DataFrame, bits: int, order: int = ORDER) -> DataFrame:
-    """(shard, keys, counts, words) of rows(id, text): a shard's n-grams, sorted, their counts, and how many words it holds."""
-
-    def merged(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpacked(k) for k in table.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("extra").to_pylist()])
-        different, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, counts, len(different)).astype("<u8")
-        words = int(total[different & _TAG == 0].sum())
-        return pa.table({"shard": table.column("shard")[:1], "keys": pa.array([packed(different)], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary()), "words": pa.array([words])})
-
-    return asked(rows, _counted(order), bits).groupBy("shard").applyInArrow(merged, "shard long, keys binary, counts binary, words long")
-
-
-def _found(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """The count of each key that a shard's blocks ask for. All of them are in the table, as it counts the same documents."""
-    keys, counts = unpacked(known.column("keys")[0].as_py()), np.frombuffer(known.column("counts")[0].as_py(), "<u8")
-    made = []
-    for data in asked.column("keys").to_pylist():
-        found = counts[np.searchsorted(keys, unpacked(data))]
-        made.append(found.astype("<u4" if found.max(initial=0) < 1 << 32 else "<u8"))
-    return answer(asked, [m.dtype.itemsize.to_bytes(1, "little") for m in made], [m.tobytes() for m in made])
+def _joined(table: pa.Table) -> pa.Table:
+    """A hash range: the count of each n-gram in all blocks, for each block that has it, and how many words the range counts."""
+    keys = [unpacked(k) for k in table.column("keys").to_pylist()]
+    counts = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("extra").to_pylist()])
+    different, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, counts, len(different)).astype("<u8")
+    words = int(total[different & _TAG == 0].sum())
+    found = total.astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")[inverse]
+    ends = np.cumsum([len(k) for k in keys])
+    made = answer(table, [found.dtype.itemsize.to_bytes(1, "little")] * len(keys), [found[e - len(k) : e].tobytes() for k, e in zip(keys, ends)])
+    return made.append_column("words", pa.array([words] * len(keys), pa.int64()))
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(id, n_words, log_score, mean_log) for each row of df."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     bits = shard_bits(rows, "t", order / 2)
-    tables = written(count_tables(rows, bits, order), "counts")
-    free_shuffles(df.sparkSession)
-    corpus = tables.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-
-    def keys_only(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        keys = _counted(order)(block)[0]
-        return keys, np.zeros(0, np.uint8)
+    found = written(asked(rows, _counted(order), bits).groupBy("shard").applyInArrow(_joined, f"{TEXTS}, words long"), "answers")
+    corpus = found.groupBy("shard").agg(F.max("words").alias("words")).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
     def summed(table: pa.Table) -> pa.Table:
         ids, block, answers = gathered(table)
@@ -115,8 +99,4 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int
         mean = pa.array(np.divide(log, n_words, out=np.zeros(n_docs), where=n_words > 0), mask=n_words == 0)
         return pa.table({"id": ids, "n_words": pa.array(n_words.astype(np.int64)), "log_score": pa.array(log), "mean_log": mean})
 
-    found = asked(rows, keys_only, bits).groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(_found, TEXTS)
-    answers = written(found, "answers")
-    drop(tables)
-    free_shuffles(df.sparkSession)
-    return texts(rows).unionByName(answers).groupBy("block").applyInArrow(summed, "id long, n_words long, log_score double, mean_log double")
+    return texts(rows).unionByName(found.drop("words")).groupBy("block").applyInArrow(summed, "id long, n_words long, log_score double, mean_log double")

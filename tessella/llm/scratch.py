@@ -6,7 +6,6 @@ lost executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -43,10 +42,3 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of finished jobs when the driver's objects that name them are collected. A step that is
-    about to write as much again asks for that now, instead of waiting until the heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
