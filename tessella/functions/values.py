@@ -122,6 +122,12 @@ def time_facts(raw: pd.Series, precision: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_time(r, p) for r, p in zip(raw, precision)], columns=["error", "seconds", "lo", "hi", "hi_incl"])
 
 
+def day_start(raw: Column, precision: Column) -> Column:
+    """Seconds of a time that is written as a plain day of four-digit years, null for all others: those need time_facts()."""
+    plain = (precision == "d") & raw.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return F.when(plain, F.unix_date(raw.try_cast("date")) * F.lit(86_400.0))
+
+
 def parse_times(df: DataFrame, raw: str = "raw", precision: str = "time_precision") -> DataFrame:
     """df with seconds (of the start) and error. Parts finer than the precision must be absent, 00 or the first day or month."""
     return df.withColumn("__f", time_facts(F.col(raw), F.col(precision))).withColumns({"error": F.col("__f.error"), "seconds": F.col("__f.seconds")}).drop("__f")

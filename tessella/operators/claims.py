@@ -1,6 +1,7 @@
 """Claims as long rows: made from typed rows by a field spec, filtered by confidence, picked, ordered, signed, nested.
 
-The columns of a claims frame are CLAIM. A sub-claim names its parent in parent_claim_id; depth is 0 for claims of a document.
+The columns of a claims frame are CLAIM. A sub-claim names its parent in parent_claim_id and the parent's property in parent_prop;
+depth is 0 for claims of a document.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.sources.settle import settle
+
 CLAIM = {
-    "doc_id": "string", "claim_id": "string", "parent_claim_id": "string", "depth": "int", "ord": "int", "type": "string", "prop": "string",
+    "doc_id": "string", "claim_id": "string", "parent_claim_id": "string", "parent_prop": "string", "depth": "int", "ord": "int", "type": "string", "prop": "string",
     "confidence": "double", "str_value": "string", "raw": "string", "precision": "double", "time_precision": "string", "to": "string", "unit": "string", "lang": "string",
 }
 VALUES = ["str_value", "raw", "precision", "time_precision", "to", "unit", "lang"]
@@ -38,22 +41,28 @@ class Field:
 
 
 def rows_to_claims(df: DataFrame, doc: str, fields: list[Field]) -> DataFrame:
-    """The claims of typed rows: one projection with one struct for each field, then inline; no union of scans."""
+    """The claims of typed rows: one projection with one struct for each field, then inline; no union of scans. Ids of claims that
+    have sub-claims are made in a projection before, once for all of them."""
+    ids: dict[str, Column] = {}
 
-    def struct(f: Field, parent: list[Column] | None, depth: int, guard: Column) -> list[Column]:
+    def struct(f: Field, parent: list[Column] | None, parent_id: Column, parent_prop: Column, depth: int, guard: Column) -> list[Column]:
         prop = F.expr(f.prop_sql) if f.prop_sql else F.lit(f.prop)
         base = [*(parent or [F.expr(doc)]), prop, F.expr(f.key).cast("string"), F.expr(f.ord).cast("string")]
-        on = guard & F.expr(f.when)
+        on, own_id = guard & F.expr(f.when), make_id(*base)
+        if f.subs:
+            ids[name := f"__claim_{len(ids)}"] = own_id
+            own_id = F.col(name)
         made = {
-            "doc_id": F.expr(doc), "claim_id": make_id(*base), "parent_claim_id": make_id(*parent) if parent else F.lit(None), "depth": F.lit(depth),
+            "doc_id": F.expr(doc), "claim_id": own_id, "parent_claim_id": parent_id, "parent_prop": parent_prop, "depth": F.lit(depth),
             "ord": F.expr(f.ord), "type": F.lit(f.type), "prop": prop, "confidence": F.expr(f.confidence),
             **{v: F.expr(f.values[v]) if v in f.values else F.lit(None) for v in VALUES},
         }
         own = F.when(on, F.struct(*[made[c].cast(kind).alias(c) for c, kind in CLAIM.items()]))
-        return [own, *[x for s in f.subs for x in struct(s, base, depth + 1, on)]]
+        return [own, *[x for s in f.subs for x in struct(s, base, own_id, prop, depth + 1, on)]]
 
-    all_claims = F.array(*[x for f in fields for x in struct(f, None, 0, F.lit(True))])
-    return df.select(F.inline(F.filter(all_claims, lambda x: x.isNotNull())))
+    none = F.lit(None).cast("string")
+    all_claims = F.array(*[x for f in fields for x in struct(f, None, none, none, 0, F.lit(True))])
+    return df.withColumns(ids).select(F.inline(all_claims)).where("claim_id IS NOT NULL")
 
 
 def with_ids(claims: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def with_ids(claims: DataFrame) -> DataFrame:
 def fill_defaults(claims: DataFrame, docs: DataFrame, spec: DataFrame) -> DataFrame:
     """claims with none or unknown claims added where spec(prop, min, default) asks for more than a document of docs has."""
     have = claims.where("depth = 0").groupBy("doc_id", "prop").agg(F.count("*").alias("n"))
-    want = docs.select("doc_id").distinct().join(F.broadcast(spec.where("min > 0")), F.lit(True))  # the spec is a fixed small table
+    want = docs.select("doc_id").distinct().crossJoin(spec.where("min > 0"))  # a few properties for each document
     lack = want.join(have, ["doc_id", "prop"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < min")
     rows = lack.select("*", F.explode(F.sequence(F.lit(1), (F.col("min") - F.col("n")).cast("int"))).alias("i"))
     made = {c: F.lit(None).cast(kind) for c, kind in CLAIM.items()}
@@ -73,13 +82,15 @@ def fill_defaults(claims: DataFrame, docs: DataFrame, spec: DataFrame) -> DataFr
     return claims.unionByName(rows.select(*[made[c].alias(c) for c in CLAIM]))
 
 
-def confident(claims: DataFrame, floor: float = FLOOR, depth: int = 3) -> DataFrame:
-    """claims without those under the floor and everything below them. depth bounds how deep claims nest."""
-    gone = claims.where(F.col("confidence") < floor).select("claim_id")
-    below = gone
-    for _ in range(depth - 1):
-        below = claims.join(below.select(F.col("claim_id").alias("parent_claim_id")), "parent_claim_id", "left_semi").select("claim_id")
-        gone = gone.unionByName(below)
+def confident(claims: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """claims without those under the floor and everything below them, however deep. The claims are made twice: for the table of
+    ids, where the claims that go are followed downwards level by level, and for the result."""
+    rows = settle(claims.select("claim_id", "parent_claim_id", (F.col("confidence") < floor).alias("low")))
+    low, gone = rows.where("low").select("claim_id"), None
+    while gone is None or not low.isEmpty():
+        low = settle(low)
+        gone = low if gone is None else gone.unionByName(low)
+        low = rows.join(low.select(F.col("claim_id").alias("parent_claim_id")), "parent_claim_id", "left_semi").select("claim_id")
     return claims.join(gone, "claim_id", "left_anti")
 
 
@@ -108,22 +119,34 @@ def claim_lists(claims: DataFrame, prop: str, list_prop: str = "LIST", order_pro
     return rows.select("doc_id", "list", F.row_number().over(w).alias("position"), "claim_id")
 
 
-def nest_claims(claims: DataFrame) -> DataFrame:
-    """(doc_id, claims): one row for each document with its claims in order, sub-claims inside their claim (two levels)."""
-    value = [c for c in CLAIM if c not in ("doc_id", "parent_claim_id", "depth")]
-    subs = claims.where("depth = 1").groupBy("parent_claim_id").agg(F.sort_array(F.collect_list(F.struct("ord", "claim_id", *[c for c in value if c not in ("ord", "claim_id")]))).alias("sub"))
-    top = claims.where("depth = 0").join(subs.withColumnRenamed("parent_claim_id", "claim_id"), "claim_id", "left")
-    item = F.struct("ord", "claim_id", *[c for c in value if c not in ("ord", "claim_id")], "sub")
-    return top.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("claims"))
+def nest_claims(claims: DataFrame, depth: int = 2) -> DataFrame:
+    """(doc_id, claims): one row for each document with its claims in order, sub-claims inside their claim as sub. depth is the
+    number of levels; a claim below them is an error."""
+    names = ["ord", "claim_id", *[c for c in CLAIM if c not in ("doc_id", "parent_claim_id", "depth", "ord", "claim_id")]]
+    fits = F.when(F.col("depth") < depth, F.col("ord")).otherwise(F.raise_error(F.lit(f"a claim lies below {depth} levels")).cast("int"))
+    below = None
+    for level in range(depth - 1, -1, -1):
+        rows = claims.where(F.col("depth") == level if level < depth - 1 else F.col("depth") >= level)
+        rows = rows.withColumn("ord", fits) if level == depth - 1 else rows
+        rows = rows if below is None else rows.join(below, "claim_id", "left")
+        item = F.struct(*names, *([] if below is None else ["sub"]))
+        if level == 0:
+            return rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("claims"))
+        below = rows.groupBy(F.col("parent_claim_id").alias("claim_id")).agg(F.sort_array(F.collect_list(item)).alias("sub"))
+    raise ValueError("depth must be at least 1")
 
 
 def explode_claims(nested: DataFrame) -> DataFrame:
-    """The long rows of nest_claims()."""
-    top = nested.select("doc_id", F.explode("claims").alias("c"))
-    rows = lambda c, parent, depth: [F.col("doc_id"), *[{"parent_claim_id": parent, "depth": F.lit(depth)}.get(x, F.col(f"{c}.{x}") if x not in ("parent_claim_id", "depth") else None).cast(kind).alias(x) for x, kind in CLAIM.items() if x != "doc_id"]]
-    first = top.select(*rows("c", F.lit(None), 0))
-    second = top.select("doc_id", F.col("c.claim_id").alias("p"), F.explode("c.sub").alias("s")).select(*rows("s", F.col("p"), 1))
-    return first.unionByName(second)
+    """The long rows of nest_claims(), of any number of levels."""
+    level, out = nested.select("doc_id", F.lit(None).cast("string").alias("p"), F.explode("claims").alias("c")), None
+    for depth in range(100):
+        made = {"doc_id": F.col("doc_id"), "parent_claim_id": F.col("p"), "depth": F.lit(depth)}
+        rows = level.select(*[made.get(x, F.col(f"c.{x}") if x not in made else None).cast(kind).alias(x) for x, kind in CLAIM.items()])
+        out = rows if out is None else out.unionByName(rows)
+        if "sub" not in level.schema["c"].dataType.names:
+            break
+        level = level.select("doc_id", F.col("c.claim_id").alias("p"), F.explode("c.sub").alias("c"))
+    return out
 
 
 def claim_signature(claims: DataFrame, with_id: bool = False, with_sub: bool = True) -> DataFrame:

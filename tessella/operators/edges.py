@@ -33,9 +33,9 @@ def inverse_claims(claims: DataFrame, props: DataFrame, fields: DataFrame | None
 def embed_claims(claims: DataFrame, fields: DataFrame) -> DataFrame:
     """Sub-claims copied under referring claims: for each claim of fields(prop, source_prop) the referenced document's top-level
     claims of source_prop, with new ids."""
-    refs = claims.where("type = 'ref' AND depth = 0").join(F.broadcast(fields), "prop").select(F.col("doc_id").alias("__doc"), F.col("claim_id").alias("__claim"), F.col("to").alias("doc_id"), F.col("source_prop").alias("prop"))
+    refs = claims.where("type = 'ref' AND depth = 0").join(F.broadcast(fields), "prop").select(F.col("doc_id").alias("__doc"), F.col("claim_id").alias("__claim"), F.col("to").alias("doc_id"), F.col("prop").alias("__prop"), F.col("source_prop").alias("prop"))
     found = refs.join(claims.where("depth = 0"), ["doc_id", "prop"])
-    made = {c: F.col(c) for c in CLAIM} | {"doc_id": F.col("__doc"), "claim_id": make_id(F.lit("embedded"), F.col("__claim"), F.col("claim_id")), "parent_claim_id": F.col("__claim"), "depth": F.lit(1)}
+    made = {c: F.col(c) for c in CLAIM} | {"doc_id": F.col("__doc"), "claim_id": make_id(F.lit("embedded"), F.col("__claim"), F.col("claim_id")), "parent_claim_id": F.col("__claim"), "parent_prop": F.col("__prop"), "depth": F.lit(1)}
     return found.select(*[made[c].alias(c) for c in CLAIM])
 
 

@@ -163,7 +163,10 @@ def _group(records: DataFrame, parent: str, members: dict[tuple, list[Filter]],
     A member that only asks for missing, and is the only one, asks instead that no qualifying parent claim carries the property.
     """
     # one parent claim gives one group: its own records (several where a reference was expanded) and those below it
-    rows = records.where((F.col("parent_prop") == parent) | ((F.col("prop") == parent) & (F.col("depth") == 0)))
+    asked = sorted({f.prop for fs in members.values() for f in fs if f.prop})
+    below = (F.col("parent_prop") == parent) & (F.col("depth") > 0)
+    below = below & F.col("prop").isin(asked) if all(f.prop for fs in members.values() for f in fs) else below  # others need no shuffle
+    rows = records.where(below | ((F.col("prop") == parent) & (F.col("depth") == 0)))
     key = F.when(F.col("depth") == 0, F.col("claim_id")).otherwise(F.col("parent_claim_id")).alias("__claim")
     sub, own = F.col("depth") > 0, F.col("depth") == 0
     narrow = _any([f for f in narrowing if f.kind != "missing"], False) if narrowing else F.lit(True)

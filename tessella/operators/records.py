@@ -4,27 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.functions.values import amount_window, amount_value, time_windows
+from tessella.functions.values import amount_window, amount_value, day_start, time_windows
 from tessella.operators.hierarchy import expand_refs, mark_leaves
 
 RECORD = ["doc_id", "claim_id", "parent_claim_id", "parent_prop", "depth", "collection", "claim_type", "prop", "to", "direct", "is_leaf", "unit", "lo", "hi", "hi_incl", "text"]
 
 
 def records(claims: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """The records of claims. A sub-claim's record carries its parent claim's property."""
-    parents = claims.where("depth = 0").select(F.col("claim_id").alias("parent_claim_id"), F.col("prop").alias("parent_prop"))
-    nested = claims.where("depth > 0").join(parents, "parent_claim_id").select(*claims.columns, "parent_prop")
-    rows = claims.where("depth = 0").withColumn("parent_prop", F.lit(None).cast("string")).unionByName(nested)
+    """The records of claims. A sub-claim's record carries its parent claim's property.
+
+    References are expanded; all other claims are shaped in one projection. Only times that are no plain days go through Python.
+    """
     blank = {"to": "string", "direct": "boolean", "is_leaf": "boolean", "lo": "double", "hi": "double", "hi_incl": "boolean", "text": "string"}
 
     def shaped(df: DataFrame, collection) -> DataFrame:
         have = {c: F.col(c) if c in df.columns else F.lit(None).cast(kind) for c, kind in blank.items()}
         return df.select(*[{"collection": collection, "claim_type": F.col("type")}.get(c, have.get(c, F.col(c))).alias(c) for c in RECORD])
 
-    refs = shaped(mark_leaves(expand_refs(rows, ancestors)), F.lit("rel"))
-    plain = shaped(rows.where("type IN ('has', 'none', 'unknown')").drop("to"), F.lit("rel"))
-    texts = shaped(rows.where("type IN ('id', 'string', 'html', 'link')").drop("to").withColumn("text", F.col("str_value")), F.col("type"))
+    kind, day = F.col("type"), F.when(F.col("type") == "time", day_start(F.col("raw"), F.col("time_precision")))
     lo, hi, incl = amount_window(amount_value(F.col("raw")), F.col("precision"))
-    amounts = shaped(rows.where("type = 'amount'").drop("to").withColumns({"lo": lo, "hi": hi, "hi_incl": incl}), F.lit("amount"))
-    times = shaped(time_windows(rows.where("type = 'time'").drop("to")), F.lit("time"))
-    return refs.unionByName(plain).unionByName(texts).unionByName(amounts).unionByName(times)
+    simple = claims.where((kind != "ref") & ((kind != "time") | day.isNotNull())).drop("to").withColumns({
+        "text": F.when(kind.isin("id", "string", "html", "link"), F.col("str_value")),
+        "lo": F.when(kind == "amount", lo).otherwise(day), "hi": F.when(kind == "amount", hi).otherwise(day + 86_400.0),
+        "hi_incl": F.when(kind == "amount", incl).when(kind == "time", False),
+    })
+    out = shaped(simple, F.when(kind.isin("has", "none", "unknown"), "rel").otherwise(kind))
+    times = shaped(time_windows(claims.where((kind == "time") & day.isNull()).drop("to")), F.lit("time"))
+    return shaped(mark_leaves(expand_refs(claims, ancestors)), F.lit("rel")).unionByName(out).unionByName(times)

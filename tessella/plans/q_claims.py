@@ -8,7 +8,7 @@ from tessella.functions import values as V
 from tessella.operators import claims as K
 from tessella.plans.tables import claims, claims_sql, fixed, table
 
-C = {n: f"WITH c AS ({claims_sql(*n.split('_'))}) " for n in ("orders_lineitem", "lineitem", "orders", "customer", "part", "documents", "customer_nation_region")}
+C = {n: f"WITH c AS MATERIALIZED ({claims_sql(*n.split('_'))}) " for n in ("orders_lineitem", "lineitem", "orders", "customer", "part", "documents", "customer_nation_region")}
 Q, SQL = {}, {}
 
 
@@ -41,7 +41,7 @@ def claims_of(s, d):
     return K.claims_of(claims(s, d, "lineitem"), "ref", "LINE", 0.7).select("doc_id", "claim_id", "position")
 
 
-@query(C["lineitem"] + "SELECT doc_id, claim_id, prop FROM c WHERE confidence >= 0.75 AND (parent_claim_id IS NULL OR parent_claim_id NOT IN (SELECT claim_id FROM c WHERE confidence < 0.75))")
+@query(C["lineitem"] + "SELECT doc_id, claim_id, prop FROM c LEFT JOIN (SELECT DISTINCT claim_id AS gone FROM c WHERE confidence < 0.75 AND depth = 0) g ON parent_claim_id = gone WHERE confidence >= 0.75 AND gone IS NULL")
 def confident_subtree(s, d):
     return K.confident(claims(s, d, "lineitem"), 0.75).select("doc_id", "claim_id", "prop")
 
@@ -69,7 +69,8 @@ def claim_lists(s, d):
     return K.claim_lists(marked, "LINE", "RETURNED", "QUANTITY")
 
 
-@query(C["lineitem"] + """SELECT a.doc_id, a.claim_id AS start_id, b.claim_id, b.raw FROM c a JOIN c b ON b.parent_claim_id = a.claim_id WHERE a.prop = 'LINE' AND b.prop = 'SHIPPED' AND a.confidence >= 0.75 AND b.confidence >= 0.75""")
+@query(C["lineitem"] + """, a AS MATERIALIZED (SELECT doc_id, claim_id FROM c WHERE prop = 'LINE' AND confidence >= 0.75), b AS MATERIALIZED (SELECT parent_claim_id, claim_id, raw FROM c WHERE prop = 'SHIPPED' AND confidence >= 0.75)
+SELECT a.doc_id, a.claim_id AS start_id, b.claim_id, b.raw FROM a JOIN b ON b.parent_claim_id = a.claim_id""")
 def navigate(s, d):
     return K.navigate(claims(s, d, "lineitem"), ["LINE", "SHIPPED"], 0.75).select("doc_id", "start_id", "claim_id", "raw")
 

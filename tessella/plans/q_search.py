@@ -137,7 +137,7 @@ def discover_facets(s, d):
 UNION ALL SELECT 'amount', 'TOTAL', '', count(*) FROM o UNION ALL SELECT 'time', 'ORDERED', '', count(*) FROM o UNION ALL SELECT 'has', '', '', count(*) FROM o)
 SELECT kind, prop, unit, docs, prop = 'PRIORITY' AS active, (row_number() OVER (ORDER BY prop = 'PRIORITY' DESC, docs DESC, kind, prop))::INT AS position FROM f""")
 def facet_list(s, d):
-    return A.facets(order_records(s, d), ["PRIORITY"])
+    return A.facets(settle(order_records(s, d)), ["PRIORITY"])
 
 
 @query(BASE + "SELECT 'STATUS_' || o_orderstatus AS prop, count(*)::BIGINT AS docs FROM o GROUP BY ALL UNION ALL SELECT '', count(*) FROM o")

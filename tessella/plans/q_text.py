@@ -8,6 +8,7 @@ from tessella.functions import text as T
 from tessella.operators import access as N, claims as K, duplicates as J, facets as A, hierarchy as H, quality as V, textsearch as I
 from tessella.operators.records import records
 from tessella.plans.q_search import ANC, BASE, ancestors, edges, order_records, orders
+from tessella.sources.settle import settle
 from tessella.plans.tables import claims, claims_sql, fixed, table
 
 Q, SQL = {}, {}
@@ -180,7 +181,7 @@ def link_report(s, d):
 
 def index(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return I.build_token_index(docs, folded=False)
+    return settle(I.build_token_index(docs, folded=False))
 
 
 STEM = "regexp_replace(lower(x), '(ing|edly|ed|es|s|ly)$', '')"
@@ -234,7 +235,7 @@ def boosted(s, d):
     return I.boost(I.best_language(I.bm25(index(s, d), ["idiot", "scum"])), table(s, d, "documents").select("doc_id", F.col("n_chars").alias("score")), 0.5)
 
 
-@query()
+@query(INDEX + "SELECT lower(strip_accents(replace(exact, 'ß', 'ss'))) AS term, count(*)::BIGINT AS n FROM t GROUP BY ALL")
 def folded_terms(s, d):
     rows = table(s, d, "documents").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return rows.groupBy(T.fold(F.col("w")).alias("term")).agg(F.sum("n").alias("n"))

@@ -59,17 +59,17 @@ def claims(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 def claims_sql(*names: str) -> str:
     """A DuckDB query with the rows of claims()."""
-    def one(name: str, doc: str, f: Field, base: str | None, depth: int, on: str) -> list[str]:
+    def one(name: str, doc: str, f: Field, base: str | None, up: str, depth: int, on: str) -> list[str]:
         prop = f.prop_sql or f"'{f.prop}'"
         parent = f"left(sha256({base}), 22)" if base else "NULL"
         here = f"{base or doc} || chr(0) || {prop} || chr(0) || {f.key} || chr(0) || {f.ord}"
         when = f"{on} AND {f.when}"
-        made = {"doc_id": doc, "claim_id": f"left(sha256({here}), 22)", "parent_claim_id": parent, "depth": str(depth), "ord": f.ord, "type": f"'{f.type}'", "prop": prop, "confidence": f.confidence.replace("D", ""), **{v: f.values.get(v, "NULL").replace("1D", "1").replace("0D", "0") for v in VALUES}}
+        made = {"doc_id": doc, "claim_id": f"left(sha256({here}), 22)", "parent_claim_id": parent, "parent_prop": up, "depth": str(depth), "ord": f.ord, "type": f"'{f.type}'", "prop": prop, "confidence": f.confidence.replace("D", ""), **{v: f.values.get(v, "NULL").replace("1D", "1").replace("0D", "0") for v in VALUES}}
         kind = {"string": "VARCHAR", "int": "INT", "double": "DOUBLE"}
         row = ", ".join(f'CAST({made[c]} AS {kind[k]}) AS "{c}"' for c, k in CLAIM.items())
-        return [f"SELECT {row} FROM {name} WHERE {when}", *[x for s in f.subs for x in one(name, doc, s, here, depth + 1, when)]]
+        return [f"SELECT {row} FROM {name} WHERE {when}", *[x for s in f.subs for x in one(name, doc, s, here, prop, depth + 1, when)]]
 
-    return " UNION ALL ".join(x for name in names for f in SPECS[name][1] for x in one(name, SPECS[name][0], f, None, 0, "true"))
+    return " UNION ALL ".join(x for name in names for f in SPECS[name][1] for x in one(name, SPECS[name][0], f, None, "NULL", 0, "true"))
 
 
 def fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
