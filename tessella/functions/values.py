@@ -139,6 +139,13 @@ def time_windows(df: DataFrame, raw: str = "raw", precision: str = "time_precisi
     return out.withColumns({c: F.col(f"__f.{c}") for c in ("error", "seconds", "lo", "hi", "hi_incl")}).drop("__f")
 
 
+def time_starts(df: DataFrame, raw: str = "raw", precision: str = "time_precision") -> DataFrame:
+    """df with lo, the start of its time; plain days stay out of Python. What is no time has a null."""
+    day = day_start(F.col(raw), F.col(precision))
+    rest = time_windows(df.where(day.isNull()), raw, precision).drop("error", "seconds", "hi", "hi_incl")
+    return df.where(day.isNotNull()).withColumn("lo", day).unionByName(rest)
+
+
 def with_civil(df: DataFrame, seconds: str) -> DataFrame:
     """df with __y, __m, __d (civil date) and __r (seconds of the day), a few columns at a time so that no expression grows."""
     df = df.withColumn("__z", F.floor(F.col(seconds) / 86400).cast("bigint"))

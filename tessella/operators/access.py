@@ -65,7 +65,7 @@ def read_access(docs: DataFrame, roles: list[str], subject: str | None) -> DataF
 
 def caller_levels(caller_roles: DataFrame, levels: DataFrame) -> DataFrame:
     """(caller, level): the highest level of levels(role, level, rank) that one of a caller's roles gives."""
-    return caller_roles.join(F.broadcast(levels), "role").groupBy("caller").agg(F.max_by("level", "rank").alias("level"))
+    return caller_roles.join(levels, "role").groupBy("caller").agg(F.max_by("level", "rank").alias("level"))
 
 
 def source_flags(docs: DataFrame, roles: DataFrame, audiences: DataFrame) -> DataFrame:

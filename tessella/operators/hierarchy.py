@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.functions.values import time_starts
 from tessella.operators.claims import FLOOR
 from tessella.sources.settle import settle
 
@@ -144,7 +145,8 @@ def propagate_props(claims: DataFrame, closure: DataFrame) -> DataFrame:
 
 def earliest_sub_interval(claims: DataFrame, prop: str, sub: str) -> DataFrame:
     """(doc_id, claim_id, to): of each document's references the one whose sub-claim starts first; without any, the surest."""
-    starts = claims.where((F.col("prop") == sub) & (F.col("depth") == 1)).groupBy(F.col("parent_claim_id").alias("claim_id")).agg(F.min("raw").alias("start"))
+    subs = time_starts(claims.where((F.col("prop") == sub) & (F.col("depth") == 1)).select("parent_claim_id", "raw", "time_precision"))
+    starts = subs.groupBy(F.col("parent_claim_id").alias("claim_id")).agg(F.min("lo").alias("start"))
     rows = claims.where((F.col("prop") == prop) & (F.col("type") == "ref") & (F.col("depth") == 0)).join(starts, "claim_id", "left")
     w = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("start"), F.desc("confidence"), "ord", "claim_id")
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "claim_id", "to")

@@ -111,9 +111,14 @@ def permitted(s, d):
     return N.permitted(fixed(s, [("ann", "admin"), ("bob", "clerk")], "caller string, role string"), roles, own, {"update": ["read"]}, "update")
 
 
-@query("SELECT 'ann' AS caller, 'secret' AS level UNION ALL SELECT 'bob', 'public'")
+@query("SELECT 'c:' || c_custkey AS caller, 'level_' || CASE WHEN c_acctbal > 0 THEN r_name ELSE c_mktsegment END AS level FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def caller_levels(s, d):
-    return N.caller_levels(fixed(s, [("ann", "admin"), ("ann", "clerk"), ("bob", "clerk")], "caller string, role string"), fixed(s, [("clerk", "public", 1), ("admin", "secret", 2)], "role string, level string, rank int"))
+    """Each customer has the role of its segment, those with money that of their region too, whose levels rank above."""
+    people = table(s, d, "customer").join(table(s, d, "nation"), F.expr("c_nationkey = n_nationkey")).join(table(s, d, "region"), F.expr("n_regionkey = r_regionkey"))
+    roles = people.select(F.expr("'c:' || c_custkey").alias("caller"), F.explode(F.expr("IF(c_acctbal > 0, array(c_mktsegment, r_name), array(c_mktsegment))")).alias("role"))
+    low = table(s, d, "customer").select(F.col("c_mktsegment").alias("role"), F.lit(1).alias("rank")).distinct()
+    levels = low.unionByName(table(s, d, "region").select(F.col("r_name").alias("role"), F.lit(2).alias("rank"))).withColumn("level", F.concat(F.lit("level_"), "role"))
+    return N.caller_levels(roles, levels)
 
 
 @query("SELECT 'o:' || o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'O' OR o_custkey = 5")
