@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import ctypes
 import gc
 import hashlib
 import re
@@ -298,6 +299,8 @@ def _added(df: DataFrame, column: str, added: T.StructType, f, keep_tables: bool
         if not keep_tables:
             _BUILT.clear()
             gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+                trim(0)
 
     return ready.mapInArrow(work, schema)
 

@@ -177,19 +177,24 @@ class Model:
     def __init__(self, weights: np.ndarray, intercept: float):
         self.weights, self.intercept = weights, intercept
 
-    def score(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """df without its text, with score and predicted (1 if score >= 0.5). One pass, no shuffle."""
+    def score(self, df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+        """df without its text (unless kept), with score and predicted (1 if score >= 0.5). One pass, no shuffle."""
         kept = [c for c in df.columns if c not in (text, "score", "predicted")]
-        schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+        made = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+        schema = T.StructType([*[df.schema[c] for c in kept], *([df.schema[text]] if keep_text else []), *made])
         shared = df.sparkSession.sparkContext.broadcast((self.weights, self.intercept))  # 4 MB whatever the input
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, intercept = shared.value
-            for batch in batches:
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                z = np.concatenate([Grams(run).sums(weights) for run in _slices(texts)] or [np.zeros(0)]) + intercept
-                score = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=schema.names)
+            for whole in batches:
+                step = max(1, min(whole.num_rows, int(whole.num_rows * 4_000_000 / max(whole.nbytes, 1))))
+                for i in range(0, whole.num_rows, step):
+                    batch = whole.slice(i, step)
+                    texts = batch.column(batch.num_columns - 1).to_pylist()
+                    z = np.concatenate([Grams(run).sums(weights) for run in _slices(texts)] or [np.zeros(0)]) + intercept
+                    score = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+                    columns = batch.columns if keep_text else batch.columns[:-1]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=schema.names)
 
         return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text__")).mapInArrow(work, schema)
 
