@@ -31,7 +31,7 @@ def _like(packed: DataFrame, docs: DataFrame) -> DataFrame:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go. It learns from all labelled rows of the input documents."""
     rows = _packed(docs)
-    judged = toxicity.fit(rows, table(spark, sf_dir, "labels")).score(rows.withColumn("__copy", F.col("text")), "__copy")
+    judged = toxicity.fit(rows, table(spark, sf_dir, "labels")).score(rows, keep_text=True)
     return _like(judged.where("predicted = 0"), docs)
 
 
