@@ -19,8 +19,8 @@ column named as an output column is replaced.
 from __future__ import annotations
 
 import base64
-import functools
 import ctypes
+import functools
 import gc
 import hashlib
 import re
