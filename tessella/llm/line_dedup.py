@@ -21,15 +21,13 @@ passage without a sentence end is found only as a whole line.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.quality import SPACE, SPACES
 from tessella.llm.scratch import written
 
 LEAD, WIDE = 2, 12
-#: Where a line is cut (the same in Java and Python), and in how many documents a line under min_tokens has to stand to go.
+#: Where a line is cut, and in how many documents a line under min_tokens has to stand to go.
 CUT = r"(?<=[.!?] )(?=[^ ])"
 SHORT_DOCS = 20
 
@@ -79,25 +77,27 @@ def _units(df: DataFrame, id_col: str, text: str, min_tokens: int) -> DataFrame:
     return parts.select("id", "line", "seg", F.xxhash64("m").alias("x"), F.hash("m").alias("y"))
 
 
-def _rebuilt(text: str | None, gone: list | None) -> str | None:
-    """text without the sentences of gone; a line that keeps no token goes."""
-    if text is None:
-        return None
-    by_line: dict[int, set[int]] = {}
-    for g in gone:
-        by_line.setdefault(g["line"], set()).add(g["seg"])
-    out = []
-    for i, line in enumerate(text.split("\n")):
-        if i in by_line:
-            if -1 in by_line[i]:
-                continue
-            parts = re.split(CUT, line)
-            line = "".join(p for k, p in enumerate(parts) if k not in by_line[i])
-            if not line.strip(SPACES):
-                continue
-            line = line.rstrip(" ") if len(parts) - 1 in by_line[i] else line
-        out.append(line)
-    return "\n".join(out)
+def _rebuilt(lines: Column, cuts: Column) -> Column:
+    """The text of lines without the sentences of cuts, (line, segs) by line; a line that keeps no token goes.
+
+    Runs of untouched lines are taken as slices and indices are subtracted by array_except, so the work is that of the text's length.
+    """
+    def left(parts, segs):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), segs)
+        joined = F.array_join(F.transform(stay, lambda k: parts[k]), "")
+        return F.when(F.array_contains(segs, F.size(parts) - 1), F.rtrim(joined)).otherwise(joined)
+
+    def line(cut):
+        # transform over an array of one binds the parts, so that they are split once
+        made = F.transform(F.array(F.split(lines[cut["line"]], CUT, -1)), lambda parts: left(parts, cut["segs"]))
+        return F.when(F.array_contains(cut["segs"], -1), F.expr("CAST(array() AS array<string>)")).otherwise(F.filter(made, lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+
+    def piece(cut, k):
+        before = F.when(k == 0, F.lit(-1)).otherwise(F.get(cuts["line"], k - 1))
+        return F.concat(F.slice(lines, before + 2, cut["line"] - before - 1), line(cut))
+
+    last = F.element_at(cuts, -1)["line"]
+    return F.array_join(F.concat(F.flatten(F.transform(cuts, piece)), F.slice(lines, last + 2, F.size(lines))), "\n")
 
 
 def cut_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens: int = 6, short_docs: int = SHORT_DOCS) -> DataFrame:
@@ -109,15 +109,20 @@ def cut_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     # a document counts once for a short line, however often it has it
     many = short.select("x", "y", "id").distinct().groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= max(2, short_docs)).select("x", "y", "first")
     gone = long.join(often, ["x", "y"]).unionByName(short.join(many, ["x", "y"])).where(F.col("id") > F.col("first"))
-    gone = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("line", "seg")).alias("__cut"))
-    rebuilt = F.udf(_rebuilt, "string", useArrow=True)
+    # dealt by document once, for both aggregations and the join
+    gone = gone.select("id", "line", "seg").repartition("id").groupBy("id", "line").agg(F.collect_set("seg").alias("segs"))
+    gone = gone.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("line", "segs"))).alias("__cut"))
     rest = [c for c in docs.columns if c != "n_cut"]
-    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left").withColumn("__some", F.col("__cut").isNotNull())
-    joined = joined.withColumn("__new", rebuilt(F.when(F.col("__some"), F.col(text)), F.col("__cut")))  # other texts are not sent
+    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left").withColumn("__lines", F.split(F.col(text), "\n", -1))
+    # another text of the same id may have fewer lines
+    joined = joined.withColumn("__cut", F.filter("__cut", lambda c: c["line"] < F.size("__lines")))
+    joined = joined.withColumn("__some", F.coalesce(F.size("__cut"), F.lit(0)) > 0)
+    joined = joined.withColumns({"__lines": F.when(F.col("__some"), F.col("__lines")), "__cut": F.when(F.col("__some"), F.col("__cut"))})
+    joined = joined.withColumn("__new", _rebuilt(F.col("__lines"), F.col("__cut")))
     out = joined.withColumns({
         text: F.when(F.col("__some"), F.col("__new")).otherwise(F.col(text)),
         "kept": F.col("kept") & (~F.col("__some") | (F.btrim("__new", F.lit(SPACES)) != "")),
-        "n_cut": F.coalesce(F.array_size("__cut"), F.lit(0)),
+        "n_cut": F.when(F.col("__some"), F.size(F.flatten(F.col("__cut.segs")))).otherwise(0),
     })
     return out.select(*[F.col(f"`{c}`") for c in rest], "n_cut")
 

@@ -27,3 +27,10 @@ def test_line_dedup_finds_passages_and_short_lines(spark):
     assert got[2] == "two own lines\nQuite another start of a line. Yes." and 3 not in got and got[4] == "before\nafter"
     assert all(got[100 + i] == source[100 + i].split("\n")[1] for i in range(1, n))
     assert line_dedup.SHORT_DOCS == n
+
+
+def test_texts_of_one_id(spark):
+    rows = [(1, PASSAGE.strip(), True), (2, "a\nb\nLast words. " + PASSAGE.strip(), True), (2, "one line", True), (2, None, True), (2, "", True)]
+    got = line_dedup.cut_passages(spark.createDataFrame(rows, "doc_id long, text string, kept boolean").repartition(3)).collect()
+    assert {(r.doc_id, r.text, r.n_cut) for r in got} == {(1, PASSAGE.strip(), 0), (2, "a\nb\nLast words.", 2), (2, "one line", 0), (2, None, 0), (2, "", 0)}
+    assert all(r.kept for r in got)
