@@ -19,9 +19,7 @@ column named as an output column is replaced.
 from __future__ import annotations
 
 import base64
-import ctypes
 import functools
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tessella.llm.scratch import arrow_map
+
 _BUILT: dict[tuple, "Codec"] = {}
 
 
@@ -298,11 +298,8 @@ def _added(df: DataFrame, column: str, added: T.StructType, f, keep_tables: bool
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *[x.name for x in added]])
         if not keep_tables:
             _BUILT.clear()
-            gc.collect()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
-                trim(0)
 
-    return ready.mapInArrow(work, schema)
+    return arrow_map(ready, work, schema)
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep_text: bool = False) -> DataFrame:

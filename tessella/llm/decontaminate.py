@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.llm.scratch import arrow_map
+
 PERCENT = 8
 BLOCK = 4_000_000
 _KEEP = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -157,7 +159,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
                 pairs = [x for f in found for x in sorted(f.items(), key=repr)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([i for i, _ in pairs], to_arrow_type(schema["item_id"].dataType)), pa.array([k for _, k in pairs], pa.int32())], names=schema.names)
 
-        return rows.mapInArrow(work, schema)
+        return arrow_map(rows, work, schema)
 
     out = None
     for block in range(blocks):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.components import connected
-from tessella.llm.scratch import drop, written
+from tessella.llm.scratch import arrow_map, drop, written
 from tessella.llm.words import mix, shingles, slices
 
 REGISTERS, BANDS, ROWS = 288, 80, 8
@@ -100,7 +100,7 @@ def sketches(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
                     regs.append(registers(items).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n", "digest", "registers"])
 
-    made = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(work, "id long, n long, digest binary, registers binary")
+    made = arrow_map(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")), work, "id long, n long, digest binary, registers binary")
     return made.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
@@ -127,7 +127,7 @@ def _sets(df: DataFrame, id_col: str, text: str, size: int, wanted: DataFrame) -
 
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text).cast("binary").alias("t"))
     found = rows.join(wanted, F.col("__id").eqNullSafe(F.col("id"))).select("row", "digest", "t")
-    return found.mapInArrow(work, "row long, items array<long>").dropDuplicates(["row"])
+    return arrow_map(found, work, "row long, items array<long>").dropDuplicates(["row"])
 
 
 def _both(pairs: DataFrame, facts: DataFrame, *cols: str) -> DataFrame:
@@ -149,7 +149,7 @@ def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(guess >= percent / 100 - SLACK)).select(["a", "b"])
 
     found = _both(pairs, reps, "n", "registers").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return found.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(work, "a long, b long")
+    return arrow_map(found.select("a", "b", "n_a", "n_b", "registers_a", "registers_b"), work, "a long, b long")
 
 
 def _linked(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _bands(reps: DataFrame) -> DataFrame:
                 keys = band_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["bucket", "row"])
 
-    return reps.select("row", "registers").mapInArrow(work, "bucket long, row long")
+    return arrow_map(reps.select("row", "registers"), work, "bucket long, row long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, col: str = "row") -> DataFrame:

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tessella.llm.scratch import arrow_map
+
 SIZES = (2, 3, 4, 5)
 BITS = 20
 _LETTER = np.zeros(256, np.uint8)
@@ -196,7 +198,7 @@ class Model:
                     columns = batch.columns if keep_text else batch.columns[:-1]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=schema.names)
 
-        return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text__")).mapInArrow(work, schema)
+        return arrow_map(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text__")), work, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 1_000, max_chars: int = 200_000) -> Model:
@@ -221,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             found = [x for run in _slices(texts) for x in Grams(run).counts()]
             yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary()), y], names=["f", "c", "y"])
 
-    got = rows.mapInArrow(work, "f binary, c binary, y int").collect()
+    got = arrow_map(rows, work, "f binary, c binary, y int").collect()
     got.sort(key=lambda r: (r.y, r.f, r.c))  # the same sums whatever the order of the tasks
     marks = np.array([r.y for r in got])
     weights, intercept = fit_weights([(np.frombuffer(r.f, np.int32), np.frombuffer(r.c, np.float32)) for r in got], marks)
