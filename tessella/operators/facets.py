@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessella.functions.values import step_down
 
 CAP, BINS = 1000, 100
+#: The order in which a facet offers entries that are no values.
+SPECIALS = ["has", "unknown", "none", "missing"]
 
 
 def _by_doc(records: DataFrame, *keys: str, **marks: Column) -> DataFrame:
@@ -94,11 +96,27 @@ def child_counts(values: DataFrame, edges: DataFrame) -> DataFrame:
     return values.select("to").join(below, "to", "left").select("to", F.coalesce("children", F.lit(0)).alias("children"))
 
 
-def order_values(values: DataFrame, paths: DataFrame, cap: int = CAP) -> DataFrame:
-    """values in display order: count, then depth (of the longest path), then id."""
+def value_paths(values: DataFrame, paths: DataFrame) -> DataFrame:
+    """values with paths: all of id_paths() of each value, in order; empty for a value outside all hierarchies."""
+    found = paths.groupBy(F.col("id").alias("to")).agg(F.sort_array(F.collect_set("id_path")).alias("paths"))
+    return values.join(found, "to", "left").withColumn("paths", F.coalesce("paths", F.expr("CAST(array() AS array<array<string>>)")))
+
+
+def special_entries(counts: DataFrame) -> DataFrame:
+    """(to, docs): the entries HAS, UNKNOWN, NONE and MISSING of a facet, from its identity_counts(), where there are any documents."""
+    found = counts.select(F.explode(F.array(*[F.struct(F.lit(n.upper()).alias("to"), F.col(n).alias("docs")) for n in SPECIALS])).alias("e"))
+    return found.select("e.to", "e.docs").where("docs > 0")
+
+
+def order_values(values: DataFrame, paths: DataFrame, cap: int = CAP, specials: DataFrame | None = None) -> DataFrame:
+    """values in display order: count, then depth (of the longest path), then special_entries() in their order, then id."""
     depth = paths.groupBy(F.col("id").alias("to")).agg(F.max(F.size("id_path")).alias("depth"))
     rows = values.join(depth, "to", "left").withColumn("depth", F.coalesce("depth", F.lit(1)))
-    return rank(rows, [F.desc("docs"), F.asc("depth"), F.asc("to")], cap)
+    if specials is None:
+        return rank(rows, [F.desc("docs"), F.asc("depth"), F.asc("to")], cap)
+    place = F.array_position(F.array(*[F.lit(n.upper()) for n in SPECIALS]), F.col("to"))
+    rows = rows.withColumn("__special", F.lit(0).cast("long")).unionByName(specials.withColumns({"depth": F.lit(1), "__special": place}), allowMissingColumns=True)
+    return rank(rows, [F.desc("docs"), F.asc("depth"), F.asc("__special"), F.asc("to")], cap).drop("__special")
 
 
 def identity_counts(docs: DataFrame, records: DataFrame, prop: str, kind: str = "rel") -> DataFrame:

@@ -46,14 +46,32 @@ def page_after(rows: DataFrame, keys: list[str], after: tuple | None, size: int)
     return rows.orderBy(*keys).limit(size)
 
 
-def group_results(docs: DataFrame, records: DataFrame, props: list[str], order: list[Column], cap: int = CAP) -> DataFrame:
-    """(g_<prop>..., doc_id, position, group_docs): each document under its most specific values of the properties, null for a
-    missing one; positions by order within the innermost group, at most cap; group_docs counts the outermost group's documents."""
+def _grouped(docs: DataFrame, records: DataFrame, props: list[str]) -> tuple[DataFrame, list[str]]:
     out = docs
     for p in props:
         leaves = records.where((F.col("prop") == p) & (F.col("claim_type") == "ref") & (F.col("depth") == 0) & F.col("is_leaf")).select("doc_id", F.col("to").alias(f"g_{p}")).distinct()
         out = out.join(leaves, "doc_id", "left")
-    keys = [f"g_{p}" for p in props]
+    return out, [f"g_{p}" for p in props]
+
+
+def group_headings(docs: DataFrame, records: DataFrame, props: list[str], labels: DataFrame) -> DataFrame:
+    """(level, g_<prop>..., label, docs): a heading for each group of group_results() at each level, with the label of its innermost
+    value (null for the missing group) and all its documents, also those over the cap. Inner values are null at outer levels."""
+    rows, keys = _grouped(docs.select("doc_id").distinct(), records, props)
+    inner = rows.groupBy(*keys, "doc_id").agg(F.lit(1).alias("one")).drop("one")
+    out = None
+    for n in range(1, len(keys) + 1):
+        each = inner if n == len(keys) else inner.select(*keys[:n], "doc_id").distinct()
+        level = each.groupBy(*keys[:n]).agg(F.count("*").alias("docs")).withColumns({k: F.lit(None).cast("string") for k in keys[n:]})
+        level = level.withColumns({"level": F.lit(n), "__id": F.col(keys[n - 1])})
+        out = level if out is None else out.unionByName(level)
+    return out.join(labels.select(F.col("id").alias("__id"), "label"), "__id", "left").select("level", *keys, "label", "docs")
+
+
+def group_results(docs: DataFrame, records: DataFrame, props: list[str], order: list[Column], cap: int = CAP) -> DataFrame:
+    """(g_<prop>..., doc_id, position, group_docs): each document under its most specific values of the properties, null for a
+    missing one; positions by order within the innermost group, at most cap; group_docs counts the outermost group's documents."""
+    out, keys = _grouped(docs, records, props)
     heads = out.groupBy(keys[0]).agg(F.count_distinct("doc_id").alias("group_docs")).withColumnRenamed(keys[0], "__g")
     placed = out.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("position") <= cap)
     return placed.join(heads, placed[keys[0]].eqNullSafe(heads["__g"])).select(*keys, "doc_id", "position", "group_docs")

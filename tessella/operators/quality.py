@@ -13,6 +13,16 @@ def cardinality_violations(claims: DataFrame, fields: DataFrame, has_class: Data
     return rows.where("n < min OR n > max").select("doc_id", "prop", "n", "min", "max").distinct()
 
 
+def sub_cardinality_violations(claims: DataFrame, fields: DataFrame, has_class: DataFrame) -> DataFrame:
+    """(doc_id, parent_claim_id, prop, n, min, max): claims, at any depth, whose number of sub-claims of a class's
+    field(class, parent, prop, min, max) is out of bounds; parent is the property of the claim that has them."""
+    n = claims.where("depth > 0").groupBy("doc_id", "parent_claim_id", "prop").agg(F.count("*").alias("n"))
+    parents = claims.select("doc_id", F.col("prop").alias("parent"), F.col("claim_id").alias("parent_claim_id"))
+    rows = parents.join(has_class.join(fields, "class").drop("class").distinct(), ["doc_id", "parent"])
+    rows = rows.join(n, ["doc_id", "parent_claim_id", "prop"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.where("n < min OR n > max").select("doc_id", "parent_claim_id", "prop", "n", "min", "max")
+
+
 def cardinality_fills(violations: DataFrame) -> DataFrame:
     """(doc_id, prop, missing): how many default claims each field lacks."""
     return violations.where("n < min").select("doc_id", "prop", (F.col("min") - F.col("n")).alias("missing"))

@@ -99,6 +99,12 @@ def view_paths(views: DataFrame, parent: str, new: str) -> DataFrame:
     return now.where(F.col("view") == parent).select(F.lit(new).alias("view"), F.array_prepend("path", F.lit(new)).alias("path"))
 
 
+def paths_below(views: DataFrame, new: DataFrame) -> DataFrame:
+    """(view, path) of many new(view, parent) at once; one whose parent doesn't exist gives no row."""
+    now = current_revisions(views, ["view"]).select(F.col("view").alias("parent"), "path")
+    return new.join(now, "parent").select("view", F.array_prepend("path", F.col("view")).alias("path"))
+
+
 def released_names(views: DataFrame) -> DataFrame:
     """Names of earlier revisions that no current revision has."""
     return views.select("name").where("name IS NOT NULL").distinct().join(current_revisions(views, ["view"]).select("name"), "name", "left_anti")

@@ -37,18 +37,27 @@ def build_token_index(docs: DataFrame, text: str = "text", folded: bool = True)
     return rows.groupBy("doc_id", "lang", "token", "exact").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("n"))
 
 
-def text_match(index: DataFrame, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
-    """(doc_id, lang): every term (as token) and every prefix (of an exact token) in one language of a document."""
+def text_match(index: DataFrame, terms: list[str], prefixes: list[str] = (), ids: list = ()) -> DataFrame:
+    """(doc_id, lang): every term (as token) and every prefix (of an exact token) in one language of a document or in its und
+    texts; documents whose id is one of ids match in all their languages."""
     wanted = F.filter(F.array(*[F.when(F.col("token") == t, F.lit(f"t:{t}")) for t in terms], *[F.when(F.lower("exact").startswith(p), F.lit(f"p:{p}")) for p in prefixes]), lambda x: x.isNotNull())
-    rows = index.select("doc_id", "lang", F.explode(wanted).alias("term")).distinct()
-    return rows.groupBy("doc_id", "lang").agg(F.count("*").alias("n")).where(F.col("n") == len(set(terms)) + len(set(prefixes))).select("doc_id", "lang")
-
-
-def text_phrase(index: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, lang): the exact words (lower-cased) in a row."""
+    found = index.select("doc_id", F.explode(F.transform(wanted, lambda t: F.struct("lang", t.alias("term")))).alias("x"))
+    # a document's set holds at most one entry for each of its languages and each term
+    sets = found.groupBy("doc_id").agg(F.collect_set("x").alias("x"))
+    each = sets.select("doc_id", "x", F.explode(F.array_distinct(F.transform("x", lambda e: e.lang))).alias("lang"))
+    have = F.size(F.array_distinct(F.transform(F.filter("x", lambda e: (e.lang == F.col("lang")) | (e.lang == "und")), lambda e: e.term)))
+    out = each.where(have == len(set(terms)) + len(set(prefixes))).select("doc_id", "lang")
+    if ids:
+        out = out.unionByName(index.where(F.col("doc_id").isin(list(ids))).select("doc_id", "lang")).distinct()
+    return out
+
+
+def text_phrase(index: DataFrame, words: list[str], stemmed: bool = False) -> DataFrame:
+    """(doc_id, lang): the exact words (lower-cased) in a row, or with stemmed the tokens that words are."""
+    at = F.col("token") if stemmed else F.lower("exact")
     parts = None
     for i, w in enumerate(words):
-        part = index.where(F.lower("exact") == w).select("doc_id", "lang", F.explode("positions").alias("p")).select("doc_id", "lang", (F.col("p") - i).alias("start"), F.lit(i).alias("i"))
+        part = index.where(at == w).select("doc_id", "lang", F.explode("positions").alias("p")).select("doc_id", "lang", (F.col("p") - i).alias("start"), F.lit(i).alias("i"))
         parts = part if parts is None else parts.unionByName(part)
     return parts.distinct().groupBy("doc_id", "lang", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("doc_id", "lang").distinct()
 
@@ -65,8 +74,12 @@ def bm25(index: DataFrame, terms: list[str]) -> DataFrame:
     return rows.groupBy("doc_id", "lang").agg(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))).alias("score"))
 
 
-def best_language(scores: DataFrame, rest: float = 0.1) -> DataFrame:
-    """(doc_id, score): the best language's score plus a tenth of the others'."""
+def best_language(scores: DataFrame, rest: float = 0.1, display: DataFrame | None = None, weight: float = 3.0) -> DataFrame:
+    """(doc_id, score): the best language's score plus a tenth of the others'. The scores of display labels, if given, count threefold
+    in their language."""
+    if display is not None:
+        both = scores.select("doc_id", "lang", "score").unionByName(display.select("doc_id", "lang", (F.col("score") * weight).alias("score")))
+        scores = both.groupBy("doc_id", "lang").agg(F.sum("score").alias("score"))
     return scores.groupBy("doc_id").agg((F.max("score") + rest * (F.sum("score") - F.max("score"))).alias("score"))
 
 

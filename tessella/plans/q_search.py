@@ -296,6 +296,46 @@ def group_cap(s, d):
     return G.limit_groups(rows, names, ["g_CUSTOMER"], 300).select("g_CUSTOMER", "doc_id", "position")
 
 
+@query(BASE + f""", {SCORED}, m AS (SELECT DISTINCT doc_id, 'p:' || l_partkey AS p FROM l), r AS (SELECT p, s.doc_id, row_number() OVER (PARTITION BY p ORDER BY {BY.replace('doc_id', 's.doc_id')})::INT AS position FROM s LEFT JOIN m ON m.doc_id = s.doc_id),
+t AS (SELECT r.*, row_number() OVER (ORDER BY p_name IS NULL, lower(p_name), p NULLS LAST, position, doc_id) AS rn FROM r LEFT JOIN part ON p = 'p:' || p_partkey WHERE position <= 1000), f AS (SELECT doc_id FROM t GROUP BY doc_id ORDER BY min(rn) LIMIT 200)
+SELECT p AS "g_LINE", doc_id, position FROM t WHERE doc_id IN (SELECT doc_id FROM f)""")
+def group_unique(s, d):
+    names = H.naming_strings(claims(s, d, "part"), ["NAME"]).select("id", F.col("names")[0].alias("label"))
+    rows = G.group_results(scored(s, d), order_records(s, d, "lineitem"), ["LINE"], G.default_order())
+    return G.limit_groups(rows, names, ["g_LINE"], 200, unique=True).select("g_LINE", "doc_id", "position")
+
+
+@query(BASE + """, m AS (SELECT DISTINCT doc_id, 'p:' || l_partkey AS p FROM l), j AS (SELECT o.doc_id, cust, p FROM o LEFT JOIN m ON m.doc_id = o.doc_id)
+SELECT 1 AS level, cust AS "g_CUSTOMER", NULL::VARCHAR AS "g_LINE", c_name AS label, count(DISTINCT doc_id)::BIGINT AS docs FROM j JOIN customer ON cust = 'c:' || c_custkey GROUP BY ALL
+UNION ALL SELECT 2, cust, p, p_name, count(DISTINCT doc_id) FROM j LEFT JOIN part ON p = 'p:' || p_partkey GROUP BY ALL""")
+def group_headings(s, d):
+    names = H.naming_strings(claims(s, d, "customer", "part"), ["NAME"]).select("id", F.col("names")[0].alias("label"))
+    return G.group_headings(orders(s, d), order_records(s, d, "lineitem"), ["CUSTOMER", "LINE"], names)
+
+
+@query("""WITH w AS (SELECT o_orderkey AS doc, round(o_totalprice, 2) - 0.005 AS lo, round(o_totalprice, 2) + 0.005 AS hi FROM orders), e AS (SELECT greatest(min(lo), 90000.0::DOUBLE) AS low, least(max(hi), 210000.0::DOUBLE) AS high FROM w), b AS (SELECT low, high, (high - low) / 100 AS width FROM e), g AS (SELECT range::INT AS bin FROM range(100)),
+k AS (SELECT doc, low, width, hi, least(greatest(floor((lo - low) / width), 0), 99)::BIGINT AS first, least(greatest(floor((hi - low) / width), 0), 99)::BIGINT AS last, floor((hi - low) / width) = (hi - low) / width AND hi < low + width * 100 AS edge FROM w, b WHERE lo <= high AND hi > low),
+x AS (SELECT DISTINCT doc, unnest(range(first, greatest(first, last - CASE WHEN edge AND last > first THEN 1 ELSE 0 END) + 1)) AS bin FROM k)
+SELECT g.bin, low + g.bin * width AS lo, count(x.doc)::BIGINT AS docs FROM b, g LEFT JOIN x ON x.bin = g.bin GROUP BY g.bin, low, width""")
+def histogram_selection(s, d):
+    """Between 100000 and 200000: a tenth wider on either side, within the values."""
+    return A.histogram(order_records(s, d), "TOTAL", gte=100_000.0, lte=200_000.0)
+
+
+@query(BASE + """, v AS (SELECT cust AS "to", count(*) AS docs, 3 AS depth, [[any_value(reg), any_value(nat), cust]] AS paths FROM o GROUP BY cust UNION ALL SELECT nat, count(*), 2, [[any_value(reg), nat]] FROM o GROUP BY nat UNION ALL SELECT reg, count(*), 1, [[reg]] FROM o GROUP BY reg
+UNION ALL SELECT 'MISSING', count(*), 1, [] FROM orders WHERE o_custkey % 4 = 0 HAVING count(*) > 0)
+SELECT "to", docs::BIGINT AS docs, depth::INT AS depth, paths, (row_number() OVER (ORDER BY docs DESC, depth, "to" = 'MISSING', "to"))::INT AS position FROM v ORDER BY position LIMIT 1000""".replace("FROM o GROUP BY", "FROM o WHERE o_custkey % 4 > 0 GROUP BY"))
+def ref_values_ordered(s, d):
+    """Values with their paths in display order, and the entry of the orders whose customer is taken away."""
+    r = order_records(s, d).where("prop = 'CUSTOMER'")
+    fourth = r.where("direct AND CAST(substring(to, 3) AS BIGINT) % 4 = 0").select("doc_id")
+    r = settle(r.join(fourth, "doc_id", "left_anti"))
+    values = settle(A.ref_values(r, "CUSTOMER").select("to", "docs"))
+    paths = settle(H.id_paths(edges(s, d), values.select(F.col("to").alias("id"))))
+    found = A.order_values(values, paths, specials=A.special_entries(A.identity_counts(orders(s, d), r, "CUSTOMER")))
+    return A.value_paths(found, paths)
+
+
 @query("SELECT doc_id FROM (SELECT 'o:' || o_orderkey AS doc_id FROM orders) WHERE doc_id > 'o:11' ORDER BY doc_id LIMIT 50")
 def page_after(s, d):
     return G.page_after(orders(s, d), ["doc_id"], ("o:11",), 50)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tessella.functions.values import time_windows
-from tessella.operators import claims as K, edges as E, store as S
+from tessella.operators import access as N, claims as K, edges as E, store as S
 from tessella.plans.q_search import BASE, ancestors, edges as up_edges
 from tessella.plans.tables import claims, claims_sql, fixed, table
 from tessella.operators import hierarchy as H
+from tessella.sources import io as X
+from tessella.streaming import maintenance as M
 
 Q, SQL = {}, {}
 
@@ -242,3 +244,81 @@ def open_sessions(s, d):
 @query("SELECT conv_id AS session, list_sort(list(DISTINCT role)) AS contributors FROM conversations WHERE role IS NOT NULL GROUP BY conv_id")
 def contributors(s, d):
     return S.contributors(table(s, d, "conversations").select(F.col("conv_id").alias("session"), F.col("role").alias("user")))
+
+
+@query("SELECT event_id AS seq, event_type AS view, user_id FROM events WHERE event_id > 500 AND event_type = 'error'")
+def commit_log(s, d):
+    log = table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("view"), "user_id")
+    return X.log_after(log, 500, "error")
+
+
+def _nation_views(s, d):
+    """Each nation is a view below its region; those of an even number have given up their name."""
+    n = table(s, d, "nation").select(F.expr("'n:' || n_nationkey").alias("view"), F.expr("array('n:' || n_nationkey, 'r:' || n_regionkey)").alias("path"), F.col("n_name").alias("name"), "n_nationkey")
+    later = n.where("n_nationkey % 2 = 0").withColumn("name", F.lit(None).cast("string")).withColumn("revision", F.lit(2))
+    return n.withColumn("revision", F.lit(1)).unionByName(later).select("view", "revision", "path", "name")
+
+
+@query("SELECT 'c:' || c_custkey AS view, ['c:' || c_custkey, 'n:' || n_nationkey, 'r:' || n_regionkey] AS path FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def view_paths(s, d):
+    return S.paths_below(_nation_views(s, d), table(s, d, "customer").select(F.expr("'c:' || c_custkey").alias("view"), F.expr("'n:' || c_nationkey").alias("parent")))
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation WHERE n_nationkey % 2 = 0 AND n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 1)")
+def released_names(s, d):
+    return S.released_names(_nation_views(s, d))
+
+
+@query("SELECT 'u' || user_id AS changeset, event_type AS id, max(event_id)::BIGINT AS revision FROM events WHERE user_id = 7 GROUP BY ALL")
+def changes_of(s, d):
+    rows = table(s, d, "events").select(F.expr("'u' || user_id").alias("changeset"), F.col("event_type").alias("id"), F.col("event_id").alias("revision"))
+    return S.changes_of(rows, "u7")
+
+
+@query("SELECT DISTINCT event_type AS view FROM events WHERE user_id = 7")
+def views_of(s, d):
+    return S.views_of(table(s, d, "events").select(F.col("event_type").alias("view"), F.expr("'u' || user_id").alias("changeset")), "u7")
+
+
+@query("SELECT event_id::VARCHAR AS claim_id, CASE WHEN i >= 5 THEN 'number' WHEN event_id % 7 = 0 THEN 'base' WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'incomplete' END AS error FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)")
+def validate_patches(s, d):
+    """From each session's fifth operation on the numbers are one too high."""
+    e = S.number_operations(table(s, d, "events"), "user_id", ["event_id"]).withColumn("op", F.col("operation") + F.when(F.col("operation") >= 5, 1).otherwise(0))
+    session = F.expr("'u' || user_id")
+    patches = e.select(session.alias("session"), "op", F.when(F.col("event_id") % 7 == 0, "elsewhere").otherwise(F.concat_ws("/", session, F.col("op").cast("string"))).alias("base"), F.col("event_id").cast("string").alias("claim_id"), F.when(F.col("event_type") == "view", "add").otherwise("set").alias("kind"), F.when(F.col("event_id") % 5 > 0, "v").alias("value"))
+    return S.validate_patches(patches).select("claim_id", "error")
+
+
+@query("SELECT 'c:' || o_custkey AS target, 'o:' || o_orderkey AS embedder, CASE WHEN o_orderkey % 2 = 0 THEN ['BALANCE', 'NAME'] ELSE ['NAME'] END AS paths, o_orderkey % 2 = 0 AS changed FROM orders")
+def merge_paths(s, d):
+    c = claims(s, d, "orders")
+    name, balance = (E.embedding_edges(c, fixed(s, [("CUSTOMER", p)], "prop string, source_prop string")) for p in ("NAME", "BALANCE"))
+    return E.merge_paths(name, balance.where("CAST(substring(embedder, 3) AS BIGINT) % 2 = 0"))
+
+
+@query("""WITH n AS (SELECT 'o:' || o_orderkey AS source, 'c:' || o_custkey AS target, o_orderkey AS k, o_custkey AS c FROM orders)
+SELECT source AS doc_id FROM n WHERE k % 50 = 0 OR c % 97 = 0 OR c % 89 = 0 UNION SELECT target FROM n WHERE k % 10 = 0 UNION SELECT 'c:new' FROM n WHERE k % 10 = 0""")
+def affected_docs(s, d):
+    """Every tenth order refers to another customer than before; some customers have a new name, some change their visibility."""
+    o = table(s, d, "orders")
+    before = o.select(F.expr("'o:' || o_orderkey").alias("source"), F.expr("'c:' || o_custkey").alias("target"))
+    now = o.select(F.expr("'o:' || o_orderkey").alias("source"), F.expr("IF(o_orderkey % 10 = 0, 'c:new', 'c:' || o_custkey)").alias("target"))
+    embedding = E.embedding_edges(claims(s, d, "orders"), fixed(s, [("CUSTOMER", "NAME")], "prop string, source_prop string"))
+    c = table(s, d, "customer")
+    changed, flipped = (c.where(w).select(F.expr("'c:' || c_custkey").alias("doc_id")) for w in ("c_custkey % 97 = 0", "c_custkey % 89 = 0"))
+    return M.affected_docs(o.where("o_orderkey % 50 = 0").select(F.expr("'o:' || o_orderkey").alias("doc_id")), now, before, embedding, changed.withColumn("prop", F.lit("NAME")), flipped)
+
+
+@query('''WITH x AS (SELECT 'u' || user_id AS doc_id, max(event_id)::BIGINT AS seq, arg_max(event_type, event_id) = 'error' AS deleted, arg_max(ts, event_id) AS "at" FROM events GROUP BY user_id) SELECT doc_id, seq, deleted FROM x WHERE NOT deleted OR "at" >= TIMESTAMP '2024-01-27 00:00:00'''')
+def expire_tombstones(s, d):
+    log = table(s, d, "events").select(F.expr("'u' || user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("deleted"))
+    index = M.versioned_upsert(log.where("seq % 2 = 0"), log.where("seq % 2 = 1"))
+    return M.expire_tombstones(index, "2024-01-28 00:00:00").drop("at")
+
+
+@query("SELECT 'AMOUNT' AS prop, count(*)::BIGINT AS n FROM orders UNION ALL SELECT 'CUSTOMER', count(*) FROM orders")
+def finalize(s, d):
+    """Two hooks: one keeps references and amounts, one renames a property."""
+    keep = lambda c: c.where("type IN ('ref', 'amount')")
+    rename = lambda c: c.withColumn("prop", F.when(F.col("type") == "amount", "AMOUNT").otherwise(F.col("prop")))
+    return N.finalize(claims(s, d, "orders"), [keep, rename]).groupBy("prop").agg(F.count("*").alias("n"))

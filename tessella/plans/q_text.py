@@ -209,6 +209,16 @@ def text_prefix(s, d):
     return I.text_match(index(s, d), ["the"], ["idio"])
 
 
+@query(INDEX + "SELECT doc_id, lang FROM t GROUP BY ALL HAVING bool_or(token = 'idiot') AND bool_or(token = 'scum') OR doc_id IN (1, 2, 3)")
+def text_match_ids(s, d):
+    return I.text_match(index(s, d), ["idiot", "scum"], ids=[1, 2, 3])
+
+
+@query(INDEX + "SELECT DISTINCT a.doc_id, a.lang FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.token = 'of' AND b.token = 'the'")
+def text_phrase_stemmed(s, d):
+    return I.text_phrase(index(s, d), ["of", "the"], stemmed=True)
+
+
 @query(INDEX + "SELECT DISTINCT a.doc_id, a.lang FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE lower(a.exact) = 'of' AND lower(b.exact) = 'the'")
 def text_phrase(s, d):
     return I.text_phrase(index(s, d), ["of", "the"])
@@ -273,6 +283,21 @@ def cardinality(s, d):
     return out.withColumn("missing", F.col("missing").cast("int"))
 
 
+@query("SELECT 'o:' || l_orderkey AS doc_id, 'RETURNED' AS prop, 0::BIGINT AS n, count(*)::BIGINT AS lines FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey")
+def cardinality_sub(s, d):
+    c = claims(s, d, "lineitem")
+    fields = fixed(s, [("order", "LINE", "RETURNED", 1, 1), ("order", "LINE", "QUANTITY", 1, None)], "class string, parent string, prop string, min int, max int")
+    out = V.sub_cardinality_violations(c, fields, orders(s, d).select("doc_id", F.lit("order").alias("class")))
+    return out.groupBy("doc_id", "prop", "n").agg(F.count("*").alias("lines"))
+
+
+@query("""SELECT * FROM (SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_linenumber = 2 THEN 'from value with state' END, CASE WHEN l_linenumber = 1 THEN 'from missing' END, CASE WHEN l_linenumber = 3 THEN 'from precision' END, CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'from open without value' END, CASE WHEN l_linenumber > 1 AND l_returnflag = 'R' THEN 'empty' END], lambda x: x IS NOT NULL) AS errors FROM lineitem) WHERE len(errors) > 0""")
+def interval_validity(s, d):
+    n = F.col("l_linenumber")
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(n > 1, F.col("l_quantity")).alias("from_v"), F.when(n == 3, 0.0).otherwise(1.0).alias("from_p"), (F.col("l_returnflag") == "R").alias("from_open"), F.when(n == 2, "unknown").alias("from_state"), F.col("l_quantity").alias("to_v"), F.lit(1.0).alias("to_p"), F.lit(False).alias("to_open"), F.lit(None).cast("string").alias("to_state"))
+    return V.validate_intervals(rows, "l_orderkey", "l_linenumber")
+
+
 @query("WITH c AS (" + claims_sql("part") + ") SELECT doc_id, claim_id, ['precision'] AS errors FROM c WHERE prop = 'SIZE' UNION ALL SELECT doc_id, claim_id, ['confidence'] FROM c WHERE prop = 'BRAND'")
 def validity(s, d):
     c = claims(s, d, "part")

@@ -20,9 +20,13 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).options(**opts, multiLine=True, mode="FAILFAST").json(path)
 
 
+def log_after(log: DataFrame, after: int = -1, view: str | None = None) -> DataFrame:
+    rows = log.where(F.col("seq") > after)
+    return rows.where(F.col("view") == view) if view else rows
+
+
 def commit_log(spark: SparkSession, path: str, after: int = -1, view: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path).where(F.col("seq") > after)
-    return (rows.where(F.col("view") == view) if view else rows).orderBy("seq")
+    return log_after(spark.read.parquet(path), after, view).orderBy("seq")
 
 
 def document_ids(records: DataFrame, classes: list[str] | None = None, prop: str = "INSTANCE_OF") -> DataFrame:
