@@ -309,7 +309,7 @@ def affected_docs(s, d):
     return M.affected_docs(o.where("o_orderkey % 50 = 0").select(F.expr("'o:' || o_orderkey").alias("doc_id")), now, before, embedding, changed.withColumn("prop", F.lit("NAME")), flipped)
 
 
-@query('''WITH x AS (SELECT 'u' || user_id AS doc_id, max(event_id)::BIGINT AS seq, arg_max(event_type, event_id) = 'error' AS deleted, arg_max(ts, event_id) AS "at" FROM events GROUP BY user_id) SELECT doc_id, seq, deleted FROM x WHERE NOT deleted OR "at" >= TIMESTAMP '2024-01-27 00:00:00'''')
+@query('''WITH x AS (SELECT 'u' || user_id AS doc_id, max(event_id)::BIGINT AS seq, arg_max(event_type, event_id) = 'error' AS deleted, arg_max(ts, event_id) AS "at" FROM events GROUP BY user_id) SELECT doc_id, seq, deleted FROM x WHERE NOT deleted OR "at" >= TIMESTAMP '2024-01-27 00:00:00' ''')
 def expire_tombstones(s, d):
     log = table(s, d, "events").select(F.expr("'u' || user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("deleted"))
     index = M.versioned_upsert(log.where("seq % 2 = 0"), log.where("seq % 2 = 1"))
