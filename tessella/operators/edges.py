@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.operators.claims import CLAIM, claim_signature, make_id
+from tessella.operators.claims import CLAIM, FLOOR, claim_signature, make_id, with_paths
 from tessella.operators.hierarchy import expand_refs
 
 
@@ -30,12 +30,16 @@ def inverse_claims(claims: DataFrame, props: DataFrame, fields: DataFrame | None
     return rows.select(*[made[c].alias(c) for c in CLAIM]).dropDuplicates(["claim_id"])
 
 
-def embed_claims(claims: DataFrame, fields: DataFrame) -> DataFrame:
-    """Sub-claims copied under referring claims: for each claim of fields(prop, source_prop) the referenced document's top-level
-    claims of source_prop, with new ids."""
-    refs = claims.where("type = 'ref' AND depth = 0").join(F.broadcast(fields), "prop").select(F.col("doc_id").alias("__doc"), F.col("claim_id").alias("__claim"), F.col("to").alias("doc_id"), F.col("prop").alias("__prop"), F.col("source_prop").alias("prop"))
-    found = refs.join(claims.where("depth = 0"), ["doc_id", "prop"])
-    made = {c: F.col(c) for c in CLAIM} | {"doc_id": F.col("__doc"), "claim_id": make_id(F.lit("embedded"), F.col("__claim"), F.col("claim_id")), "parent_claim_id": F.col("__claim"), "parent_prop": F.col("__prop"), "depth": F.lit(1)}
+def embed_claims(claims: DataFrame, fields: DataFrame, depth: int = 1, floor: float = FLOOR) -> DataFrame:
+    """Sub-claims copied under referring claims: for each claim of fields(prop, source_prop[, dest]) the referenced document's claims
+    at source_prop, properties joined by dots down to depth levels, all of them at the floor or above, with new ids and, where dest
+    is given, as that property. A referenced document that is not there gives none."""
+    if "dest" not in fields.columns:
+        fields = fields.withColumn("dest", F.lit(None).cast("string"))
+    refs = claims.where("type = 'ref' AND depth = 0").join(fields, "prop").select(F.col("doc_id").alias("__doc"), F.col("claim_id").alias("__claim"), F.col("to").alias("doc_id"), F.col("prop").alias("__prop"), F.col("source_prop").alias("path"), "dest")
+    found = refs.join(with_paths(claims.where(F.col("confidence") >= floor), depth), ["doc_id", "path"])
+    prop = F.coalesce("dest", "prop")
+    made = {c: F.col(c) for c in CLAIM} | {"doc_id": F.col("__doc"), "claim_id": make_id(F.lit("embedded"), F.col("__claim"), F.col("claim_id"), prop), "parent_claim_id": F.col("__claim"), "parent_prop": F.col("__prop"), "depth": F.lit(1), "prop": prop}
     return found.select(*[made[c].alias(c) for c in CLAIM])
 
 

@@ -20,10 +20,11 @@ def _by_doc(records: DataFrame, *keys: str, **marks: Column) -> DataFrame:
 
 
 def discover_rel(records: DataFrame) -> DataFrame:
-    """(prop, docs, valued, none, unknown, has, has_hierarchy) over top-level references and statements."""
+    """(prop, docs, valued, none, unknown, has, valueless, has_hierarchy) over top-level references and statements; valueless counts
+    documents with any of none, unknown and has."""
     t = F.col("claim_type")
-    rows = _by_doc(records.where("depth = 0 AND collection = 'rel'"), "prop", ref=t == "ref", none=t == "none", unknown=t == "unknown", has=t == "has", up=~F.coalesce(F.col("direct"), F.lit(True)))
-    return rows.groupBy("prop").agg(F.count("*").alias("docs"), *[F.count_if(F.col(c)).alias(n) for c, n in (("ref", "valued"), ("none", "none"), ("unknown", "unknown"), ("has", "has"))], F.bool_or("up").alias("has_hierarchy"))
+    rows = _by_doc(records.where("depth = 0 AND collection = 'rel'"), "prop", ref=t == "ref", none=t == "none", unknown=t == "unknown", has=t == "has", valueless=t.isin("none", "unknown", "has"), up=~F.coalesce(F.col("direct"), F.lit(True)))
+    return rows.groupBy("prop").agg(F.count("*").alias("docs"), *[F.count_if(F.col(c)).alias(n) for c, n in (("ref", "valued"), ("none", "none"), ("unknown", "unknown"), ("has", "has"), ("valueless", "valueless"))], F.bool_or("up").alias("has_hierarchy"))
 
 
 def discover_amount(records: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ def pooled_has(records: DataFrame, parent: str | None = None) -> DataFrame:
 
 def facets(records: DataFrame, active: list[str] = (), cap: int = CAP) -> DataFrame:
     """(kind, prop, unit, docs, active, position): ref, amount, time, specials-only and pooled has facets, active ones first,
-    then by count; at most cap."""
+    then by count; at most cap. docs is what a facet reaches: amount and time facets add the documents with a statement without a
+    value of their property, so that a document with both counts twice there."""
     rel = discover_rel(records)
     ranged = records.where("depth = 0 AND collection IN ('amount', 'time')").select("prop").distinct()
     pooled = pooled_has(records).where("prop = ''").select(F.lit("has").alias("kind"), F.lit("").alias("prop"), F.lit("").alias("unit"), "docs").where("docs > 0")
@@ -60,7 +62,8 @@ def facets(records: DataFrame, active: list[str] = (), cap: int = CAP) -> DataFr
     special = rel.where("valued = 0 AND none + unknown > 0").join(ranged, "prop", "left_anti").select(F.lit("special").alias("kind"), "prop", F.lit("").alias("unit"), "docs")
     amounts = discover_amount(records).select(F.lit("amount").alias("kind"), "prop", "unit", "docs")
     times = discover_time(records).select(F.lit("time").alias("kind"), "prop", F.lit("").alias("unit"), "docs")
-    rows = refs.unionByName(special).unionByName(amounts).unionByName(times).unionByName(pooled).withColumn("active", F.col("prop").isin(list(active)))
+    reached = amounts.unionByName(times).join(rel.select("prop", "valueless"), "prop", "left").withColumn("docs", F.col("docs") + F.coalesce("valueless", F.lit(0))).drop("valueless")
+    rows = refs.unionByName(special).unionByName(reached).unionByName(pooled).withColumn("active", F.col("prop").isin(list(active)))
     return rank(rows, [F.desc("active"), F.desc("docs"), F.asc("kind"), F.asc("prop"), F.asc("unit")], cap)
 
 

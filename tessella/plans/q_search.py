@@ -140,6 +140,19 @@ def facet_list(s, d):
     return A.facets(settle(order_records(s, d)), ["PRIORITY"])
 
 
+@query("""WITH f AS (SELECT 'ref' AS kind, 'SUBENTITY' AS prop, '' AS unit, count(*) AS docs FROM customer UNION ALL SELECT 'special', 'CREDIT', '', count(*) FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0 UNION ALL SELECT 'has', '', '', count(*) FROM customer
+UNION ALL SELECT 'amount', 'BALANCE', '', count(*) FILTER (c_custkey % 5 > 0) + count(*) FILTER (c_custkey % 5 = 0 OR c_custkey % 7 = 0) FROM customer)
+SELECT kind, prop, unit, docs::BIGINT AS docs, false AS active, (row_number() OVER (ORDER BY docs DESC, kind, prop))::INT AS position FROM f""")
+def facet_reached(s, d):
+    """Some balances are unknown, some are unknown beside their value."""
+    c = claims(s, d, "customer")
+    key, balance = F.substring("doc_id", 3, 20).cast("long"), F.col("prop") == "BALANCE"
+    unknown = lambda df: df.withColumns({"type": F.lit("unknown"), "raw": F.lit(None).cast("string"), "precision": F.lit(None).cast("double")})
+    more = unknown(c.where(balance & (key % 7 == 0))).withColumn("claim_id", F.concat("claim_id", F.lit("+")))
+    made = c.where(~(balance & (key % 5 == 0))).unionByName(unknown(c.where(balance & (key % 5 == 0)))).unionByName(more)
+    return A.facets(settle(records(made, ancestors(s, d))))
+
+
 @query(BASE + "SELECT 'STATUS_' || o_orderstatus AS prop, count(*)::BIGINT AS docs FROM o GROUP BY ALL UNION ALL SELECT '', count(*) FROM o")
 def pooled_has(s, d):
     return A.pooled_has(order_records(s, d))

@@ -127,3 +127,18 @@ def test_affected_documents(spark):
     embedding = spark.createDataFrame([("x", "e1", ["NAME"]), ("x", "e2", ["OTHER"]), ("v", "e3", ["OTHER"])], "target string, embedder string, paths array<string>")
     changed, props, flipped = (spark.createDataFrame(r, k) for r, k in (([("x",)], "doc_id string"), ([("x", "NAME")], "doc_id string, prop string"), ([("v",)], "doc_id string")))
     assert rows(M.affected_docs(changed, now, before, embedding, props, flipped)) == [("e1",), ("e3",), ("s3",), ("t2",), ("t3",), ("x",)]
+
+
+def test_specials_come_after_values_of_equal_count(spark):
+    values = spark.createDataFrame([("z", 5), ("a", 5), ("b", 2)], "to string, docs long")
+    paths = spark.createDataFrame([("z", ["z"]), ("a", ["z", "a"])], "id string, id_path array<string>")
+    counts = spark.createDataFrame([(5, 0, 2, 2)], "has long, unknown long, none long, missing long")
+    got = A.order_values(values, paths, specials=A.special_entries(counts)).orderBy("position").collect()
+    assert [r.to for r in got] == ["z", "HAS", "a", "b", "NONE", "MISSING"]
+    assert {r.to: r.paths for r in A.value_paths(values, paths).collect()} == {"z": [["z"]], "a": [["z", "a"]], "b": []}
+
+
+def test_paths_below(spark):
+    views = spark.createDataFrame([("main", 1, ["main"]), ("side", 1, ["side", "main"])], "view string, revision int, path array<string>")
+    new = spark.createDataFrame([("leaf", "side"), ("lost", "nowhere")], "view string, parent string")
+    assert rows(S.paths_below(views, new)) == [("leaf", ["leaf", "side", "main"])]
