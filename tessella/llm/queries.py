@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontaminate, kneser_ney, language, line_dedup, lm_score, near_dup, quality, toxicity, warc
+from tessella.llm import bpe, decontaminate, kneser_ney, language, line_dedup, lm_score, near_dup, periodic, quality, toxicity, warc
 from tessella.llm.scratch import table
 
 
@@ -72,8 +72,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text): with h = crc32(doc_id as text), g = h div 10, the n words of a text with h % 10 = 0 repeat a block of
+    1 + (n - a) div (3 + g % 8) words from word a = g % n on. Other texts, and rows without a doc_id, stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("w"))
+    sizes = chosen.select("doc_id", "text", "w", F.expr("h div 10").alias("g"), F.size("w").alias("n")).withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n AS int)")))
+    periods = sizes.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) AS int)"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast((n - a + p - 1) div p AS int))), 1, n - a)"
+    return periods.select("doc_id", F.when(F.col("n") > 0, F.expr(f"array_join(concat(slice(w, 1, a), {tail}), ' ')")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periodic.longest(periodic.periodic_runs(docs)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op7_passage_dedup": op7_passage_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op3_warc_captures": op3_warc_captures, "op4_lm_score": op4_lm_score, "op4_trigram_score": op4_trigram_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity}
+    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op7_passage_dedup": op7_passage_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op3_warc_captures": op3_warc_captures, "op4_lm_score": op4_lm_score, "op4_trigram_score": op4_trigram_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
