@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import bpe, decontaminate, hard_negatives, kneser_ney, language, line_dedup, lm_score, near_dup, periodic, quality, toxicity, warc
+from tessella.llm import bpe, debruijn, decontaminate, hard_negatives, kneser_ney, language, line_dedup, lm_score, near_dup, periodic, quality, toxicity, warc
 from tessella.llm.scratch import table
 
 
@@ -78,6 +78,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")), "vec_id", "label", "embedding")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text): with h = crc32(doc_id as text), g = h div 10, the n words of a text with h % 10 = 0 repeat a block of
     1 + (n - a) div (3 + g % 8) words from word a = g % n on. Other texts, and rows without a doc_id, stay as they are."""
@@ -95,8 +100,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op7_passage_dedup": op7_passage_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op3_warc_captures": op3_warc_captures, "op4_lm_score": op4_lm_score, "op4_trigram_score": op4_trigram_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op11_hard_negatives": op11_hard_negatives, "op13_periodic_runs": op13_periodic_runs}
+    return {"pipeline": corpus_pipeline.run, "op7_line_dedup": op7_line_dedup, "op7_passage_dedup": op7_passage_dedup, "op10_decontaminate": op10_decontaminate, "op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op3_warc_captures": op3_warc_captures, "op4_lm_score": op4_lm_score, "op4_trigram_score": op4_trigram_score, "op5_near_dup": op5_near_dup, "op6_quality_classifier": op6_quality_classifier, "op8_language_id": op8_language_id, "op9_toxicity": op9_toxicity, "op11_hard_negatives": op11_hard_negatives, "op12_substring_dedup": op12_substring_dedup, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
+    return {"op2_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_substring_dedup": debruijn.ORACLE}
