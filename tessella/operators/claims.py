@@ -40,15 +40,18 @@ class Field:
     prop_sql: str | None = None
 
 
-def rows_to_claims(df: DataFrame, doc: str, fields: list[Field]) -> DataFrame:
+def rows_to_claims(df: DataFrame, doc: str, fields: list[Field], floor: float | None = None) -> DataFrame:
     """The claims of typed rows: one projection with one struct for each field, then inline; no union of scans. Ids of claims that
-    have sub-claims are made in a projection before, once for all of them."""
+    have sub-claims are made in a projection before, once for all of them. With a floor, claims under it and all below them are left
+    out in the same projection: what confident() gives, without a join."""
     ids: dict[str, Column] = {}
 
     def struct(f: Field, parent: list[Column] | None, parent_id: Column, parent_prop: Column, depth: int, guard: Column) -> list[Column]:
         prop = F.expr(f.prop_sql) if f.prop_sql else F.lit(f.prop)
         base = [*(parent or [F.expr(doc)]), prop, F.expr(f.key).cast("string"), F.expr(f.ord).cast("string")]
         on, own_id = guard & F.expr(f.when), make_id(*base)
+        if floor is not None:
+            on = on & (F.expr(f.confidence).cast("double") >= floor)
         if f.subs:
             ids[name := f"__claim_{len(ids)}"] = own_id
             own_id = F.col(name)
@@ -150,13 +153,30 @@ def explode_claims(nested: DataFrame) -> DataFrame:
 
 
 def claim_signature(claims: DataFrame, with_id: bool = False, with_sub: bool = True) -> DataFrame:
-    """(doc_id, claim_id, prop, depth, signature): equal for claims with equal type, property and values (and ids, and sub-claims in any order)."""
-    own = F.to_json(F.struct("type", "prop", "confidence", *VALUES, *(["claim_id"] if with_id else [])))
-    rows = claims.withColumn("own", own)
-    if with_sub:
-        subs = rows.where("depth > 0").groupBy("parent_claim_id").agg(F.array_join(F.sort_array(F.collect_list("own")), ",").alias("below"))
-        rows = rows.join(subs.withColumnRenamed("parent_claim_id", "__p"), F.col("claim_id") == F.col("__p"), "left").withColumn("own", F.concat_ws("|", "own", "below"))
-    return rows.select("doc_id", "claim_id", "prop", "depth", F.sha2("own", 256).alias("signature"))
+    """(doc_id, claim_id, prop, depth, signature): equal for claims with equal type, property, confidence and values (and ids, and
+    equal sub-claims in any order, however deep).
+
+    Bottom-up: the claims of the deepest level are signed first; each level above signs its own values and the sorted signatures of
+    its sub-claims, so a claim's signature covers its whole tree in 64 characters. A level is one join of the level's claims with
+    the groups below them, written before the next one reads it. The claims themselves are made once.
+    """
+    own = F.sha2(F.to_json(F.struct("type", "prop", "confidence", *VALUES, *(["claim_id"] if with_id else []))), 256)
+    rows = claims.select("doc_id", "claim_id", "parent_claim_id", "prop", "depth", own.alias("own"))
+    if not with_sub:
+        return rows.select("doc_id", "claim_id", "prop", "depth", F.col("own").alias("signature"))
+    rows, out, below = settle(rows, "claims"), None, None
+    for depth in range(rows.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        if below is None:
+            level = level.withColumn("signature", F.col("own"))
+        else:
+            level = level.join(below, "claim_id", "left").withColumn("signature", F.when(F.col("sub").isNull(), F.col("own")).otherwise(F.sha2(F.concat_ws("|", "own", "sub"), 256)))
+        level = level.select("doc_id", "claim_id", "parent_claim_id", "prop", "depth", "signature")
+        level = settle(level, "signed") if depth else level
+        signed = level.drop("parent_claim_id")
+        out = signed if out is None else out.unionByName(signed)
+        below = level.groupBy(F.col("parent_claim_id").alias("claim_id")).agg(F.sort_array(F.collect_list("signature")).alias("sub"))
+    return out
 
 
 def navigate(claims: DataFrame, path: list[str], floor: float = FLOOR) -> DataFrame:
@@ -168,18 +188,26 @@ def navigate(claims: DataFrame, path: list[str], floor: float = FLOOR) -> DataFr
     return claims.join(rows.withColumnRenamed("at", "claim_id"), "claim_id").select("doc_id", "start_id", *[c for c in CLAIM if c != "doc_id"])
 
 
-def with_paths(claims: DataFrame, depth: int = 3) -> DataFrame:
-    """claims with path: the properties from the document down to the claim, joined by dots."""
-    out = claims.where("depth = 0").withColumn("path", F.col("prop"))
-    level = out
-    for d in range(1, depth):
+def with_paths(claims: DataFrame, depth: int | None = None) -> DataFrame:
+    """claims with path: the properties from the document down to the claim, joined by dots. All levels, or depth of them.
+
+    The levels above a claim are joined on their small (claim_id, path) tables, written level by level until one is empty, so the
+    claims are read once for the paths and once for the result.
+    """
+    links = settle(claims.select("claim_id", "parent_claim_id", "prop", F.col("depth").alias("__depth")), "links")
+    last = links.agg(F.coalesce(F.max("__depth"), F.lit(0))).first()[0] if depth is None else depth - 1
+    level = links.where("__depth = 0").select("claim_id", F.col("prop").alias("path"))
+    below = None
+    for d in range(1, last + 1):
         up = level.select(F.col("claim_id").alias("parent_claim_id"), F.col("path").alias("__up"))
-        level = claims.where(F.col("depth") == d).join(up, "parent_claim_id").withColumn("path", F.concat_ws(".", "__up", "prop")).drop("__up")
-        out = out.unionByName(level)
-    return out
+        level = links.where(F.col("__depth") == d).join(up, "parent_claim_id").select("claim_id", F.concat_ws(".", "__up", "prop").alias("path"))
+        level = settle(level, "paths") if d < last else level
+        below = level if below is None else below.unionByName(level)
+    top = claims.where("depth = 0").withColumn("path", F.col("prop"))
+    return top if below is None else top.unionByName(claims.where(F.col("depth") > 0).join(below, "claim_id"))
 
 
-def match_paths(claims: DataFrame, specs: list[str], depth: int = 3) -> DataFrame:
+def match_paths(claims: DataFrame, specs: list[str], depth: int | None = None) -> DataFrame:
     """with_paths() rows that match a spec: dotted properties, where * is any one property and ** any properties or none."""
     def pattern(spec: str) -> str:
         out = ""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import values as V
-from tessella.operators import claims as K
+from tessella.operators import claims as K, edges as E
 from tessella.plans.tables import claims, claims_sql, fixed, table
 
-C = {n: f"WITH c AS MATERIALIZED ({claims_sql(*n.split('_'))}) " for n in ("orders_lineitem", "lineitem", "orders", "customer", "part", "documents", "customer_nation_region")}
+C = {n: f"WITH c AS MATERIALIZED ({claims_sql(*n.split('_'))}) " for n in ("orders_lineitem", "lineitem", "orders", "customer", "part", "documents", "shipments", "customer_nation_region")}
 Q, SQL = {}, {}
 
 
@@ -43,7 +43,14 @@ def claims_of(s, d):
 
 @query(C["lineitem"] + "SELECT doc_id, claim_id, prop FROM c LEFT JOIN (SELECT DISTINCT claim_id AS gone FROM c WHERE confidence < 0.75 AND depth = 0) g ON parent_claim_id = gone WHERE confidence >= 0.75 AND gone IS NULL")
 def confident_subtree(s, d):
-    return K.confident(claims(s, d, "lineitem"), 0.75).select("doc_id", "claim_id", "prop")
+    return claims(s, d, "lineitem", floor=0.75).select("doc_id", "claim_id", "prop")
+
+
+@query(C["shipments"] + """, k AS (SELECT claim_id, parent_claim_id, confidence >= 0.75 AS ok FROM c)
+SELECT a.claim_id FROM k a LEFT JOIN k b ON a.parent_claim_id = b.claim_id LEFT JOIN k e ON b.parent_claim_id = e.claim_id LEFT JOIN k f ON e.parent_claim_id = f.claim_id
+WHERE a.ok AND coalesce(b.ok, true) AND coalesce(e.ok, true) AND coalesce(f.ok, true)""")
+def confident_levels(s, d):
+    return K.confident(claims(s, d, "shipments"), 0.75).select("claim_id")
 
 
 @query(C["orders"] + "SELECT doc_id, prop, type, left(sha256(doc_id || chr(0) || prop || chr(0) || '1'), 22) AS claim_id FROM c")
@@ -75,6 +82,13 @@ def navigate(s, d):
     return K.navigate(claims(s, d, "lineitem"), ["LINE", "SHIPPED"], 0.75).select("doc_id", "start_id", "claim_id", "raw")
 
 
+@query(C["shipments"] + """, p AS (SELECT claim_id, parent_claim_id, prop FROM c)
+SELECT a.claim_id, concat_ws('.', f.prop, e.prop, b.prop, a.prop) AS path FROM p a JOIN p b ON a.parent_claim_id = b.claim_id LEFT JOIN p e ON b.parent_claim_id = e.claim_id LEFT JOIN p f ON e.parent_claim_id = f.claim_id
+WHERE a.prop IN ('QUANTITY', 'FLAG_R')""")
+def match_paths_deep(s, d):
+    return K.match_paths(claims(s, d, "shipments"), ["**.QUANTITY", "SHIPMENT.*.FLAG_R"]).select("claim_id", "path")
+
+
 @query(C["orders_lineitem"] + """, p AS (SELECT claim_id, prop AS path FROM c WHERE depth = 0 UNION ALL SELECT c.claim_id, u.prop || '.' || c.prop FROM c JOIN c u ON c.parent_claim_id = u.claim_id)
 SELECT claim_id, path FROM p WHERE path LIKE 'LINE.%' OR path = 'TOTAL' OR path = 'LINE'""")
 def match_paths(s, d):
@@ -92,6 +106,30 @@ def claim_signatures(s, d):
     return sig.groupBy("prop", "signature").agg(F.count("*").alias("n")).groupBy("prop", "n").agg(F.count("*").alias("signatures"))
 
 
+@query("""WITH g AS (
+  SELECT 'SHIPMENT' AS prop, count(*) AS n FROM lineitem GROUP BY l_linenumber, l_linestatus, l_discount, l_returnflag, l_quantity
+  UNION ALL SELECT 'STATE', count(*) FROM lineitem GROUP BY l_linestatus, l_discount, l_returnflag, l_quantity
+  UNION ALL SELECT 'FLAG_' || l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag, l_quantity
+  UNION ALL SELECT 'QUANTITY', count(*) FROM lineitem GROUP BY l_quantity)
+SELECT prop, n::BIGINT AS n, count(*)::BIGINT AS signatures FROM g GROUP BY ALL""")
+def claim_signatures_deep(s, d):
+    sig = K.claim_signature(claims(s, d, "shipments"))
+    return sig.groupBy("prop", "signature").agg(F.count("*").alias("n")).groupBy("prop", "n").agg(F.count("*").alias("signatures"))
+
+
+@query("SELECT 's:' || l_suppkey AS doc_id, NOT (l_suppkey % 10 = 7 AND bool_or(l_quantity = 13)) AS equivalent FROM lineitem GROUP BY l_suppkey")
+def claims_equivalent_deep(s, d):
+    a = claims(s, d, "shipments")
+    changed = (F.col("prop") == "QUANTITY") & (F.col("raw") == "13") & F.col("doc_id").endswith("7")
+    b = a.withColumns({"ord": -F.col("ord"), "raw": F.when(changed, "1300").otherwise(F.col("raw")), "claim_id": F.concat("claim_id", F.lit("b")), "parent_claim_id": F.concat("parent_claim_id", F.lit("b"))})
+    return E.claims_equivalent(a, b)
+
+
+@query("SELECT 's:' || l_suppkey AS doc_id, 'SHIPMENT' AS prop, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_linenumber, l_linestatus, l_discount, l_returnflag, l_quantity HAVING count(*) > 1")
+def duplicate_claims_deep(s, d):
+    return E.duplicate_claims(claims(s, d, "shipments"))
+
+
 @query("SELECT 'd:' || doc_id AS doc_id, text AS str_value, lang FROM documents WHERE lang IN ('fr', 'de', 'en')")
 def select_by_language(s, d):
     return K.select_by_language(claims(s, d, "documents"), ["BODY"], "fr", {"fr": ["de", "en"]})

@@ -37,22 +37,32 @@ SPECS: dict[str, tuple[str, list[Field]]] = {
             Field("SHIPPED", "time", {"raw": DAY.format("l_shipdate"), "time_precision": "'d'"}), Field("RETURNED", "has", when="l_returnflag = 'R'"),
         ],
     )]),
+    "shipments": ("'s:' || l_suppkey", [Field(
+        "SHIPMENT", "string", {"str_value": "CAST(l_linenumber AS STRING)", "lang": "'en'"}, ord="l_linenumber", key="l_orderkey || '/' || l_partkey || '/' || CAST(CAST(l_shipdate AS DATE) AS STRING) || '/' || CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING)",
+        subs=[Field("STATE", "string", {"str_value": "l_linestatus"}, confidence="1.0D - 5 * l_discount", subs=[Field("FLAG", "has", prop_sql="'FLAG_' || l_returnflag", subs=[
+            Field("QUANTITY", "amount", {"raw": "CAST(CAST(l_quantity AS BIGINT) AS STRING)", "precision": "1.0D"}),
+        ])])],
+    )]),
     "documents": ("'d:' || doc_id", [Field("BODY", "string", {"str_value": "text", "lang": "lang"})]),
     "pages": ("'g:' || page_id", [Field("BODY", "html", {"str_value": "html"}), Field("URL", "link", {"str_value": "url"})]),
     "benchmark": ("'b:' || item_id", [Field("BODY", "string", {"str_value": "text"})]),
 }
 
 
+#: Tables of specs that are not named like their table.
+TABLES = {"shipments": "lineitem"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def claims(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """The claims of the named tables."""
+def claims(spark: SparkSession, sf_dir: str, *names: str, floor: float | None = None) -> DataFrame:
+    """The claims of the named tables; with a floor those at it or above, below claims that are so too."""
     out = None
     for name in names:
         doc, fields = SPECS[name]
-        part = rows_to_claims(table(spark, sf_dir, name), doc, fields)
+        part = rows_to_claims(table(spark, sf_dir, TABLES.get(name, name)), doc, fields, floor)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -67,7 +77,7 @@ def claims_sql(*names: str) -> str:
         made = {"doc_id": doc, "claim_id": f"left(sha256({here}), 22)", "parent_claim_id": parent, "parent_prop": up, "depth": str(depth), "ord": f.ord, "type": f"'{f.type}'", "prop": prop, "confidence": f.confidence.replace("D", ""), **{v: f.values.get(v, "NULL").replace("1D", "1").replace("0D", "0") for v in VALUES}}
         kind = {"string": "VARCHAR", "int": "INT", "double": "DOUBLE"}
         row = ", ".join(f'CAST({made[c]} AS {kind[k]}) AS "{c}"' for c, k in CLAIM.items())
-        return [f"SELECT {row} FROM {name} WHERE {when}", *[x for s in f.subs for x in one(name, doc, s, here, prop, depth + 1, when)]]
+        return [f"SELECT {row} FROM {TABLES.get(name, name)} WHERE {when}", *[x for s in f.subs for x in one(name, doc, s, here, prop, depth + 1, when)]]
 
     return " UNION ALL ".join(x for name in names for f in SPECS[name][1] for x in one(name, SPECS[name][0], f, None, "NULL", 0, "true"))
 
