@@ -319,7 +319,50 @@ def duplicates_all(s, d):
     """Queries: every row whose id is divisible by 50, against all rows."""
     c = claims(s, d, "part")
     ids = table(s, d, "part").where("p_partkey % 50 = 0").select(F.expr("'p:' || p_partkey").alias("doc_id"))
-    return J.find_duplicates(c, ids)
+    return J.find_duplicates(c, ids, exact=True)
+
+
+@query("""WITH d AS (
+  SELECT o_orderkey AS k, 'o:' || o_orderkey AS id, o_custkey AS cust, o_orderstatus AS status, lower(o_orderpriority) AS priority,
+    string_split('a' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN ' x' || (o_orderkey % 5) ELSE '' END, ' ') AS code, o_custkey % 400 AS site,
+    regexp_extract_all(lower(o_orderpriority) || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END, '[a-z0-9]+') AS title,
+    regexp_extract_all(lower(o_orderpriority) || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE '' END, '[a-z0-9]+') AS body,
+    CASE WHEN o_orderkey % 20 = 0 THEN 'n:' || (o_orderkey % 25) ELSE 'c:' || o_custkey END AS ref, 'n:' || c_nationkey AS nation,
+    CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE 'c:' || o_custkey END AS direct, floor(o_totalprice / 1000) * 1000 AS total, CASE WHEN o_orderkey % 7 = 0 THEN 5000 ELSE 500 END AS half,
+    CASE WHEN o_orderkey % 9 = 0 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate) END AS t0,
+    CASE WHEN o_orderkey % 9 = 0 THEN date_trunc('month', o_orderdate) + INTERVAL 1 MONTH ELSE date_trunc('day', o_orderdate) + INTERVAL 1 DAY END AS t1,
+    o_orderkey % 10 = 3 OR o_orderkey % 50 = 0 AS apart
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+titles AS (SELECT DISTINCT title FROM d),
+near AS (
+  SELECT a.title AS x, b.title AS y FROM titles a, titles b
+  WHERE len(list_filter(a.title, lambda p: len(list_filter(b.title, lambda q: levenshtein(p, q) <= CASE WHEN length(p) < 3 THEN 0 WHEN length(p) < 6 THEN 1 ELSE 2 END)) = 0)) = 0),
+m AS (
+  SELECT a.id AS a, b.id AS b,
+    CASE WHEN a.code[1] = b.code[1] AND (len(a.code) = 1 OR (len(b.code) = 2 AND a.code[2] = b.code[2])) THEN 10 ELSE 0 END
+    + CASE WHEN a.site = b.site THEN 6 ELSE 0 END + CASE WHEN near.x IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN list_has_all(b.body, a.body) THEN 1 ELSE 0 END
+    + CASE WHEN a.ref = b.ref OR (b.direct IS NOT NULL AND a.ref = b.nation) OR (b.ref[:2] = 'n:' AND a.ref = b.ref) THEN 2 ELSE 0 END
+    + CASE WHEN a.total - a.half < b.total + b.half AND b.total - b.half < a.total + a.half THEN 2 ELSE 0 END
+    + CASE WHEN a.t0 < b.t1 AND b.t0 < a.t1 THEN 2 ELSE 0 END + CASE WHEN a.status = b.status THEN 1 ELSE 0 END AS score
+  FROM d a JOIN d b ON a.k % 50 = 0 AND a.k <> b.k LEFT JOIN near ON near.x = a.title AND near.y = b.title
+  WHERE NOT (a.apart AND b.k = a.k + 7) AND NOT (b.apart AND a.k = b.k + 7))
+SELECT a, b, score::BIGINT AS score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT AS position FROM m WHERE score >= 4 QUALIFY position <= 20""")
+def duplicates_whole(s, d):
+    """Agreement of every kind at once, against documents whose identifiers, titles and states thousands of others share."""
+    ids = table(s, d, "orders").where("o_orderkey % 50 = 0").select(F.expr("'o:' || o_orderkey").alias("doc_id"))
+    return J.find_duplicates(claims(s, d, "dossiers"), ids, distinct_prop="DISTINCT_FROM", ancestors=ancestors(s, d))
+
+
+@query("""WITH w AS (
+  SELECT o_orderkey AS id, o_orderstatus AS prop, epoch(o_orderdate)::DOUBLE AS lo,
+    CASE o_orderkey % 4 WHEN 0 THEN 1e300 WHEN 1 THEN epoch(o_orderdate) + 3e7 WHEN 2 THEN epoch(o_orderdate) ELSE epoch(o_orderdate) + 9e4 END::DOUBLE AS hi FROM orders)
+SELECT a.id AS a_id, b.id AS b_id, a.prop FROM w a JOIN w b ON a.prop = b.prop AND greatest(a.lo, b.lo) < (CASE WHEN a.lo = a.hi THEN a.hi + 1 ELSE a.hi END) AND greatest(a.lo, b.lo) < (CASE WHEN b.lo = b.hi THEN b.hi + 1 ELSE b.hi END) WHERE a.id % 500 = 0""")
+def overlap_any_length(s, d):
+    """Points, days, years and open ends together; queries: every row whose id is divisible by 500, against all rows."""
+    t = F.col("o_orderdate").cast("timestamp").cast("double")
+    hi = F.when(F.col("o_orderkey") % 4 == 0, 1e300).when(F.col("o_orderkey") % 4 == 1, t + 3e7).when(F.col("o_orderkey") % 4 == 2, t).otherwise(t + 9e4)
+    w = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("prop"), t.alias("lo"), hi.alias("hi"))
+    return J.overlap_join(w.where("id % 500 = 0"), w, 86_400.0)
 
 
 @query("WITH w AS (SELECT p_partkey AS id, p_brand AS prop, p_retailprice - 0.5 AS lo, p_retailprice + 0.5 AS hi FROM part) SELECT a.id AS a_id, b.id AS b_id, a.prop FROM w a JOIN w b ON a.prop = b.prop AND a.lo < b.hi AND b.lo < a.hi WHERE a.id % 50 = 0")

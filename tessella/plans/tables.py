@@ -43,6 +43,15 @@ SPECS: dict[str, tuple[str, list[Field]]] = {
             Field("QUANTITY", "amount", {"raw": "CAST(CAST(l_quantity AS BIGINT) AS STRING)", "precision": "1.0D"}),
         ])])],
     )]),
+    "dossiers": ("'o:' || o_orderkey", [
+        Field("CODE", "id", {"str_value": "'a' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN ' x' || (o_orderkey % 5) ELSE '' END"}),
+        Field("SITE", "link", {"str_value": "'http://h/' || (o_custkey % 400)"}), Field("TITLE", "string", {"str_value": "o_orderpriority || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END", "lang": "'en'"}),
+        Field("BODY", "html", {"str_value": "'<p>' || o_orderpriority || '</p> ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END"}),
+        Field("CUSTOMER", "ref", {"to": "CASE WHEN o_orderkey % 20 = 0 THEN 'n:' || (o_orderkey % 25) ELSE 'c:' || o_custkey END"}),
+        Field("TOTAL", "amount", {"raw": "CAST(CAST(floor(o_totalprice / 1000) * 1000 AS BIGINT) AS STRING)", "precision": "CASE WHEN o_orderkey % 7 = 0 THEN 10000.0D ELSE 1000.0D END"}),
+        Field("ORDERED", "time", {"raw": "CASE WHEN o_orderkey % 9 = 0 THEN substr(" + DAY.format("o_orderdate") + ", 1, 7) ELSE " + DAY.format("o_orderdate") + " END", "time_precision": "CASE WHEN o_orderkey % 9 = 0 THEN 'm' ELSE 'd' END"}),
+        Field("STATUS", "has", prop_sql="'STATUS_' || o_orderstatus"), Field("DISTINCT_FROM", "ref", {"to": "'o:' || (o_orderkey + 7)"}, when="o_orderkey % 10 = 3 OR o_orderkey % 50 = 0"),
+    ]),
     "documents": ("'d:' || doc_id", [Field("BODY", "string", {"str_value": "text", "lang": "lang"})]),
     "pages": ("'g:' || page_id", [Field("BODY", "html", {"str_value": "html"}), Field("URL", "link", {"str_value": "url"})]),
     "benchmark": ("'b:' || item_id", [Field("BODY", "string", {"str_value": "text"})]),
@@ -50,7 +59,7 @@ SPECS: dict[str, tuple[str, list[Field]]] = {
 
 
 #: Tables of specs that are not named like their table.
-TABLES = {"shipments": "lineitem"}
+TABLES = {"shipments": "lineitem", "dossiers": "orders"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
