@@ -4,7 +4,8 @@ Texts and items are normalised alike: lower case, runs of ASCII characters that
 item of L bytes may differ from a passage by k = L * ``PERCENT`` // 100 edits (bytes inserted, deleted or replaced). It is cut
 into k + 1 pieces; an occurrence within k edits has at least one piece unchanged (pigeonhole), and that piece stands at most k
 bytes from its place. So one automaton over all pieces finds all candidates, and Myers' bit-parallel dynamic programme gives the
-smallest edit distance of the item to any part of the candidate's window.
+smallest edit distance of the item to any part of the candidate's window. Items too short for an edit (under 13 bytes at 8 %) must
+stand as whole words: ``cat`` is not in ``concatenate``.
 
 Items reach the executors in blocks of about ``BLOCK`` bytes, which bounds the automaton (about 100 bytes for each of them), with one
 pass over the documents for each block; there is no shuffle. A Python worker keeps the automaton of its last block for its next
@@ -103,6 +104,8 @@ class Items:
                     continue
                 seen[start] = True
                 if data.startswith(pattern, max(start, 0)) and start >= 0:
+                    if not k and not self._whole_words(data, start, start + len(pattern)):
+                        continue
                     distance = 0
                 elif not self._plausible(data, pattern, k, start):
                     continue
@@ -112,6 +115,10 @@ class Items:
                     found[item_id] = min(distance, found.get(item_id, distance))
         return found
 
+    @staticmethod
+    def _whole_words(data: str, start: int, end: int) -> bool:
+        return (start == 0 or data[start - 1] == " ") and (end == len(data) or data[end] == " ")
+
     @staticmethod
     def _plausible(data: str, pattern: str, k: int, start: int) -> bool:
         """Whether the window can hold the pattern: each edit changes one letter, so it lacks at most k letters of it."""

@@ -54,16 +54,22 @@ def clean(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens:
     gone = flat.join(common, "key").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("line").alias("__gone"))
     added = ("n_lines", "n_dropped", "kept")
     rest = [c for c in df.columns if c not in added]
-    joined = df.select(*[F.col(f"`{c}`") for c in rest]).join(gone.withColumnRenamed("id", "__id"), F.col(f"`{id_col}`") == F.col("__id"), "left")
-    lines = joined.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).withColumn("__gone", F.coalesce("__gone", F.expr("CAST(array() AS array<int>)")))
+    # the columns of df travel in one struct, so none of them can meet a name that is made here
+    joined = _packed(df, rest).join(gone.withColumnRenamed("id", "__id"), F.col("__row")[id_col] == F.col("__id"), "left")
+    was = F.col("__row")[text]
+    lines = joined.withColumn("__lines", F.split(F.coalesce(was, F.lit("")), "\n", -1)).withColumn("__gone", F.coalesce("__gone", F.expr("CAST(array() AS array<int>)")))
     left = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i])")
-    new = lines.withColumn("__text", F.when(F.size("__gone") == 0, F.col(text)).otherwise(F.array_join(left, "\n")))
+    new = lines.withColumn("__text", F.when(F.size("__gone") == 0, was).otherwise(F.array_join(left, "\n")))
     out = new.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__lines")),
+        "n_lines": F.when(was.isNull(), F.lit(0)).otherwise(F.size("__lines")),
         "n_dropped": F.size("__gone"),
         "kept": (F.size("__gone") == 0) | (F.btrim("__text", F.lit(SPACES)) != ""),
     })
-    return out.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in rest], *added)
+    return out.select(*[F.col("__text").alias(c) if c == text else F.col("__row")[c].alias(c) for c in rest], *added)
+
+
+def _packed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("__row"))
 
 
 def _units(df: DataFrame, id_col: str, text: str, min_tokens: int) -> DataFrame:
@@ -113,18 +119,20 @@ def cut_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     gone = gone.select("id", "line", "seg").repartition("id").groupBy("id", "line").agg(F.collect_set("seg").alias("segs"))
     gone = gone.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("line", "segs"))).alias("__cut"))
     rest = [c for c in docs.columns if c != "n_cut"]
-    joined = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left").withColumn("__lines", F.split(F.col(text), "\n", -1))
+    was, kept = F.col("__row")[text], F.col("__row")["kept"]
+    joined = _packed(docs, rest).join(gone, F.col("__row")[id_col] == F.col("__id"), "left").withColumn("__lines", F.split(was, "\n", -1))
     # another text of the same id may have fewer lines
     joined = joined.withColumn("__cut", F.filter("__cut", lambda c: c["line"] < F.size("__lines")))
     joined = joined.withColumn("__some", F.coalesce(F.size("__cut"), F.lit(0)) > 0)
     joined = joined.withColumns({"__lines": F.when(F.col("__some"), F.col("__lines")), "__cut": F.when(F.col("__some"), F.col("__cut"))})
     joined = joined.withColumn("__new", _rebuilt(F.col("__lines"), F.col("__cut")))
     out = joined.withColumns({
-        text: F.when(F.col("__some"), F.col("__new")).otherwise(F.col(text)),
-        "kept": F.col("kept") & (~F.col("__some") | (F.btrim("__new", F.lit(SPACES)) != "")),
+        "__text": F.when(F.col("__some"), F.col("__new")).otherwise(was),
+        "__kept": kept & (~F.col("__some") | (F.btrim("__new", F.lit(SPACES)) != "")),
         "n_cut": F.when(F.col("__some"), F.size(F.flatten(F.col("__cut.segs")))).otherwise(0),
     })
-    return out.select(*[F.col(f"`{c}`") for c in rest], "n_cut")
+    made = {text: F.col("__text"), "kept": F.col("__kept")}
+    return out.select(*[made.get(c, F.col("__row")[c]).alias(c) for c in rest], "n_cut")
 
 
 #: DuckDB SQL with the same result for clean() on documents(doc_id, text).

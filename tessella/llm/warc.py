@@ -1,7 +1,7 @@
 """WARC archives of pages: writing captures, reading them back, and assembling each capture's records into one row.
 
 ``write`` makes for each page a request, a response (or a revisit of the first capture with the same payload) and a metadata
-record; request and metadata name the response in WARC-Concurrent-To. Record ids are made of the page id and the payload's digest.
+record; request and metadata name the response in WARC-Concurrent-To. Record ids are made of the page id, the payload's digest and the url.
 Pages are put together to pieces of about ``ARCHIVE`` bytes, and Spark's text writer makes a gzip archive of each piece, so an
 archive is never larger than that and one page. (Spark has no writer for bytes, so an archive is one gzip member.)
 
@@ -11,7 +11,7 @@ row for each capture; only revisits then meet the responses they refer to.
 
 Defined results: null html is an empty payload. Payloads under ``MIN_SHARED`` bytes are always responses. Among equal payloads the
 smallest page id is the response, the others revisit it, those without a page id too; without any page id all are responses.
-Repeated page ids with unlike payloads are captures of their own; repeated rows give a row for each. Null urls are written as
+Repeated page ids with unlike payloads or urls are captures of their own; repeated rows give a row for each. Null urls are written as
 ``about:blank``. An empty table gives no records. Line ends inside urls become %0D and %0A. Other columns are ignored.
 """
 
@@ -45,18 +45,22 @@ def _record(kind: str, headers: list[tuple[str, Column]], body: Column) -> Colum
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to names the page whose response holds the payload, null for responses.
+    """(page_id, url, html, digest, refers_to, refers_url): refers_to and refers_url name the capture whose response holds the payload,
+    null for responses.
 
     Payloads meet by digest and page id alone; the pages are then joined by page id and digest, so a popular payload's texts stay
     spread out.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("about:blank")), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    large = rows.where(F.octet_length("html") >= MIN_SHARED).select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    again = large.join(first, "digest").where("page_id IS NULL OR refers_to < page_id").distinct()
-    again = again.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
-    return rows.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+    large = rows.where(F.octet_length("html") >= MIN_SHARED).select("page_id", "digest", "url")
+    # of one page id under several urls, the smallest url's capture
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    first = large.groupBy("digest").agg(least.alias("least"), F.count("*").alias("n")).where("n > 1 AND least IS NOT NULL")
+    first = first.select("digest", F.col("least.page_id").alias("refers_to"), F.col("least.url").alias("refers_url"))
+    again = large.select("page_id", "digest").join(first, "digest").where("page_id IS NULL OR refers_to < page_id").distinct()
+    again = again.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to", "refers_url")
+    return rows.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "html", "digest", "refers_to", "refers_url")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,15 +81,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(found: DataFrame, path: str) -> None:
     """Archives of captures() in the folder path."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    named = lambda kind, of: F.concat(F.lit(f"<urn:x-capture:{kind}:"), of, F.lit(":"), F.col("digest"), F.lit(">"))
-    ids = {kind: named(kind, page) for kind in ("response", "request", "metadata")}
+    named = lambda kind, of, url: F.concat(F.lit(f"<urn:x-capture:{kind}:"), of, F.lit(":"), F.col("digest"), F.lit(":"), F.substring(F.sha2(url, 256), 1, 16), F.lit(">"))
+    ids = {kind: named(kind, page, F.col("url")) for kind in ("response", "request", "metadata")}
     revisit = F.col("refers_to").isNotNull()
     target = ("WARC-Target-URI", F.col("url"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     status = F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}{_END}")
     http = ("Content-Type", F.lit("application/http; msgtype=response"))
     full = _record("response", [("WARC-Record-ID", ids["response"]), target, digest, http], F.concat(status, F.col("html")))
-    refers = named("response", F.col("refers_to").cast("string"))
+    refers = named("response", F.col("refers_to").cast("string"), F.col("refers_url"))
     profile = F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     again = _record("revisit", [("WARC-Record-ID", ids["response"]), target, digest, ("WARC-Refers-To", refers), ("WARC-Profile", profile), http], status)
     joined = ("WARC-Concurrent-To", ids["response"])

@@ -41,10 +41,16 @@ def test_items_equal_the_table():
     for _ in range(60):
         items = [(i, " ".join(word() for _ in range(r.randint(3, 25)))) for i in range(4)]
         text = " ".join(" ".join(word() for _ in range(5)) + " " + edited(r, t, r.randint(0, max(1, len(t) // 9))) for _, t in items)
-        want = {i: d for i, t in items if (d := table_distance(plain(t), plain(text))) <= len(plain(t)) * decontaminate.PERCENT // 100}
+        budget = lambda t: len(plain(t)) * decontaminate.PERCENT // 100
+        want = {i: d for i, t in items if (d := table_distance(plain(t), plain(text))) <= budget(t) and (budget(t) or f" {plain(t)} " in f" {plain(text)} ")}
         assert Items(items).find(text) == want
 
 
+def test_short_items_are_whole_words():
+    found = Items([(1, "cat"), (2, "B. C"), (3, "dog")]).find("Concatenate b c; dogs, hot-dog.")
+    assert found == {2: 0, 3: 0} and Items([(1, "cat")]).find("cats cat") == {1: 0} and Items([(1, "cat")]).find("the cat") == {1: 0}
+
+
 def test_item_blocks_and_ids_of_any_type(spark, monkeypatch):
     r = random.Random(10)
     item = lambda: " ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(12))

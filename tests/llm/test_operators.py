@@ -216,6 +216,16 @@ def test_line_templates(spark):
     assert got[1].text == line.format("x1") + "\nown text" and got[2].text == "mine" and not got[3].kept and got[4].text is None and got[5].kept
 
 
+def test_captures_of_one_page_under_two_urls(spark):
+    h = "x" * 200
+    rows = [(1, "http://a/", h), (1, "http://b/", h), (2, "http://c/", h), (2, "http://c/", h), (1, "http://a/", "y"), (None, "http://d/", h)]
+    found = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.response.uri, r.request.uri, r.record_type, r.refers_to, r.payload_bytes) for r in found) == [
+        (0, "http://d/", "http://d/", "revisit", 1, 200), (1, "http://a/", "http://a/", "response", None, 1), (1, "http://a/", "http://a/", "response", None, 200),
+        (1, "http://b/", "http://b/", "response", None, 200), (2, "http://c/", "http://c/", "revisit", 1, 200), (2, "http://c/", "http://c/", "revisit", 1, 200),
+    ]
+
+
 def test_decontamination(spark, texts):
     r = random.Random(4)
     item = " ".join("".join(r.choices("klmnopqrst", k=5)) for _ in range(40))

@@ -34,3 +34,15 @@ def test_texts_of_one_id(spark):
     got = line_dedup.cut_passages(spark.createDataFrame(rows, "doc_id long, text string, kept boolean").repartition(3)).collect()
     assert {(r.doc_id, r.text, r.n_cut) for r in got} == {(1, PASSAGE.strip(), 0), (2, "a\nb\nLast words.", 2), (2, "one line", 0), (2, None, 0), (2, "", 0)}
     assert all(r.kept for r in got)
+
+
+def test_columns_named_like_those_made_inside(spark):
+    line = "one two three four five six seven"
+    rows = [(1, line), (2, line + "\nanother line"), (3, None)]
+    names = ["__gone", "__lines", "__id", "__text", "__row", "__cut", "__some", "__new", "__kept", "line", "keys", "id"]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = df.selectExpr("*", *[f"{i} AS `{c}`" for i, c in enumerate(names)])
+    plain = {r.doc_id: r for r in line_dedup.cut_passages(line_dedup.clean(df)).collect()}
+    for r in line_dedup.cut_passages(line_dedup.clean(extra)).collect():
+        assert [r[c] for c in names] == list(range(len(names)))
+        assert all(r[c] == plain[r.doc_id][c] for c in plain[r.doc_id].__fields__)
