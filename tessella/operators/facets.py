@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions.values import step_down
+from tessella.sources.settle import settle
 
 CAP, BINS = 1000, 100
 #: The order in which a facet offers entries that are no values.
@@ -51,20 +52,44 @@ def pooled_has(records: DataFrame, parent: str | None = None) -> DataFrame:
     return has.groupBy("prop").agg(F.count("*").alias("docs")).unionByName(every)
 
 
-def facets(records: DataFrame, active: list[str] = (), cap: int = CAP) -> DataFrame:
+def facet_facts(records: DataFrame, parents: bool = False) -> DataFrame:
+    """(doc_id, parent, prop, kind, unit, ref, none, unknown, has): what each document says of a property, one row for each document,
+    property and kind (rel, amount by unit, time); with parents also of the properties of sub-claims. All counts of facets follow
+    from these rows, so records are read and shuffled once."""
+    t = F.col("claim_type")
+    rows = records.where(F.col("collection").isin("rel", "amount", "time") & (F.col("depth") <= (1 if parents else 0)))
+    keys = [F.when(F.col("depth") == 1, F.coalesce("parent_prop", F.lit(""))).otherwise("").alias("parent"), "prop", F.col("collection").alias("kind"), F.when(F.col("collection") == "amount", F.coalesce("unit", F.lit(""))).otherwise("").alias("unit")]
+    return rows.groupBy("doc_id", *keys).agg(*[F.coalesce(F.bool_or(t == c), F.lit(False)).alias(c) for c in ("ref", "none", "unknown", "has")])
+
+
+def facets(records: DataFrame, active: list[str] = (), cap: int = CAP, docs: DataFrame | None = None, parents: bool = False, mark: bool = False) -> DataFrame:
     """(kind, prop, unit, docs, active, position): ref, amount, time, specials-only and pooled has facets, active ones first,
     then by count; at most cap. docs is what a facet reaches: amount and time facets add the documents with a statement without a
-    value of their property, so that a document with both counts twice there."""
-    rel = discover_rel(records)
-    ranged = records.where("depth = 0 AND collection IN ('amount', 'time')").select("prop").distinct()
-    pooled = pooled_has(records).where("prop = ''").select(F.lit("has").alias("kind"), F.lit("").alias("prop"), F.lit("").alias("unit"), "docs").where("docs > 0")
-    refs = rel.where("valued > 0").select(F.lit("ref").alias("kind"), "prop", F.lit("").alias("unit"), "docs")
-    special = rel.where("valued = 0 AND none + unknown > 0").join(ranged, "prop", "left_anti").select(F.lit("special").alias("kind"), "prop", F.lit("").alias("unit"), "docs")
-    amounts = discover_amount(records).select(F.lit("amount").alias("kind"), "prop", "unit", "docs")
-    times = discover_time(records).select(F.lit("time").alias("kind"), "prop", F.lit("").alias("unit"), "docs")
-    reached = amounts.unionByName(times).join(rel.select("prop", "valueless"), "prop", "left").withColumn("docs", F.col("docs") + F.coalesce("valueless", F.lit(0))).drop("valueless")
-    rows = refs.unionByName(special).unionByName(reached).unionByName(pooled).withColumn("active", F.col("prop").isin(list(active)))
-    return rank(rows, [F.desc("active"), F.desc("docs"), F.asc("kind"), F.asc("prop"), F.asc("unit")], cap)
+    value of their property, so that a document with both counts twice there.
+
+    With docs(doc_id), the result of the filters, only these documents count. With parents the properties of sub-claims are facets
+    too, under their parent's property (column parent, '' for those of documents). With mark, saturated tells in each row whether
+    more than cap facets were found, and total how many.
+
+    facet_facts() is written once; one aggregation of it by property and kind gives all counts, one by property says which are only
+    ever stated by has, and the documents of these are counted once for the pool.
+    """
+    rows = records if docs is None else records.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    facts = settle(facet_facts(rows, parents), "facts")
+    valueless = F.col("none") | F.col("unknown") | F.col("has")
+    counts = facts.groupBy("parent", "prop", "kind", "unit").agg(F.count("*").alias("docs"), F.count_if("ref").alias("valued"), F.count_if(valueless).alias("valueless"), F.count_if(F.col("none") | F.col("unknown")).alias("special"))
+    rel, by = F.col("kind") == "rel", Window.partitionBy("parent", "prop")
+    known = settle(counts.withColumns({"ranged": F.coalesce(F.bool_or(~rel).over(by), F.lit(False)), "stated": F.coalesce(F.max(F.when(rel, F.col("valueless"))).over(by), F.lit(0)), "only_has": ~F.coalesce(F.bool_or(~rel | (F.col("valued") + F.col("special") > 0)).over(by), F.lit(False))}), "counts")
+    kind = F.when(~rel, F.col("kind")).when(F.col("valued") > 0, "ref").when((F.col("special") > 0) & ~F.col("ranged"), "special")
+    each = known.select(kind.alias("kind"), "parent", "prop", "unit", (F.col("docs") + F.when(rel, 0).otherwise(F.col("stated"))).alias("docs")).where("kind IS NOT NULL")
+    pool = facts.where("has").join(known.where("only_has").select("parent", "prop"), ["parent", "prop"], "left_semi").groupBy("parent").agg(F.count_distinct("doc_id").alias("docs"))
+    each = each.unionByName(pool.select(F.lit("has").alias("kind"), "parent", F.lit("").alias("prop"), F.lit("").alias("unit"), "docs"))
+    each = each.withColumn("active", F.col("prop").isin(list(active))) if parents else each.drop("parent").withColumn("active", F.col("prop").isin(list(active)))
+    order = [F.desc("active"), F.desc("docs"), F.asc("kind"), *([F.asc("parent")] if parents else []), F.asc("prop"), F.asc("unit")]
+    if not mark:
+        return rank(each, order, cap)
+    total = each.select(F.count("*")).scalar()
+    return rank(each.withColumn("total", total), order, cap).withColumn("saturated", F.col("total") > cap)
 
 
 def rank(rows: DataFrame, order: list[Column], cap: int, by: list[str] | None = None, name: str = "position") -> DataFrame:
@@ -136,6 +161,16 @@ def distinct_total(rows: DataFrame, column: str, cap: int = CAP) -> DataFrame:
     return rows.agg(F.count_distinct(column).alias("total"), F.hll_sketch_estimate(F.hll_sketch_agg(column)).alias("estimate")).withColumn("saturated", F.col("total") > cap)
 
 
+def distinct_estimate(rows: DataFrame, column: str, cap: int = CAP, log2k: int = 15) -> DataFrame:
+    """(total, saturated): the exact number of different values up to the cap; above it the estimate of a mergeable sketch of 2**log2k
+    registers, whose relative standard error is 0.83 / 2**(log2k / 2): 0.5 % at 15. State is bounded: the sketch, and at most
+    cap + 1 values a task that are then brought together. Nulls don't count; no rows give 0."""
+    few = rows.select(column).where(F.col(column).isNotNull()).distinct().limit(cap + 1)
+    n, estimate = few.select(F.count("*")).scalar(), rows.select(F.hll_sketch_estimate(F.hll_sketch_agg(column, log2k))).scalar()
+    one = rows.sparkSession.range(1).select(n.alias("n"), estimate.alias("estimate"))
+    return one.select(F.when(F.col("n") > cap, F.greatest("n", "estimate")).otherwise(F.col("n")).alias("total"), (F.col("n") > cap).alias("saturated"))
+
+
 def _windows(records: DataFrame, prop: str, kind: str, unit: str | None, parent: str | None) -> DataFrame:
     where = (F.col("prop") == prop) & (F.col("collection") == kind) & (F.col("depth") == 0 if parent is None else F.col("parent_prop") == parent)
     if kind == "amount":
@@ -219,7 +254,8 @@ def value_tree(values: DataFrame, ancestors: DataFrame) -> DataFrame:
     return placed.join(near, "id", "left")
 
 
-def score_factor(docs: DataFrame, score: str = "score") -> DataFrame:
-    """(factor): (2**10 - 2) / p99 of the scores, 0 where p99 is under 1."""
-    p = F.percentile(score, F.lit(0.99))
+def score_factor(docs: DataFrame, score: str = "score", accuracy: int | None = None) -> DataFrame:
+    """(factor): (2**10 - 2) / p99 of the scores, 0 where p99 is under 1. Exact without accuracy, which counts the different scores;
+    with it from a mergeable quantile sketch of that accuracy (rank error 1 / accuracy), whose state doesn't grow with the scores."""
+    p = F.percentile(score, F.lit(0.99)) if accuracy is None else F.percentile_approx(score, 0.99, accuracy)
     return docs.agg(F.coalesce(F.when(p >= 1, 1022.0 / p), F.lit(0.0)).alias("factor"))

@@ -107,6 +107,11 @@ def _paths(filters: list[Filter]) -> dict[tuple, list[Filter]]:
     return out
 
 
+def properties(filters: list[Filter]) -> set[str]:
+    """The properties that filters look at, parents included: records of others need not be made."""
+    return {p for f in filters for p in (f.prop, f.parent, *(f.values if f.kind == "has" else ())) if p}
+
+
 def flag_name(path: tuple) -> str:
     return "f_" + "_".join(str(x).strip("<>") for x in path if x)
 
@@ -166,14 +171,19 @@ def _group(records: DataFrame, parent: str, members: dict[tuple, list[Filter]],
     asked = sorted({f.prop for fs in members.values() for f in fs if f.prop})
     below = (F.col("parent_prop") == parent) & (F.col("depth") > 0)
     below = below & F.col("prop").isin(asked) if all(f.prop for fs in members.values() for f in fs) else below  # others need no shuffle
-    rows = records.where(below | ((F.col("prop") == parent) & (F.col("depth") == 0)))
+    members_only = not narrowing and not any(f.kind == "missing" for fs in members.values() for f in fs)
+    if members_only:
+        # the parent claim itself says nothing here: only records that some member looks for are brought together
+        rows = records.where((F.col("parent_prop") == parent) & (F.col("depth") == 1) & reduce(or_, [_any(fs, False) for fs in members.values()]))
+    else:
+        rows = records.where(below | ((F.col("prop") == parent) & (F.col("depth") == 0)))
     key = F.when(F.col("depth") == 0, F.col("claim_id")).otherwise(F.col("parent_claim_id")).alias("__claim")
     sub, own = F.col("depth") > 0, F.col("depth") == 0
     narrow = _any([f for f in narrowing if f.kind != "missing"], False) if narrowing else F.lit(True)
     marks = [F.coalesce(F.bool_or(own & narrow), F.lit(False)).alias("__own")]
     for i, fs in enumerate(members.values()):
         marks += [F.coalesce(F.bool_or(sub & _any(fs, False)), F.lit(False)).alias(f"__m{i}"), F.coalesce(F.bool_or(sub & _any(fs, True)), F.lit(False)).alias(f"__x{i}")]
-    claims = rows.groupBy("doc_id", key).agg(*marks).where("__own")
+    claims = rows.groupBy("doc_id", key).agg(*marks).where(F.lit(True) if members_only else F.col("__own"))
     alone = len(members) == 1 and all(f.kind == "missing" for f in next(iter(members.values())))
     if alone:
         return claims.groupBy("doc_id").agg((~F.bool_or("__x0")).alias(f"g_{parent}"))

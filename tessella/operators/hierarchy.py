@@ -39,6 +39,15 @@ def property_closure(edges: DataFrame) -> DataFrame:
     return value_ancestors(edges).select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), F.col("min_depth").alias("depth"))
 
 
+def ordered_children(edges: DataFrame, orders: DataFrame) -> DataFrame:
+    """(id, child, position): the direct children of each property by the order that they state, orders(id, order), then by id; those
+    that state none come last. A child of several parents has a place under each; loops are left out."""
+    rows = edges.where("id <> parent").select(F.col("id").alias("child"), F.col("parent").alias("id")).distinct()
+    stated = orders.groupBy(F.col("id").alias("child")).agg(F.min("order").alias("order"))
+    w = Window.partitionBy("id").orderBy(F.asc_nulls_last("order"), "child")
+    return rows.join(stated, "child", "left").withColumn("position", F.row_number().over(w)).select("id", "child", "position")
+
+
 def hierarchy_props(closure: DataFrame, root: str, minus: list[str]) -> DataFrame:
     """Properties that are value hierarchies: those under root, without the ones named and what lies under these."""
     under = closure.where(F.col("id") == root).select(F.col("descendant").alias("prop"))
@@ -46,12 +55,50 @@ def hierarchy_props(closure: DataFrame, root: str, minus: list[str]) -> DataFram
     return under.join(out, "prop", "left_anti").where(~F.col("prop").isin(minus))
 
 
+def _above(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, parent): the edges at or above ids."""
+    seen = front = settle(ids.select("id").distinct(), "front")
+    found = None
+    while not front.isEmpty():
+        step = settle(edges.join(front, "id", "left_semi"), "above")
+        found = step if found is None else found.unionByName(step)
+        front = settle(step.select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
+        seen = seen.unionByName(front)
+    return edges.limit(0) if found is None else found
+
+
 def id_paths(edges: DataFrame, ids: DataFrame, cap: int = 100) -> DataFrame:
-    """(id, id_path): all paths from a root to each id of ids, at most cap for an id (the first ones in order).
+    """(id, id_path): all paths from a root to each id of ids, at most cap for an id: the first ones in order.
+
+    Paths grow from the roots down. A value whose parents all have their lists extends these by itself, merges them and keeps the
+    first cap. Simple paths of one parent keep their order when they are extended, so the first cap of each parent are enough for
+    the first cap of the value: lists stay bounded and the result is exact, however many paths there are.
 
-    A parent that is on the path already is not followed again; a value on a cycle without a root keeps the cut paths.
+    Values on a cycle, or below one, never have all parents done. Their paths are followed upwards, a parent that is on the path
+    already is not followed again, and a cycle without a root keeps the cut paths; these are all made before the cap applies.
     """
-    up = settle(edges.select(F.col("id").alias("top"), "parent").distinct(), "edges")
+    edges = settle(edges.where("id <> parent").select("id", "parent").distinct(), "edges")
+    up = settle(_above(edges, ids), "edges")
+    nodes = settle(ids.select("id").unionByName(up.select(F.col("parent").alias("id"))).distinct(), "nodes")
+    new = settle(nodes.join(up, "id", "left_anti").select("id", F.array(F.array("id")).alias("paths")), "paths")
+    lists, left = new, up
+    while not new.isEmpty():
+        # edges whose parent has no list yet hold their value back
+        left = settle(left.join(new.select(F.col("id").alias("parent")), "parent", "left_anti"), "left")
+        ready = up.select("id").distinct().join(left, "id", "left_anti").join(lists, "id", "left_anti")
+        given = up.join(ready, "id", "left_semi").join(lists.select(F.col("id").alias("parent"), "paths"), "parent")
+        merged = given.select("id", F.explode(F.transform("paths", lambda p: F.concat(p, F.array("id")))).alias("p")).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("p"))).where(F.col("n") <= cap)
+        new = settle(merged.groupBy("id").agg(F.sort_array(F.collect_list("p")).alias("paths")), "paths")
+        lists = lists.unionByName(new)
+    wanted = ids.select("id").distinct()
+    out = lists.join(wanted, "id", "left_semi").select("id", F.explode("paths").alias("id_path"))
+    rest = settle(wanted.join(lists, "id", "left_anti"), "cyclic")
+    return out if rest.isEmpty() else out.unionByName(_cyclic_paths(up, rest, cap))
+
+
+def _cyclic_paths(up: DataFrame, ids: DataFrame, cap: int) -> DataFrame:
+    """id_paths() of values on or below cycles."""
+    up = up.select(F.col("id").alias("top"), "parent")
     open_ = ids.select("id", F.col("id").alias("top"), F.array("id").alias("id_path"))
     done = None
     while True:
@@ -63,9 +110,7 @@ def id_paths(edges: DataFrame, ids: DataFrame, cap: int = 100) -> DataFrame:
         going = rows.where("more").select("id", "id_path").distinct()
         ended = ended.join(going, ["id", "id_path"], "left_anti")
         done = ended if done is None else done.unionByName(ended)
-        nxt = rows.where("more").select("id", F.col("parent").alias("top"), F.concat(F.array("parent"), F.col("id_path")).alias("id_path"))
-        w = Window.partitionBy("id").orderBy("id_path")
-        open_ = settle(nxt.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).drop("n"), "paths")
+        open_ = rows.where("more").select("id", F.col("parent").alias("top"), F.concat(F.array("parent"), F.col("id_path")).alias("id_path"))
         if open_.isEmpty():
             break
     w = Window.partitionBy("id").orderBy("id_path")
@@ -75,8 +120,11 @@ def id_paths(edges: DataFrame, ids: DataFrame, cap: int = 100) -> DataFrame:
 def label_paths(paths: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, id_path, lang, label_path): labels(id, lang, label) in step with the ids; an id without a label stands for itself."""
     steps = paths.select("id", "id_path", F.posexplode("id_path").alias("pos", "step"))
-    langs = labels.select("lang").distinct()
-    named = steps.join(F.broadcast(langs), F.lit(True)).join(labels.select(F.col("id").alias("step"), "lang", "label"), ["step", "lang"], "left")  # languages are few
+    langs = [r.lang for r in labels.select("lang").distinct().limit(1001).collect()]
+    if len(langs) > 1000:
+        raise ValueError("label_paths() takes labels of at most 1,000 languages")
+    in_all = steps.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs]).cast("array<string>")))
+    named = in_all.join(labels.select(F.col("id").alias("step"), "lang", "label"), ["step", "lang"], "left")
     return named.groupBy("id", "id_path", "lang").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("label", "step").alias("l")))).alias("s")).select("id", "id_path", "lang", F.expr("transform(s, x -> x.l)").alias("label_path"))
 
 

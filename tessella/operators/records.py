@@ -10,10 +10,12 @@ from tessella.operators.hierarchy import expand_refs, mark_leaves
 RECORD = ["doc_id", "claim_id", "parent_claim_id", "parent_prop", "depth", "collection", "claim_type", "prop", "to", "direct", "is_leaf", "unit", "lo", "hi", "hi_incl", "text"]
 
 
-def records(claims: DataFrame, ancestors: DataFrame) -> DataFrame:
+def records(claims: DataFrame, ancestors: DataFrame | None, kinds: set[str] | None = None, plain_days: bool = False) -> DataFrame:
     """The records of claims. A sub-claim's record carries its parent claim's property.
 
     References are expanded; all other claims are shaped in one projection. Only times that are no plain days go through Python.
+    kinds are the claim types that can occur; what they rule out has no branch in the plan (without ref, ancestors may be None).
+    plain_days promises that all times are plain days, which leaves the Python branch out.
     """
     blank = {"to": "string", "direct": "boolean", "is_leaf": "boolean", "lo": "double", "hi": "double", "hi_incl": "boolean", "text": "string"}
 
@@ -28,6 +30,12 @@ def records(claims: DataFrame, ancestors: DataFrame) -> DataFrame:
         "lo": F.when(kind == "amount", lo).otherwise(day), "hi": F.when(kind == "amount", hi).otherwise(day + 86_400.0),
         "hi_incl": F.when(kind == "amount", incl).when(kind == "time", False),
     })
-    out = shaped(simple, F.when(kind.isin("has", "none", "unknown"), "rel").otherwise(kind))
+    out = shaped(simple, F.when(kind.isin("has", "none", "unknown"), "rel").otherwise(kind)) if kinds is None or kinds - {"ref"} else None
+    if kinds is not None and "ref" not in kinds:
+        rel = None
+    else:
+        rel = shaped(mark_leaves(expand_refs(claims, ancestors)), F.lit("rel"))
+    if plain_days or (kinds is not None and "time" not in kinds):
+        return rel.unionByName(out) if rel is not None and out is not None else out if rel is None else rel
     times = shaped(time_windows(claims.where((kind == "time") & day.isNull()).drop("to")), F.lit("time"))
-    return shaped(mark_leaves(expand_refs(claims, ancestors)), F.lit("rel")).unionByName(out).unionByName(times)
+    return (rel.unionByName(out) if rel is not None else out).unionByName(times)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions.text import fold, tokens
 
@@ -29,14 +29,51 @@ def text_buckets(records: DataFrame, labels: DataFrame, excluded: list[str] = ()
     return dedupe_text(rows.withColumn("ord", F.lit(0))).drop("ord")
 
 
-def build_token_index(docs: DataFrame, text: str = "text", folded: bool = True) -> DataFrame:
-    """(doc_id, lang, token, exact, positions, n): positions of each token; token is folded and lightly stemmed, exact is not."""
-    rows = docs.select("doc_id", "lang", F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "exact"))
-    base = fold(F.col("exact")) if folded else F.lower("exact")
-    rows = rows.withColumn("token", F.regexp_replace(base, SUFFIXES, ""))
+def _stem(word: Column) -> Column:
+    return F.regexp_replace(word, SUFFIXES, "")
+
+
+def build_token_index(docs: DataFrame, text: str = "text", folded: bool = True, terms: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang, token, exact, positions, n): positions of each token; token is folded and lightly stemmed, exact is not. With
+    terms only these tokens are there: what a search of them needs, by one scan that makes no other rows."""
+    words = tokens(F.coalesce(F.col(text), F.lit("")))
+    if terms is not None and not folded:
+        # chosen inside the array, so that only hits become rows
+        placed = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("pos"), x.alias("exact"))), lambda x: _stem(F.lower(x.exact)).isin(list(terms)))
+        rows = docs.select("doc_id", "lang", F.explode(placed).alias("x")).select("doc_id", "lang", "x.pos", "x.exact")
+    else:
+        rows = docs.select("doc_id", "lang", F.posexplode(words).alias("pos", "exact"))
+    rows = rows.withColumn("token", _stem(fold(F.col("exact")) if folded else F.lower("exact")))
+    rows = rows if terms is None else rows.where(F.col("token").isin(list(terms)))
     return rows.groupBy("doc_id", "lang", "token", "exact").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("n"))
 
 
+def text_lengths(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, lang, len): how many tokens a document has in a language; without any it has no row."""
+    rows = docs.select("doc_id", "lang", F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("len")).where("len > 0")
+    return rows.groupBy("doc_id", "lang").agg(F.sum("len").alias("len"))
+
+
+def write_token_index(docs: DataFrame, path: str, buckets: int = 64, text: str = "text", folded: bool = True) -> None:
+    """The index as a table: postings in folders by bucket of the token and sorted by token inside, so that a search reads the
+    buckets of its terms and of these the row groups that hold them; lengths; and one row of what a score needs of all documents."""
+    postings = build_token_index(docs, text, folded).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    postings.repartition(buckets, "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    text_lengths(docs, text).write.parquet(f"{path}/lengths")
+    lengths = docs.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
+
+
+def read_token_index(spark: SparkSession, path: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, lengths, totals) of a stored index; with terms the postings of these tokens, from their buckets only."""
+    postings, totals = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals")
+    if terms is not None:
+        buckets = totals.first().buckets
+        # hashes of constants are folded before the scan, which then lists the buckets that they name
+        postings = postings.where(F.col("bucket").isin([F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]) & F.col("token").isin(list(terms)))
+    return postings.drop("bucket"), spark.read.parquet(f"{path}/lengths"), totals
+
+
 def text_match(index: DataFrame, terms: list[str], prefixes: list[str] = (), ids: list = ()) -> DataFrame:
     """(doc_id, lang): every term (as token) and every prefix (of an exact token) in one language of a document or in its und
     texts; documents whose id is one of ids match in all their languages."""
@@ -62,16 +99,19 @@ def text_phrase(index: DataFrame, words: list[str], stemmed: bool = False) -> Da
     return parts.distinct().groupBy("doc_id", "lang", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("doc_id", "lang").distinct()
 
 
-def bm25(index: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, lang, score): BM25 with frequencies and lengths of the whole index."""
-    tf = index.groupBy("doc_id", "lang", "token").agg(F.sum("n").alias("tf"))
-    length = index.groupBy("doc_id", "lang").agg(F.sum("n").alias("len"))
-    n, mean = length.agg(F.count("*"), F.avg("len")).first()
-    hits = tf.where(F.col("token").isin(terms))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))  # one row for each term
-    rows = hits.join(F.broadcast(df), "token").join(length, ["doc_id", "lang"])
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return rows.groupBy("doc_id", "lang").agg(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))).alias("score"))
+def bm25(index: DataFrame, terms: list[str], lengths: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """(doc_id, lang, score): BM25 with frequencies and lengths of all documents. index may hold the terms' postings only if lengths is
+    given (text_lengths(), or those of a stored index); totals is the stored index's row of (n, mean)."""
+    if lengths is None:
+        lengths = index.groupBy("doc_id", "lang").agg(F.sum("n").alias("len"))
+    if totals is None:
+        totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    n, mean = (totals.select(c).scalar() for c in ("n", "mean"))
+    hits = index.where(F.col("token").isin(list(terms))).groupBy("doc_id", "lang", "token").agg(F.sum("n").alias("tf"))
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    rows = hits.join(df, "token").join(lengths, ["doc_id", "lang"])
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return rows.groupBy("doc_id", "lang").agg(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))).alias("score"))
 
 
 def best_language(scores: DataFrame, rest: float = 0.1, display: DataFrame | None = None, weight: float = 3.0) -> DataFrame:
@@ -113,7 +153,7 @@ def route_language(texts: DataFrame, learned: DataFrame, margin: float = 0.05, l
 
     profile = grams(learned.where("lang IS NOT NULL"), "lang")
     norm = profile.groupBy("lang").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    unit = profile.join(F.broadcast(norm), "lang").select("lang", "g", (F.col("n") / F.col("norm")).alias("w"))
+    unit = profile.join(norm, "lang").select("lang", "g", (F.col("n") / F.col("norm")).alias("w"))
     own = grams(texts.where(F.length("text") >= least), "doc_id")
     size = own.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
     dot = own.join(unit, "g").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.col("w")).alias("dot")).join(size, "doc_id").withColumn("c", F.col("dot") / F.col("size"))

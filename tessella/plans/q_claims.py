@@ -182,3 +182,35 @@ def format_values(s, d):
 @query("""SELECT p_type AS prop, CASE WHEN p_size % 100 = 0 THEN 100.0 WHEN p_size % 10 = 0 THEN 10.0 ELSE 1.0 END::DOUBLE AS precision, count(*) AS n FROM part GROUP BY ALL""")
 def precision_profile(s, d):
     return V.precision_profile(table(s, d, "part").select(F.col("p_type").alias("prop"), F.col("p_size").cast("double").alias("lo")))
+
+
+@query("""WITH t AS (SELECT l_returnflag AS prop, CASE WHEN l_linenumber % 3 = 0 THEN date_trunc('month', l_shipdate) WHEN l_linenumber % 3 = 1 THEN date_trunc('year', l_shipdate) ELSE l_shipdate END AS t FROM lineitem)
+SELECT prop, CASE WHEN day(t) <> 1 THEN 'd' WHEN month(t) <> 1 THEN 'm' WHEN year(t) % 1000 = 0 THEN '1ky' WHEN year(t) % 100 = 0 THEN '100y' WHEN year(t) % 10 = 0 THEN '10y' ELSE 'y' END AS precision, count(*) AS n FROM t GROUP BY ALL""")
+def time_profile(s, d):
+    n = F.col("l_linenumber") % 3
+    t = F.when(n == 0, F.date_trunc("month", "l_shipdate")).when(n == 1, F.date_trunc("year", "l_shipdate")).otherwise(F.col("l_shipdate"))
+    return V.precision_profile(table(s, d, "lineitem").select(F.col("l_returnflag").alias("prop"), t.cast("timestamp").cast("double").alias("lo")), kind="time")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '(' ELSE '[' END || CASE WHEN l_linenumber = 1 THEN '?' WHEN l_linenumber = 2 THEN '-' ELSE CAST(l_quantity AS BIGINT)::VARCHAR END || ', ' || (CAST(l_quantity AS BIGINT) + 5) || CASE WHEN l_linestatus = 'F' THEN ')' ELSE ']' END AS text FROM lineitem""")
+def interval_text(s, d):
+    q, none = F.col("l_quantity").cast("bigint"), F.lit(None).cast("string")
+    rows = table(s, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", q.cast("string").alias("from_raw"), (q + 5).cast("string").alias("to_raw"), (F.col("l_returnflag") == "R").alias("from_open"), (F.col("l_linestatus") == "F").alias("to_open"),
+        F.when(F.col("l_linenumber") == 1, "unknown").when(F.col("l_linenumber") == 2, "none").alias("from_state"), none.alias("to_state"),
+    )
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", K.interval_text(rows).alias("text"))
+
+
+@query("""SELECT 'p:' || p_partkey AS doc_id, list_sort(list_distinct(list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'en' END, CASE WHEN p_partkey % 3 = 0 THEN 'de' END], lambda x: x IS NOT NULL))) AS l, CASE WHEN p_partkey % 5 = 0 THEN 'u:' || (p_partkey % 4) END AS in_unit,
+CASE WHEN len(l) = 0 THEN ['und'] ELSE l END AS langs FROM part""")
+def claim_languages(s, d):
+    """Names with languages and units as sub-claims; a third language is not known."""
+    c = claims(s, d, "part", only={"NAME"})
+    key = F.substring("doc_id", 3, 20).cast("long")
+    sub = lambda prop, to, name: c.where(to.isNotNull()).withColumns({"parent_claim_id": F.col("claim_id"), "claim_id": F.concat("claim_id", F.lit(name)), "parent_prop": F.col("prop"), "depth": F.lit(1), "type": F.lit("ref"), "prop": F.lit(prop), "to": to})
+    more = [sub("IN_LANGUAGE", F.when(key % 2 == 0, "l:en"), "e"), sub("IN_LANGUAGE", F.when(key % 3 == 0, "l:de"), "d"), sub("IN_LANGUAGE", F.when(key % 7 == 0, "l:xx"), "x"), sub("IN_UNIT", F.when(key % 5 == 0, F.concat(F.lit("u:"), (key % 4).cast("string"))), "u")]
+    for x in more:
+        c = c.unionByName(x)
+    out = K.with_lang_unit(c, fixed(s, [("l:en", "en"), ("l:de", "de")], "id string, code string")).where("depth = 0")
+    return out.select("doc_id", F.when(F.col("langs") == F.array(F.lit("und")), F.expr("CAST(array() AS array<string>)")).otherwise(F.col("langs")).alias("l"), "in_unit", "langs")

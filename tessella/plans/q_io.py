@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from tessella.plans.q_search import order_records
 from tessella.plans.tables import claims, claims_sql, table
 from tessella.sources import io as X
-from tessella.streaming import maintenance as M
+from tessella.sources.settle import shared_dir
+from tessella.streaming import maintenance as M, sessions
 
 Q, SQL = {}, {}
 
@@ -91,3 +94,69 @@ def merge_edges(s, d):
 def complete_sessions(s, d):
     c = table(s, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("operation"), F.col("text").alias("data"))
     return M.complete_sessions(c, c.select("session", (F.col("session") % 3 == 0).alias("discarded")).distinct())
+
+
+def _folder(s, name):
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT 's:' || s_suppkey AS id, s_name AS name, s_nationkey AS nation FROM supplier")
+def read_documents(s, d):
+    """Suppliers written as one JSON file each and read as documents."""
+    path = _folder(s, "documents")
+    rows = table(s, d, "supplier").select(F.expr("'s:' || s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    rows.write.option("maxRecordsPerFile", 1).json(path)
+    return X.read_documents(s, path, rows.schema)
+
+
+@query("SELECT sha256(r_name || chr(10)) AS hash, count(*) AS files, 1::BIGINT AS firsts, sum(strlen(r_name) + 1)::BIGINT AS bytes FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def file_inventory(s, d):
+    """A file for each supplier with its region's name: equal files have one first."""
+    path = _folder(s, "files")
+    t = table(s, d, "supplier").join(table(s, d, "nation"), F.expr("s_nationkey = n_nationkey")).join(table(s, d, "region"), F.expr("n_regionkey = r_regionkey"))
+    t.select(F.col("r_name").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = X.file_inventory(s, path).where(F.col("path").contains("/part-"))
+    return rows.groupBy("hash").agg(F.count("*").alias("files"), F.count_if("first").alias("firsts"), F.sum("length").alias("bytes"))
+
+
+@query("WITH o AS (SELECT o_orderkey FROM orders), l AS (SELECT unnest(['public', 'secret']) AS level) SELECT level, count(*) * 1 AS n FROM orders, l WHERE level = 'secret' OR o_orderkey % 2 = 0 GROUP BY level")
+def write_index(s, d):
+    """Totals of two levels written to the index and read back by level and bucket of the property."""
+    path = _folder(s, "index")
+    rows = order_records(s, d, only={"TOTAL", "ORDERED"})
+    key = F.substring("doc_id", 3, 20).cast("long")
+    X.write_index(rows.withColumn("level", F.lit("secret")).unionByName(rows.where(key % 2 == 0).withColumn("level", F.lit("public"))), path)
+    bucket = F.pmod(F.hash(F.lit("TOTAL")), F.lit(16))
+    return s.read.parquet(path).where((F.col("prop_bucket") == bucket) & (F.col("prop") == "TOTAL")).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'o:' || o_orderkey AS doc_id, '{"LINE":[' || string_agg('{"sub":{"QUANTITY":[{"value":"' || CAST(l_quantity AS BIGINT) || '"}],"SUPPLIER":[{"value":"s:' || l_suppkey || '"}]},"value":"p:' || l_partkey || '"}', ',' ORDER BY l_linenumber, left(sha256('o:' || l_orderkey || chr(0) || 'LINE' || chr(0) || l_partkey || '/' || l_suppkey || '/' || CAST(CAST(l_shipdate AS DATE) AS STRING) || '/' || CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING) || chr(0) || l_linenumber), 22)) || '],"TOTAL":[{"value":"' || any_value(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)) || '"}]}' AS value
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def export_nested(s, d):
+    """Orders that have lines, lines with their sub-claims inside them."""
+    c = claims(s, d, "orders", "lineitem", only={"TOTAL", "LINE", "QUANTITY", "SUPPLIER"})
+    return X.export_nested(c).where(F.col("value").contains('"LINE"'))
+
+
+@query("SELECT conv_id::VARCHAR AS session, turn::BIGINT AS operation, 'append' AS kind, 'accepted' AS status FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE turn < n OR n = 1 UNION ALL SELECT conv_id::VARCHAR, NULL, 'append', 'conflict' FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) WHERE n > 1 UNION ALL SELECT DISTINCT conv_id::VARCHAR, NULL, 'begin', 'accepted' FROM conversations UNION ALL SELECT DISTINCT conv_id::VARCHAR, NULL, 'end', 'accepted' FROM conversations")
+def session_fates(s, d):
+    """Conversations as sessions: each turn appends under the next number, but for the last of several, which repeats the one before."""
+    c = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("session"), "turn", F.col("text").alias("data"))
+    w = Window.partitionBy("session")
+    n = F.row_number().over(w.orderBy("turn"))
+    last = (n == F.count("*").over(w)) & (n > 1)
+    none = F.lit(None).cast("string")
+    appends = c.select("session", (n * 10).alias("seq"), F.lit("append").alias("kind"), F.when(last, n - 1).otherwise(n).alias("expected"), "data")
+    edge = lambda kind, seq: c.select("session").distinct().select("session", F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("expected"), none.alias("data"))
+    ops = appends.unionByName(edge("begin", 0)).unionByName(edge("end", 1 << 30))
+    return sessions.session_fates(ops, implicit=False).select("session", "operation", "kind", "status")
+
+
+@query("SELECT 'u' || user_id AS doc_id, max(event_id)::BIGINT AS seq, arg_max(event_type, event_id) = 'error' AS deleted, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def index_batches(s, d):
+    """The log in three batches, the last one twice, merged into a bucketed index; then read as its manifest names it."""
+    path, log = _folder(s, "bucketed"), _log(s, d).drop("at")
+    for n, part in enumerate((log.where("seq % 3 = 0"), log.where("seq % 3 = 2"), log.where("seq % 3 = 1"))):
+        M.merge_batch(s, path, n, part, buckets=8)
+    M.merge_batch(s, path, 2, log.where("seq % 3 = 1"), buckets=8)
+    return M.current(s, path)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import facets as A, filters as P, grouping as G, hierarchy as H
+from tessella.functions import values as V
 from tessella.operators.records import records
-from tessella.plans.tables import claims, fixed, table
+from tessella.plans.tables import SPECS, claims, fixed, pruned, table, types
 from tessella.sources.settle import settle
 
 Q, SQL = {}, {}
@@ -29,8 +30,10 @@ def ancestors(s, d):
     return H.value_ancestors(edges(s, d))
 
 
-def order_records(s, d, *more):
-    return records(claims(s, d, "orders", *more), ancestors(s, d))
+def order_records(s, d, *more, only=None):
+    """Records of orders and more tables, of all properties or only some; all their times are plain days."""
+    kinds = types([f for n in ("orders", *more) for f in (SPECS[n][1] if only is None else pruned(SPECS[n][1], only))])
+    return records(claims(s, d, "orders", *more, only=only), ancestors(s, d) if "ref" in kinds else None, kinds, plain_days=True)
 
 
 def orders(s, d):
@@ -64,7 +67,7 @@ def label_paths(s, d):
 
 @query(BASE + "SELECT doc_id, cust AS \"to\", true AS direct, true AS is_leaf FROM o UNION ALL SELECT doc_id, nat, false, false FROM o UNION ALL SELECT doc_id, reg, false, false FROM o")
 def records_expanded(s, d):
-    return order_records(s, d).where("prop = 'CUSTOMER'").select("doc_id", "to", "direct", "is_leaf")
+    return order_records(s, d, only={"CUSTOMER"}).where("prop = 'CUSTOMER'").select("doc_id", "to", "direct", "is_leaf")
 
 
 @query(BASE + "SELECT prop, collection, claim_type, count(*)::BIGINT AS n FROM (SELECT 'CUSTOMER' AS prop, 'rel' AS collection, 'ref' AS claim_type FROM o UNION ALL SELECT 'CUSTOMER', 'rel', 'ref' FROM o UNION ALL SELECT 'CUSTOMER', 'rel', 'ref' FROM o UNION ALL SELECT 'TOTAL', 'amount', 'amount' FROM o UNION ALL SELECT 'ORDERED', 'time', 'time' FROM o UNION ALL SELECT 'STATUS_' || o_orderstatus, 'rel', 'has' FROM o UNION ALL SELECT 'PRIORITY', CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'rel' ELSE 'string' END, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'unknown' ELSE 'string' END FROM o) GROUP BY ALL")
@@ -75,7 +78,8 @@ def record_kinds(s, d):
 def _filter(name: str, where: str, *filters, lines=False, **more):
     def f(s, d):
         found = [x(s, d) if callable(x) else x for x in filters]
-        return P.apply_filters(orders(s, d), order_records(s, d, *(["lineitem"] if lines else [])), found, **more)
+        only = P.properties([*found, *more.get("prefilters", []), *more.get("exclude", [])])
+        return P.apply_filters(orders(s, d), order_records(s, d, *(["lineitem"] if lines else []), only=only), found, **more)
     f.__name__ = name
     return query(BASE + f"SELECT doc_id FROM o WHERE {where}")(f)
 
@@ -137,7 +141,19 @@ def discover_facets(s, d):
 UNION ALL SELECT 'amount', 'TOTAL', '', count(*) FROM o UNION ALL SELECT 'time', 'ORDERED', '', count(*) FROM o UNION ALL SELECT 'has', '', '', count(*) FROM o)
 SELECT kind, prop, unit, docs, prop = 'PRIORITY' AS active, (row_number() OVER (ORDER BY prop = 'PRIORITY' DESC, docs DESC, kind, prop))::INT AS position FROM f""")
 def facet_list(s, d):
-    return A.facets(settle(order_records(s, d)), ["PRIORITY"])
+    return A.facets(order_records(s, d), ["PRIORITY"])
+
+
+@query(BASE + """, p AS (SELECT o.doc_id FROM o WHERE o_totalprice + 0.005 > 200000), q AS (SELECT * FROM o SEMI JOIN p USING (doc_id)), k AS (SELECT * FROM l SEMI JOIN p USING (doc_id)),
+f AS (SELECT 'ref' AS kind, '' AS parent, 'CUSTOMER' AS prop, count(*) AS docs FROM q UNION ALL SELECT 'ref', '', 'LINE', count(DISTINCT doc_id) FROM k UNION ALL SELECT 'special', '', 'PRIORITY', count(*) FROM q WHERE o_orderpriority = '4-NOT SPECIFIED'
+UNION ALL SELECT 'amount', '', 'TOTAL', count(*) FROM q UNION ALL SELECT 'time', '', 'ORDERED', count(*) FROM q UNION ALL SELECT 'has', '', '', count(*) FROM q
+UNION ALL SELECT 'ref', 'LINE', 'SUPPLIER', count(DISTINCT doc_id) FROM k UNION ALL SELECT 'amount', 'LINE', 'QUANTITY', count(DISTINCT doc_id) FROM k UNION ALL SELECT 'time', 'LINE', 'SHIPPED', count(DISTINCT doc_id) FROM k
+UNION ALL SELECT 'has', 'LINE', '', count(DISTINCT doc_id) FROM k WHERE l_returnflag = 'R')
+SELECT kind, parent, prop, '' AS unit, docs::BIGINT AS docs, prop = 'TOTAL' AS active, 10::BIGINT AS total, true AS saturated, (row_number() OVER (ORDER BY prop = 'TOTAL' DESC, docs DESC, kind, parent, prop))::INT AS position FROM f QUALIFY position <= 8""")
+def facets_filtered(s, d):
+    """Facets of a filtered result, sub-claims' properties among them, cut at 8 of 10."""
+    found = P.apply_filters(orders(s, d), order_records(s, d, only={"TOTAL"}), [P.amount("TOTAL", 200000)])
+    return A.facets(order_records(s, d, "lineitem"), ["TOTAL"], 8, found, parents=True, mark=True)
 
 
 @query("""WITH f AS (SELECT 'ref' AS kind, 'SUBENTITY' AS prop, '' AS unit, count(*) AS docs FROM customer UNION ALL SELECT 'special', 'CREDIT', '', count(*) FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0 UNION ALL SELECT 'has', '', '', count(*) FROM customer
@@ -166,12 +182,12 @@ def sub_facets(s, d):
 @query(BASE + """, v AS (SELECT cust AS "to", count(*) AS docs, count(*) AS direct_docs FROM o GROUP BY ALL UNION ALL SELECT nat, count(*), 0 FROM o GROUP BY ALL UNION ALL SELECT reg, count(*), 0 FROM o GROUP BY ALL)
 SELECT "to", docs::BIGINT AS docs, direct_docs::BIGINT AS direct_docs FROM v""")
 def ref_values(s, d):
-    return A.ref_values(order_records(s, d), "CUSTOMER")
+    return A.ref_values(order_records(s, d, only={"CUSTOMER"}), "CUSTOMER")
 
 
 @query(BASE + "SELECT snat AS \"to\", count(DISTINCT l_orderkey)::BIGINT AS docs FROM l GROUP BY ALL")
 def ref_values_sub(s, d):
-    return A.ref_values(order_records(s, d, "lineitem"), "SUPPLIER", "LINE").where("to LIKE 'n:%'").select("to", "docs")
+    return A.ref_values(order_records(s, d, "lineitem", only={"SUPPLIER"}), "SUPPLIER", "LINE").where("to LIKE 'n:%'").select("to", "docs")
 
 
 @query(BASE + """SELECT nat AS "to", count(*)::BIGINT AS docs FROM o WHERE o_orderkey % 3 = 0 GROUP BY ALL""")
@@ -187,7 +203,7 @@ def ref_direct(s, d):
 
 @query(BASE + """, v AS (SELECT DISTINCT cust, nat, reg FROM o) SELECT nat AS "to", count(DISTINCT cust)::BIGINT AS children FROM v GROUP BY ALL UNION ALL SELECT reg, count(DISTINCT nat) FROM v GROUP BY ALL UNION ALL SELECT DISTINCT cust, 0 FROM v""")
 def child_counts(s, d):
-    return A.child_counts(A.ref_values(order_records(s, d), "CUSTOMER"), edges(s, d))
+    return A.child_counts(A.ref_values(order_records(s, d, only={"CUSTOMER"}), "CUSTOMER"), edges(s, d))
 
 
 @query(BASE + "SELECT count(*)::BIGINT AS \"universe\", 0::BIGINT AS exists, 0::BIGINT AS has, count(*) FILTER (o_orderpriority = '4-NOT SPECIFIED')::BIGINT AS \"unknown\", 0::BIGINT AS none, 0::BIGINT AS other, count(*) FILTER (o_orderpriority <> '4-NOT SPECIFIED')::BIGINT AS missing FROM o")
@@ -197,7 +213,7 @@ def identity_counts(s, d):
 
 @query("SELECT min(o_totalprice) - 0.005 AS least, max(o_totalprice) + 0.005 AS most, count(*)::BIGINT AS docs, false AS open_start, false AS open_end, false AS start_is_end FROM orders")
 def histogram_bounds(s, d):
-    return A.value_bounds(order_records(s, d), "TOTAL")
+    return A.value_bounds(order_records(s, d, only={"TOTAL"}), "TOTAL")
 
 
 def _bins(table_sql: str) -> str:
@@ -208,17 +224,17 @@ SELECT g.bin, low + g.bin * width AS lo, count(x.doc)::BIGINT AS docs FROM b, g
 
 @query(_bins("SELECT o_orderkey AS doc, round(o_totalprice, 2) - 0.005 AS lo, round(o_totalprice, 2) + 0.005 AS hi FROM orders"))
 def histogram_amount(s, d):
-    return A.histogram(order_records(s, d), "TOTAL")
+    return A.histogram(order_records(s, d, only={"TOTAL"}), "TOTAL")
 
 
 @query(_bins("SELECT o_orderkey AS doc, epoch(o_orderdate)::DOUBLE AS lo, epoch(o_orderdate)::DOUBLE + 86400 AS hi FROM orders"))
 def histogram_time(s, d):
-    return A.histogram(order_records(s, d), "ORDERED", "time")
+    return A.histogram(order_records(s, d, only={"ORDERED"}), "ORDERED", "time")
 
 
 @query(_bins("SELECT l_orderkey AS doc, l_quantity - 0.5 AS lo, l_quantity + 0.5 AS hi FROM lineitem"))
 def histogram_sub(s, d):
-    return A.histogram(order_records(s, d, "lineitem"), "QUANTITY", parent="LINE")
+    return A.histogram(order_records(s, d, "lineitem", only={"QUANTITY"}), "QUANTITY", parent="LINE")
 
 
 @query(BASE + """SELECT nat AS "to", count(*)::BIGINT AS docs FROM o JOIN nation ON nat = 'n:' || n_nationkey WHERE n_name LIKE '%1%' GROUP BY ALL UNION ALL
@@ -226,7 +242,7 @@ SELECT reg, count(*) FROM o WHERE reg IN (SELECT 'r:' || n_regionkey FROM nation
 def narrow_facets(s, d):
     names = H.naming_strings(claims(s, d, "nation"), ["NAME"]).select("id", F.col("names")[0].alias("label"))
     anc = ancestors(s, d)
-    return A.narrow_facets(A.ref_values(order_records(s, d), "CUSTOMER").select("to", "docs"), names, "1", ancestors=anc)
+    return A.narrow_facets(A.ref_values(order_records(s, d, only={"CUSTOMER"}), "CUSTOMER").select("to", "docs"), names, "1", ancestors=anc)
 
 
 @query("SELECT p_brand AS prop, p_type AS kind, count(*)::BIGINT AS docs, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_brand)::INT AS position FROM part GROUP BY p_brand, p_type QUALIFY position <= 5")
@@ -245,7 +261,15 @@ def merge_selected(s, d):
 
 @query("SELECT count(DISTINCT o_custkey)::BIGINT AS total, count(DISTINCT o_custkey) > 1000 AS saturated FROM orders")
 def distinct_totals(s, d):
-    return A.distinct_total(order_records(s, d).where("prop = 'CUSTOMER' AND direct"), "to").drop("estimate")
+    return A.distinct_total(order_records(s, d, only={"CUSTOMER"}).where("prop = 'CUSTOMER' AND direct"), "to").drop("estimate")
+
+
+@query("SELECT true AS saturated, true AS near FROM orders LIMIT 1")
+def distinct_above_cap(s, d):
+    """The sketch's total lies within 3 % (six standard errors) of the exact one."""
+    rows = table(s, d, "orders").select("o_custkey")
+    exact = rows.select(F.count_distinct("o_custkey")).scalar()
+    return A.distinct_estimate(rows, "o_custkey", cap=20).select("saturated", (F.abs(F.col("total") - exact) <= 0.03 * exact).alias("near"))
 
 
 @query(BASE + """, k AS (SELECT reg AS id, count(*) AS docs FROM o GROUP BY ALL UNION ALL SELECT nat, count(*) FROM o GROUP BY ALL)
@@ -282,7 +306,7 @@ def default_order(s, d):
 
 @query(BASE + ", k AS (SELECT doc_id, max(l_quantity - 0.5) AS q FROM l GROUP BY ALL) SELECT o.doc_id, row_number() OVER (ORDER BY epoch(o_orderdate) DESC, o_totalprice, o.doc_id)::INT AS position FROM o ORDER BY epoch(o_orderdate) DESC, o_totalprice, o.doc_id LIMIT 1000")
 def sort_min_max(s, d):
-    rows, order = G.sort_keys(orders(s, d), order_records(s, d), [("ORDERED", False), ("TOTAL", True)])
+    rows, order = G.sort_keys(orders(s, d), order_records(s, d, only={"ORDERED", "TOTAL"}), [("ORDERED", False), ("TOTAL", True)])
     return G.results(rows, order)[0].select("doc_id", "position")
 
 
@@ -294,18 +318,18 @@ def top_results(s, d):
 
 @query(BASE + f", {SCORED} SELECT cust AS \"g_CUSTOMER\", s.doc_id, row_number() OVER (PARTITION BY cust ORDER BY {BY.replace('doc_id', 's.doc_id')})::INT AS position, count(*) OVER (PARTITION BY cust)::BIGINT AS group_docs FROM s JOIN o ON s.doc_id = o.doc_id")
 def group_one(s, d):
-    return G.group_results(scored(s, d), order_records(s, d), ["CUSTOMER"], G.default_order())
+    return G.group_results(scored(s, d), order_records(s, d, only={"CUSTOMER"}), ["CUSTOMER"], G.default_order())
 
 
 @query(BASE + f", {SCORED}, m AS (SELECT DISTINCT doc_id, 'p:' || l_partkey AS p FROM l), j AS (SELECT s.*, cust, p FROM s JOIN o ON s.doc_id = o.doc_id LEFT JOIN m ON m.doc_id = s.doc_id) SELECT cust AS \"g_CUSTOMER\", p AS \"g_LINE\", doc_id, row_number() OVER (PARTITION BY cust, p ORDER BY {BY})::INT AS position, h.n::BIGINT AS group_docs FROM j JOIN (SELECT cust AS hc, count(DISTINCT doc_id) AS n FROM o GROUP BY ALL) h ON hc = cust")
 def group_two(s, d):
-    return G.group_results(scored(s, d), order_records(s, d, "lineitem"), ["CUSTOMER", "LINE"], G.default_order())
+    return G.group_results(scored(s, d), order_records(s, d, "lineitem", only={"CUSTOMER", "LINE"}), ["CUSTOMER", "LINE"], G.default_order())
 
 
 @query(BASE + f", {SCORED}, g AS (SELECT cust, s.doc_id, row_number() OVER (PARTITION BY cust ORDER BY {BY.replace('doc_id', 's.doc_id')})::INT AS position FROM s JOIN o ON s.doc_id = o.doc_id) SELECT cust AS \"g_CUSTOMER\", doc_id, position FROM g JOIN customer ON cust = 'c:' || c_custkey ORDER BY lower(c_name), cust, position, doc_id LIMIT 300")
 def group_cap(s, d):
     names = H.naming_strings(claims(s, d, "customer"), ["NAME"]).select("id", F.col("names")[0].alias("label"))
-    rows = G.group_results(scored(s, d), order_records(s, d), ["CUSTOMER"], G.default_order())
+    rows = G.group_results(scored(s, d), order_records(s, d, only={"CUSTOMER"}), ["CUSTOMER"], G.default_order())
     return G.limit_groups(rows, names, ["g_CUSTOMER"], 300).select("g_CUSTOMER", "doc_id", "position")
 
 
@@ -314,7 +338,7 @@ t AS (SELECT r.*, row_number() OVER (ORDER BY p_name IS NULL, lower(p_name), p N
 SELECT p AS "g_LINE", doc_id, position FROM t WHERE doc_id IN (SELECT doc_id FROM f)""")
 def group_unique(s, d):
     names = H.naming_strings(claims(s, d, "part"), ["NAME"]).select("id", F.col("names")[0].alias("label"))
-    rows = G.group_results(scored(s, d), order_records(s, d, "lineitem"), ["LINE"], G.default_order())
+    rows = G.group_results(scored(s, d), order_records(s, d, "lineitem", only={"LINE"}), ["LINE"], G.default_order())
     return G.limit_groups(rows, names, ["g_LINE"], 200, unique=True).select("g_LINE", "doc_id", "position")
 
 
@@ -323,7 +347,7 @@ SELECT 1 AS level, cust AS "g_CUSTOMER", NULL::VARCHAR AS "g_LINE", c_name AS la
 UNION ALL SELECT 2, cust, p, p_name, count(DISTINCT doc_id) FROM j LEFT JOIN part ON p = 'p:' || p_partkey GROUP BY ALL""")
 def group_headings(s, d):
     names = H.naming_strings(claims(s, d, "customer", "part"), ["NAME"]).select("id", F.col("names")[0].alias("label"))
-    return G.group_headings(orders(s, d), order_records(s, d, "lineitem"), ["CUSTOMER", "LINE"], names)
+    return G.group_headings(orders(s, d), order_records(s, d, "lineitem", only={"CUSTOMER", "LINE"}), ["CUSTOMER", "LINE"], names)
 
 
 @query("""WITH w AS (SELECT o_orderkey AS doc, round(o_totalprice, 2) - 0.005 AS lo, round(o_totalprice, 2) + 0.005 AS hi FROM orders), e AS (SELECT greatest(min(lo), 90000.0::DOUBLE) AS low, least(max(hi), 210000.0::DOUBLE) AS high FROM w), b AS (SELECT low, high, (high - low) / 100 AS width FROM e), g AS (SELECT range::INT AS bin FROM range(100)),
@@ -332,7 +356,7 @@ x AS (SELECT DISTINCT doc, unnest(range(first, greatest(first, last - CASE WHEN
 SELECT g.bin, low + g.bin * width AS lo, count(x.doc)::BIGINT AS docs FROM b, g LEFT JOIN x ON x.bin = g.bin GROUP BY g.bin, low, width""")
 def histogram_selection(s, d):
     """Between 100000 and 200000: a tenth wider on either side, within the values."""
-    return A.histogram(order_records(s, d), "TOTAL", gte=100_000.0, lte=200_000.0)
+    return A.histogram(order_records(s, d, only={"TOTAL"}), "TOTAL", gte=100_000.0, lte=200_000.0)
 
 
 @query(BASE + """, v AS (SELECT cust AS "to", count(*) AS docs, 3 AS depth, [[any_value(reg), any_value(nat), cust]] AS paths FROM o GROUP BY cust UNION ALL SELECT nat, count(*), 2, [[any_value(reg), nat]] FROM o GROUP BY nat UNION ALL SELECT reg, count(*), 1, [[reg]] FROM o GROUP BY reg
@@ -340,7 +364,7 @@ UNION ALL SELECT 'MISSING', count(*), 1, [] FROM orders WHERE o_custkey % 4 = 0
 SELECT "to", docs::BIGINT AS docs, depth::INT AS depth, paths, (row_number() OVER (ORDER BY docs DESC, depth, "to" = 'MISSING', "to"))::INT AS position FROM v ORDER BY position LIMIT 1000""".replace("FROM o GROUP BY", "FROM o WHERE o_custkey % 4 > 0 GROUP BY"))
 def ref_values_ordered(s, d):
     """Values with their paths in display order, and the entry of the orders whose customer is taken away."""
-    r = order_records(s, d).where("prop = 'CUSTOMER'")
+    r = order_records(s, d, only={"CUSTOMER"}).where("prop = 'CUSTOMER'")
     fourth = r.where("direct AND CAST(substring(to, 3) AS BIGINT) % 4 = 0").select("doc_id")
     r = settle(r.join(fourth, "doc_id", "left_anti"))
     values = settle(A.ref_values(r, "CUSTOMER").select("to", "docs"))
@@ -357,3 +381,46 @@ def page_after(s, d):
 @query(f"WITH {SCORED} SELECT 1022.0 / quantile_cont(score, 0.99) AS factor FROM s")
 def score_factor(s, d):
     return A.score_factor(scored(s, d))
+
+
+@query(f"WITH {SCORED}, x AS (SELECT quantile_cont(score, 0.985) AS a, quantile_cont(score, 0.995) AS b FROM s) SELECT a IS NOT NULL AS near FROM x")
+def score_factor_sketch(s, d):
+    """The sketch's factor lies between those of the 98.5 and 99.5 % quantiles."""
+    rows = scored(s, d)
+    low, high = (rows.select(F.percentile("score", F.lit(p))).scalar() for p in (0.985, 0.995))
+    return A.score_factor(rows, accuracy=1000).select(F.col("factor").between(1022.0 / high, 1022.0 / low).alias("near"))
+
+
+@query(BASE + f""", {SCORED}, j AS (SELECT s.*, cust, nat, reg, c_name, n_name, r_name, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' OR o_orderkey % 3 = 0 THEN NULL ELSE 'p:' || (o_orderkey % 3) END AS grp FROM s JOIN o ON s.doc_id = o.doc_id JOIN customer ON cust = 'c:' || c_custkey JOIN nation ON nat = 'n:' || n_nationkey JOIN region ON reg = 'r:' || r_regionkey),
+t AS (SELECT *, row_number() OVER (ORDER BY lower(r_name) DESC, reg DESC, lower(n_name) DESC, nat DESC, lower(c_name) DESC, cust DESC, grp IS NULL, grp, {BY})::INT AS position, count(*) OVER (PARTITION BY cust) AS n1, count(*) OVER (PARTITION BY cust, grp) AS n2 FROM j),
+u AS (SELECT *, lag(reg) OVER w AS lr, lag(nat) OVER w AS ln, lag(cust) OVER w AS lc, lag(coalesce(grp, '-')) OVER w AS lg FROM t WINDOW w AS (ORDER BY position))
+SELECT position, doc_id, true AS more, ['0|' || reg || '|' || r_name || '||' || (lr IS DISTINCT FROM reg), '0|' || nat || '|' || n_name || '||' || (ln IS DISTINCT FROM nat), '0|' || cust || '|' || c_name || '|' || n1 || '|' || (lc IS DISTINCT FROM cust),
+'1|' || coalesce(grp, '') || '|' || coalesce(grp, '') || '|' || n2 || '|' || (lc IS DISTINCT FROM cust OR lg IS DISTINCT FROM coalesce(grp, '-'))] AS headings FROM u WHERE position <= 400""")
+def group_tree(s, d):
+    """Two columns: customers under their nation and region, descending, then a value that some orders lack."""
+    names = H.naming_strings(claims(s, d, "customer", "nation", "region"), ["NAME"]).select("id", F.col("names")[0].alias("label"))
+    c = claims(s, d, "orders")
+    key = F.substring("doc_id", 3, 20).cast("long") % 3
+    made = c.where((F.col("prop") == "PRIORITY") & (F.col("type") == "string") & (key > 0)).withColumns({"type": F.lit("ref"), "prop": F.lit("GROUP"), "to": F.concat(F.lit("p:"), key.cast("string"))})
+    up = edges(s, d)
+    paths = H.id_paths(up, c.where("prop = 'CUSTOMER'").select(F.col("to").alias("id")).distinct())
+    rows = G.group_tree(scored(s, d), records(c.unionByName(made), ancestors(s, d)), ["CUSTOMER", "GROUP"], G.default_order(), names, paths, 400, [True, False])
+    text = lambda h: F.concat(h["col"].cast("string"), F.lit("|"), F.coalesce(h.id, F.lit("")), F.lit("|"), F.coalesce(h.label, F.lit("")), F.lit("|"), F.coalesce(h.docs.cast("string"), F.lit("")), F.lit("|"), h["first"].cast("string"))
+    return rows.select("position", "doc_id", "more", F.transform("headings", text).alias("headings"))
+
+
+@query(BASE + f""", {SCORED}, m AS (SELECT doc_id, max(p_name || chr(1) || p) AS k, max(lower(p_name)) AS lp, max_by(p, lower(p_name) || chr(1) || p) AS id FROM (SELECT l.doc_id, p_name, 'p:' || p_partkey AS p FROM l JOIN part ON l_partkey = p_partkey) GROUP BY ALL),
+t AS (SELECT s.doc_id, (row_number() OVER (ORDER BY s.time IS NULL, s.time, lower(c_name), cust, lp DESC NULLS LAST, id DESC NULLS LAST, o_totalprice DESC, s.doc_id))::INT AS position FROM s JOIN o ON s.doc_id = o.doc_id JOIN customer ON cust = 'c:' || c_custkey LEFT JOIN m ON m.doc_id = s.doc_id)
+SELECT * FROM t WHERE position <= 500""")
+def sort_columns(s, d):
+    """By the documents' own time, the customer's label, the last of the parts' labels, and the total."""
+    names = H.naming_strings(claims(s, d, "customer", "part"), ["NAME"]).select("id", "lang", F.col("names")[0].alias("label"))
+    keys = [G.Key("time"), G.Key("ref", "CUSTOMER"), G.Key("ref", "LINE", True), G.Key("amount", "TOTAL", True)]
+    rows, order = G.sort_results(scored(s, d), order_records(s, d, "lineitem", only={"CUSTOMER", "LINE", "TOTAL"}), keys, "en", names)
+    return G.results(rows, order, 500)[0].select("doc_id", "position")
+
+
+@query("SELECT p_partkey, p_retailprice - least(CASE WHEN p_retailprice = 0 THEN pow(10, floor(log10(p_size * 10.0))) ELSE x END, pow(10, floor(log10(p_size * 10.0)))) AS start FROM (SELECT *, CASE WHEN round(p_retailprice, 2) % 1000 = 0 THEN 1000 WHEN round(p_retailprice, 2) % 100 = 0 THEN 100 WHEN round(p_retailprice, 2) % 10 = 0 THEN 10 WHEN round(p_retailprice, 2) % 1 = 0 THEN 1 WHEN round(round(p_retailprice, 2) * 10) = round(p_retailprice, 2) * 10 THEN 0.1 ELSE 0.01 END AS x FROM part)")
+def step_down(s, d):
+    """Each price as the least value of a histogram, with ten times the size as its span."""
+    return table(s, d, "part").select("p_partkey", V.step_down(F.round("p_retailprice", 2), F.col("p_size") * F.lit(10.0)).alias("start"))

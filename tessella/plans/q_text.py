@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import access as N, claims as K, duplicates as J, facets as A, hierarchy as H, quality as V, textsearch as I
 from tessella.operators.records import records
 from tessella.plans.q_search import ANC, BASE, ancestors, edges, order_records, orders
-from tessella.sources.settle import settle
+from tessella.sources.settle import settle, shared_dir
 from tessella.plans.tables import claims, claims_sql, fixed, table
 
 Q, SQL = {}, {}
@@ -32,6 +34,19 @@ def property_closure(s, d):
     return H.property_closure(H.edges_of(claims(s, d, "nation"), ["SUBENTITY"]))
 
 
+@query(f"WITH {ANC} SELECT ancestor AS id, id AS descendant, min_depth::INT AS depth FROM a")
+def property_closure_deep(s, d):
+    return H.property_closure(edges(s, d))
+
+
+@query("""WITH o AS (SELECT 'c:' || c_custkey AS id, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS ord, 'n:' || c_nationkey AS parent FROM customer)
+SELECT parent AS id, id AS child, (row_number() OVER (PARTITION BY parent ORDER BY ord NULLS LAST, id))::INT AS position FROM o""")
+def ordered_children(s, d):
+    """Customers below their nation, by balance; a fourth of them states no order."""
+    orders = table(s, d, "customer").where("c_custkey % 4 > 0").select(F.expr("'c:' || c_custkey").alias("id"), F.col("c_acctbal").alias("order"))
+    return H.ordered_children(H.edges_of(claims(s, d, "customer"), ["SUBENTITY"]), orders)
+
+
 @query("SELECT 'n:' || n_nationkey AS prop FROM nation WHERE n_regionkey = 1 AND n_nationkey <> 1")
 def hierarchy_props(s, d):
     return H.hierarchy_props(H.property_closure(H.edges_of(claims(s, d, "nation"), ["SUBENTITY"])), "r:1", ["n:1"])
@@ -184,11 +199,19 @@ def link_report(s, d):
     return T.validate_links(table(s, d, "pages"), "url").select("page_id", "link_error")
 
 
-def index(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return settle(I.build_token_index(docs, folded=False))
+def texts(s, d):
+    return table(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+
 
+def index(s, d, terms=None):
+    return settle(I.build_token_index(texts(s, d), folded=False, terms=terms))
 
+
+def scores(s, d, postings=None):
+    return I.bm25(index(s, d, FEW) if postings is None else postings, FEW, I.text_lengths(texts(s, d)))
+
+
+FEW = ["idiot", "scum"]
 STEM = "regexp_replace(lower(x), '(ing|edly|ed|es|s|ly)$', '')"
 INDEX = f"WITH k AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{M}}\\p{{N}}]+(?:[.''’_][\\p{{L}}\\p{{M}}\\p{{N}}]+)*')) AS x, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{M}}\\p{{N}}]+(?:[.''’_][\\p{{L}}\\p{{M}}\\p{{N}}]+)*'), 1) - 1 AS p FROM documents), t AS (SELECT doc_id, lang, x AS exact, {STEM} AS token, p FROM k) "
 
@@ -201,7 +224,7 @@ def token_index(s, d):
 
 @query(INDEX + "SELECT doc_id, lang FROM t GROUP BY ALL HAVING bool_or(token = 'the') AND bool_or(token = 'for') AND bool_or(token = 'idiot')")
 def text_match(s, d):
-    return I.text_match(index(s, d), ["the", "for", "idiot"])
+    return I.text_match(index(s, d, ["the", "for", "idiot"]), ["the", "for", "idiot"])
 
 
 @query(INDEX + "SELECT doc_id, lang FROM t GROUP BY ALL HAVING bool_or(token = 'the') AND bool_or(starts_with(lower(exact), 'idio'))")
@@ -216,7 +239,7 @@ def text_match_ids(s, d):
 
 @query(INDEX + "SELECT DISTINCT a.doc_id, a.lang FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.token = 'of' AND b.token = 'the'")
 def text_phrase_stemmed(s, d):
-    return I.text_phrase(index(s, d), ["of", "the"], stemmed=True)
+    return I.text_phrase(index(s, d, ["of", "the"]), ["of", "the"], stemmed=True)
 
 
 @query(INDEX + "SELECT DISTINCT a.doc_id, a.lang FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE lower(a.exact) = 'of' AND lower(b.exact) = 'the'")
@@ -231,23 +254,32 @@ sc AS (SELECT doc_id, lang, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 
 @query(BM + "SELECT * FROM sc")
 def bm25(s, d):
-    return I.bm25(index(s, d), ["idiot", "scum"])
+    return scores(s, d)
+
+
+@query(BM + "SELECT * FROM sc")
+def bm25_stored(s, d):
+    """The index of all documents written to the shared folder, then searched: the buckets of two terms are read."""
+    path = f"{shared_dir(s)}/tokens-{uuid.uuid4().hex}"
+    I.write_token_index(texts(s, d), path, folded=False)
+    postings, lengths, totals = I.read_token_index(s, path, FEW)
+    return I.bm25(postings, FEW, lengths, totals)
 
 
 @query(BM + "SELECT doc_id, max(score) + 0.1 * (sum(score) - max(score)) AS score FROM sc GROUP BY doc_id")
 def best_language(s, d):
-    return I.best_language(I.bm25(index(s, d), ["idiot", "scum"]))
+    return I.best_language(scores(s, d))
 
 
 @query(BM + ", nr AS (SELECT DISTINCT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND abs(a.p - b.p) <= 6 WHERE a.token = 'idiot' AND b.token = 'scum') SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM nr) THEN 2 * score ELSE score END AS score FROM sc")
 def phrase_bonus(s, d):
-    i = index(s, d)
-    return I.phrase_bonus(I.best_language(I.bm25(i, ["idiot", "scum"])), i, ["idiot", "scum"])
+    i = index(s, d, FEW)
+    return I.phrase_bonus(I.best_language(scores(s, d, i)), i, FEW)
 
 
 @query(BM + "SELECT doc_id, score * log10(2 + 0.5 * n_chars) AS score FROM sc JOIN documents USING (doc_id)")
 def boosted(s, d):
-    return I.boost(I.best_language(I.bm25(index(s, d), ["idiot", "scum"])), table(s, d, "documents").select("doc_id", F.col("n_chars").alias("score")), 0.5)
+    return I.boost(I.best_language(scores(s, d)), table(s, d, "documents").select("doc_id", F.col("n_chars").alias("score")), 0.5)
 
 
 @query(INDEX + "SELECT lower(strip_accents(replace(exact, 'ß', 'ss'))) AS term, count(*)::BIGINT AS n FROM t GROUP BY ALL")
@@ -256,7 +288,13 @@ def folded_terms(s, d):
     return rows.groupBy(T.fold(F.col("w")).alias("term")).agg(F.sum("n").alias("n"))
 
 
-@query()
+@query("""WITH x AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS t, length(text) >= 20 AS long FROM documents),
+g AS (SELECT doc_id, lang, long, unnest(list_transform(range(1, (greatest(length(t) - 2, 1) + 1)::BIGINT), lambda i: substr(t, i, 3))) AS g FROM x),
+p AS (SELECT lang, g, count(*) AS n FROM g WHERE doc_id % 4 > 0 AND lang IS NOT NULL GROUP BY ALL), u AS (SELECT lang, g, n / sqrt(sum(n * n) OVER (PARTITION BY lang)) AS w FROM p),
+o AS (SELECT doc_id, g, count(*) AS n FROM g WHERE long GROUP BY ALL), s AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM o GROUP BY ALL),
+c AS (SELECT doc_id, u.lang, sum(n * w) / any_value(size) AS c FROM o JOIN u USING (g) JOIN s USING (doc_id) GROUP BY ALL),
+b AS (SELECT doc_id, lang, c - lead(c) OVER (PARTITION BY doc_id ORDER BY c DESC, lang DESC) AS margin, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, lang DESC) AS place FROM c)
+SELECT x.doc_id, CASE WHEN b.margin IS NULL OR b.margin >= 0.05 THEN coalesce(b.lang, 'und') ELSE 'und' END AS lang FROM x LEFT JOIN b ON x.doc_id = b.doc_id AND place = 1""")
 def route_language(s, d):
     docs = table(s, d, "documents")
     return I.route_language(docs.select("doc_id", "text"), docs.where("doc_id % 4 > 0").select("text", "lang"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.operators.claims import CLAIM, Field, VALUES, rows_to_claims
@@ -66,11 +68,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def claims(spark: SparkSession, sf_dir: str, *names: str, floor: float | None = None) -> DataFrame:
-    """The claims of the named tables; with a floor those at it or above, below claims that are so too."""
+def pruned(fields: list[Field], only: set[str]) -> list[Field]:
+    """The fields of the properties, and those above them. A property that is made by SQL is known by the text that it starts with."""
+    out = []
+    for f in fields:
+        subs = pruned(f.subs, only)
+        named = f.prop in only if f.prop_sql is None else any(p.startswith(f.prop_sql.split("'")[1]) for p in only)
+        if named or subs:
+            out.append(replace(f, subs=subs))
+    return out
+
+
+def types(fields: list[Field]) -> set[str]:
+    return {t for f in fields for t in (f.type, *types(f.subs))}
+
+
+def claims(spark: SparkSession, sf_dir: str, *names: str, floor: float | None = None, only: set[str] | None = None) -> DataFrame:
+    """The claims of the named tables; with a floor those at it or above, below claims that are so too; with only, those of these
+    properties and of the ones above them: what else the tables hold is not even made."""
     out = None
     for name in names:
         doc, fields = SPECS[name]
+        if only is not None and not (fields := pruned(fields, only)):
+            continue
         part = rows_to_claims(table(spark, sf_dir, TABLES.get(name, name)), doc, fields, floor)
         out = part if out is None else out.unionByName(part)
     return out

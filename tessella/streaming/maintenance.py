@@ -1,18 +1,21 @@
-"""Incremental upkeep with Structured Streaming: the index from the commit log, edges, the refresh queue, sessions.
+"""Incremental upkeep with Structured Streaming: the index from the commit log, edges, the refresh queue. Sessions: see sessions.py.
 
-State tables are Parquet versions in a folder: each batch writes a new version named by its batch id and readers take the highest,
-so a batch that runs again writes the same version again. Nothing is updated in place.
+The index is a table in buckets by hash of the document. A batch rewrites the buckets that its documents fall into, as a new version
+of these alone, and then publishes a manifest: a small file that names the version of each bucket, put in place by one rename.
+Readers follow the newest manifest; nothing that it names is ever changed. A batch that runs again starts from the manifest
+before it and writes the same versions again. Versions that none of the last manifests names are removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.operators.edges import diff_rows, embedders_to_refresh
+from tessella.sources.settle import settle
 
 
 def versioned_upsert(index: DataFrame, writes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -51,46 +54,144 @@ def affected_docs(changed: DataFrame, edges: DataFrame, edges_before: DataFrame,
     return out.unionByName(referrers).distinct()
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [x.getPath() for x in fs.listStatus(folder)]
-    done = [p for p in names if p.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return [p.toString() for p in sorted(done, key=lambda p: int(p.getName()[1:]))]
+BUCKETS, KEEP = 64, 3
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    found = _versions(spark, path)
-    return spark.read.parquet(found[-1]) if found else None
+def _folder(spark: SparkSession, path: str):
+    """(file system, Hadoop path, constructor of paths)."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make(path), make
 
 
-def index_stream(spark: SparkSession, log: str, out: str, convert: Callable[[DataFrame], DataFrame], checkpoint: str, live: bool = False):
-    """Start the index from a folder of commit-log Parquet files (doc_id, seq, at, deleted, ...). convert turns a batch's changes to
-    index rows with the same key columns. Without live the backlog is worked off and the query ends; it resumes at its checkpoint."""
-    stream = spark.readStream.schema(spark.read.parquet(log).schema).parquet(log)
+def manifests(spark: SparkSession, path: str) -> dict[int, dict[int, int]]:
+    """Version of each bucket by number of the manifest; at most KEEP small files, of one entry a bucket."""
+    fs, folder, make = _folder(spark, f"{path}/manifests")
+    if not fs.exists(folder):
+        return {}
+    names = [x.getPath().getName() for x in fs.listStatus(folder)]
+    out = {}
+    for name in (n for n in names if n.startswith("m") and n[1:].isdigit()):
+        stream = fs.open(make(folder, name))
+        try:
+            out[int(name[1:])] = {int(k): v for k, v in json.loads(bytes(stream.readAllBytes())).items()}
+        finally:
+            stream.close()
+    return out
+
+
+def _publish(spark: SparkSession, path: str, n: int, versions: dict[int, int]) -> None:
+    fs, folder, make = _folder(spark, f"{path}/manifests")
+    fs.mkdirs(folder)
+    draft, final = make(folder, f"draft-{uuid.uuid4().hex}"), make(folder, f"m{n}")
+    stream = fs.create(draft)
+    try:
+        stream.write(bytearray(json.dumps(versions).encode()))
+    finally:
+        stream.close()
+    fs.delete(final, False)  # of the same batch, run before
+    if not fs.rename(draft, final):
+        raise OSError(f"{final.toString()} can't be published")
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    """Remove all but the last KEEP manifests, and the bucket versions that no manifest left names."""
+    found = manifests(spark, path)
+    fs, folder, make = _folder(spark, f"{path}/manifests")
+    kept = sorted(found)[-KEEP:]
+    for n in set(found) - set(kept):
+        fs.delete(make(folder, f"m{n}"), False)
+    named = {(v, b) for n in kept for b, v in found[n].items()}
+    fs, data, make = _folder(spark, f"{path}/data")
+    for version in fs.listStatus(data) if fs.exists(data) else []:
+        v = int(version.getPath().getName()[1:])
+        if v > max(kept, default=-1):
+            continue  # of a batch that has not published yet
+        left = 0
+        for bucket in fs.listStatus(version.getPath()):
+            name = bucket.getPath().getName()
+            if name.startswith("bucket=") and (v, int(name[7:])) not in named:
+                fs.delete(bucket.getPath(), True)
+            else:
+                left += name.startswith("bucket=")
+        if not left:
+            fs.delete(version.getPath(), True)
+
+
+def _read(spark: SparkSession, path: str, versions: dict[int, int], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{path}/data/v{v}/bucket={b}" for b, v in sorted(versions.items())])
+
+
+def current(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """The index as the newest manifest names it, or some buckets of it; None before the first."""
+    found = manifests(spark, path)
+    versions = found[max(found)] if found else {}
+    versions = versions if buckets is None else {b: v for b, v in versions.items() if b in buckets}
+    if not versions:
+        return None
+    return _read(spark, path, versions, spark.read.parquet(f"{path}/data/v{max(versions.values())}").drop("bucket").schema)
+
+
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def merge_batch(spark: SparkSession, path: str, n: int, rows: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> list[int]:
+    """Merge rows (key, seq, deleted, ...) into the index as its version n, the row of the highest seq winning; the buckets written.
+    What a document's rows were is replaced whole. Older rows than those in the index change nothing."""
+    rows = settle(rows.withColumn("bucket", bucket_of(key, buckets)), "batch")
+    touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most as many as buckets
+    before = {k: v for k, v in manifests(spark, path).items() if k < n}
+    versions = before[max(before)] if before else {}
+    there = {b: v for b, v in versions.items() if b in touched}
+    both = rows
+    if there:
+        both = _read(spark, path, there, rows.drop("bucket").schema).withColumn("bucket", bucket_of(key, buckets)).unionByName(rows)
+    latest = both.groupBy("bucket", key).agg(F.max("seq").alias("__seq"))
+    merged = both.join(latest, ["bucket", key]).where(F.col("seq") == F.col("__seq")).drop("__seq").dropDuplicates()
+    if touched:
+        merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v{n}")
+    _publish(spark, path, n, versions | {b: n for b in touched})
+    _clear(spark, path)
+    return touched
+
+
+def index_stream(spark: SparkSession, log: str, out: str, convert: Callable[[DataFrame], DataFrame], checkpoint: str, live: bool = False, buckets: int = BUCKETS, per_trigger: int | None = None):
+    """Start the index from a folder of commit-log Parquet files (doc_id, seq, at, deleted, ...). convert turns a batch's latest changes
+    to index rows (doc_id, seq, deleted, ...), one or several a document. A batch of k documents writes at most k buckets. Without
+    live the backlog is worked off and the query ends; it resumes at its checkpoint. per_trigger files make a batch."""
+    stream = spark.readStream.schema(spark.read.parquet(log).schema)
+    stream = (stream if per_trigger is None else stream.option("maxFilesPerTrigger", per_trigger)).parquet(log)
 
     def work(batch: DataFrame, n: int) -> None:
-        rows = convert(batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*"))
-        earlier = [p for p in _versions(spark, out) if int(p.rsplit("/v", 1)[1]) < n]
-        new = versioned_upsert(spark.read.parquet(earlier[-1]), rows) if earlier else rows
-        new.write.mode("overwrite").parquet(f"{out}/v{n}")
+        merge_batch(spark, out, n, convert(batch.groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")), buckets=buckets)
 
     write = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (write.trigger(processingTime="30 seconds") if live else write.trigger(availableNow=True)).start()
 
 
+def rerender(spark: SparkSession, out: str, convert: Callable[[DataFrame], DataFrame], n: int, group: int = 8, buckets: int = BUCKETS) -> None:
+    """Convert the latest rows of the index anew, without the log: as version n, a group of buckets at a time, published at the end.
+    convert keeps the key columns and may give a document several rows or none; documents don't change buckets."""
+    found = manifests(spark, out)
+    before = {k: v for k, v in found.items() if k < n}
+    versions = before[max(before)] if before else {}
+    order = sorted(versions)
+    schema = spark.read.parquet(f"{out}/data/v{max(versions.values())}").drop("bucket").schema if versions else None
+    done = {}
+    for i in range(0, len(order), group):
+        part = {b: versions[b] for b in order[i : i + group]}
+        rows = settle(convert(_read(spark, out, part, schema)).withColumn("bucket", bucket_of("doc_id", buckets)), "rendered")
+        rows.repartition(len(part), "bucket").write.mode("overwrite" if not i else "append").partitionBy("bucket").parquet(f"{out}/data/v{n}")
+        done |= {r.bucket: n for r in rows.select("bucket").distinct().collect()}
+    _publish(spark, out, n, done)
+    _clear(spark, out)
+
+
 def rebuild_index(log: DataFrame, convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The index from the whole log at once; equal to what index_stream() arrives at."""
     return convert(log.groupBy("doc_id").agg(F.max_by(F.struct(*log.columns), "seq").alias("r")).select("r.*"))
 
 
-def rerender(index: DataFrame, convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """convert applied anew to the latest rows only."""
-    return convert(index)
-
-
 def progress(index: DataFrame, queue: DataFrame, log: DataFrame) -> DataFrame:
     """One row: the highest seq indexed, the lowest queued, how many log entries remain."""
     done = index.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
@@ -98,36 +199,6 @@ def progress(index: DataFrame, queue: DataFrame, log: DataFrame) -> DataFrame:
     return rest.select(F.lit(done).alias("indexed"), F.lit(queue.agg(F.min("seq")).first()[0]).cast("long").alias("queued"), "remaining")
 
 
-SESSION_OUT = "session string, operation long, kind string, data string, status string"
-
-
-def session_stream(ops: DataFrame) -> DataFrame:
-    """A stream of ops(session, expected, kind, data) with their fate: append is accepted as the next operation only if expected
-    is that number; after end all appends are rejected, and complete closes an ended session."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, phase = state.get if state.exists else (0, "open")
-        for batch in batches:
-            rows = []
-            for _, r in batch.sort_values("expected", kind="stable").iterrows():
-                number, status = None, "rejected"
-                if r.kind == "append" and phase == "open":
-                    if r.expected == last + 1:
-                        last += 1
-                        number, status = last, "accepted"
-                    else:
-                        status = "conflict"
-                elif r.kind == "end" and phase == "open":
-                    phase, status = "ended", "accepted"
-                elif r.kind == "complete" and phase == "ended":
-                    phase, status = "complete", "accepted"
-                rows.append((key[0], number, r.kind, r.data, status))
-            state.update((last, phase))
-            yield pd.DataFrame(rows, columns=["session", "operation", "kind", "data", "status"]).astype({"operation": "Int64"})
-
-    return ops.groupBy("session").applyInPandasWithState(step, SESSION_OUT, "last long, phase string", "append", GroupStateTimeout.NoTimeout)
-
-
 def complete_sessions(ops: DataFrame, ended: DataFrame) -> DataFrame:
     """(session, n, data): the operations of ended sessions folded into one change, in order; discarded(true) or empty ones give none."""
     live = ended.where("NOT discarded").select("session")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from tessella.sources import io as X
-from tessella.streaming import maintenance as M
+from tessella.streaming import maintenance as M, sessions
 
 SCHEMA = T.StructType().add("id", "string").add("name", "string")
 
@@ -40,7 +40,7 @@ def test_chunk_coverage(spark):
 def test_sessions(spark, tmp_path):
     ops = spark.createDataFrame([("s", 1, "append", "a"), ("s", 1, "append", "stale"), ("s", 2, "append", "b"), ("s", 3, "end", None), ("s", 4, "append", "late"), ("s", 5, "complete", None)], "session string, expected long, kind string, data string")
     ops.coalesce(1).write.parquet(str(tmp_path / "ops"))
-    out = M.session_stream(spark.readStream.schema(ops.schema).parquet(str(tmp_path / "ops")))
+    out = sessions.session_stream(spark.readStream.schema(ops.schema).parquet(str(tmp_path / "ops")))
     query = out.writeStream.format("memory").queryName("fates").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     rows = [(r.kind, r.data, r.operation, r.status) for r in spark.table("fates").collect()]
@@ -55,3 +55,24 @@ def test_late_writes_stream(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("writes").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("writes").count() == 1
+
+
+def test_nested_export_keeps_every_level(spark):
+    rows = [
+        ("d", "a", None, 0, 2, "P", 'say "hi"'), ("d", "b", None, 0, 1, "P", None), ("d", "c", "a", 1, 0, "Q", "x"), ("d", "e", "c", 2, 0, "R", "y"), ("d", "f", "e", 3, 1, "S", "2"), ("d", "g", "e", 3, 0, "S", "1"),
+        ("d", "h", "a", 1, 0, "A", "z"), ("o", "i", None, 0, 0, 'odd"p', "v"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id string, claim_id string, parent_claim_id string, depth int, ord int, prop string, str_value string")
+    df = df.selectExpr("*", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS to", "'has' AS type")
+    got = {r.doc_id: json.loads(r.value) for r in X.export_nested(df).collect()}
+    deep = {"value": "y", "sub": {"S": [{"value": "1"}, {"value": "2"}]}}
+    assert got["d"] == {"P": [{"value": "HAS"}, {"value": 'say "hi"', "sub": {"A": [{"value": "z"}], "Q": [{"value": "x", "sub": {"R": [deep]}}]}}]}
+    assert got["o"] == {'odd"p': [{"value": "v"}]} and X.export_nested(df.limit(0)).collect() == []
+
+
+def test_exports_of_paths_below_three_levels(spark):
+    rows = [("d", f"c{i}", f"c{i - 1}" if i else None, i, 0, f"P{i}", f"v{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id string, claim_id string, parent_claim_id string, depth int, ord int, prop string, str_value string")
+    df = df.selectExpr("*", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS to", "'string' AS type")
+    assert json.loads(X.export_jsonl(df, ["**.P4", "P0.P1"]).first().value) == {"P0.P1": ["v1"], "P0.P1.P2.P3.P4": ["v4"]}
+    assert X.export_csv(df, ["**"]).first()["P0.P1.P2.P3"] == "v3"

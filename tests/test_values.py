@@ -50,6 +50,32 @@ def test_diamond_and_cycle(spark):
     assert up[("leaf", "root")] == 2 and ("x", "y") in up and ("x", "x") not in up
 
 
+def test_first_paths_of_wide_diamonds(spark):
+    layers = [["root"], list("abcdef"), [f"m{i}" for i in range(6)], [f"n{i}" for i in range(5)], ["leaf"]]
+    pairs = [(x, y) for above, below in zip(layers, layers[1:]) for x in below for y in above] + [("leaf", "a"), ("m0", "root"), ("n1", "c"), ("a", "other"), ("leaf", "leaf")]
+    up = {}
+    for x, y in pairs:
+        if x != y:
+            up.setdefault(x, []).append(y)
+
+    def every(x):
+        return [[*p, x] for y in up[x] for p in every(y)] if x in up else [[x]]
+
+    e = spark.createDataFrame(pairs, "id string, parent string")
+    for cap in (1, 7, 100, 1000):
+        got = H.id_paths(e, spark.createDataFrame([("leaf",), ("n1",), ("root",), ("elsewhere",)], "id string"), cap).collect()
+        for x in ("leaf", "n1", "root", "elsewhere"):
+            assert sorted(r.id_path for r in got if r.id == x) == sorted(every(x))[:cap]
+    assert len(every("leaf")) > 200
+
+
+def test_children_in_stated_order(spark):
+    e = spark.createDataFrame([("b", "r"), ("a", "r"), ("c", "r"), ("d", "r"), ("a", "q"), ("r", "r"), ("a", "r")], "id string, parent string")
+    o = spark.createDataFrame([("c", 1.0), ("b", 2.0), ("b", 0.5)], "id string, order double")
+    assert sorted(map(tuple, H.ordered_children(e, o).collect())) == [("q", "a", 1), ("r", "a", 3), ("r", "b", 1), ("r", "c", 2), ("r", "d", 4)]
+    assert H.ordered_children(e.limit(0), o).collect() == []
+
+
 def test_stream_equals_rebuild(spark, tmp_path):
     rows = [(f"d{i % 7}", i, i % 11 == 0, float(i)) for i in range(60)]
     log = spark.createDataFrame(rows, "doc_id string, seq long, deleted boolean, value double")
