@@ -33,7 +33,9 @@ def finalize(claims: DataFrame, hooks: list[Callable[[DataFrame], DataFrame]]) -
 def readable_roles(docs: DataFrame, scopes: DataFrame, grants: DataFrame) -> DataFrame:
     """(doc_id, role): roles with a grant on everything (grants.prop null), or with all values that the document has of a scope
     property granted: scopes(doc_id, prop, value), grants(role, prop, value)."""
-    every = docs.select("doc_id").join(F.broadcast(grants.where("prop IS NULL").select("role").distinct()), F.lit(True))  # roles are few
+    # each of these roles is a row of every document, so one row of them goes along with the documents, without a join
+    open_ = grants.where("prop IS NULL").select(F.collect_set("role")).scalar()
+    every = docs.select("doc_id", open_.alias("__roles")).select("doc_id", F.explode("__roles").alias("role"))
     some = scopes.distinct()
     need = some.groupBy("doc_id", "prop").agg(F.count("*").alias("need"))
     have = some.join(grants.where("prop IS NOT NULL").distinct(), ["prop", "value"]).groupBy("doc_id", "prop", "role").agg(F.count("*").alias("have"))
@@ -70,7 +72,8 @@ def caller_levels(caller_roles: DataFrame, levels: DataFrame) -> DataFrame:
 
 def source_flags(docs: DataFrame, roles: DataFrame, audiences: DataFrame) -> DataFrame:
     """(doc_id, level, is_source): whether every role of audiences(level, role) may read the document: roles(doc_id, role)."""
-    want = docs.select("doc_id").join(F.broadcast(audiences), F.lit(True))  # a fixed small table
+    listed = audiences.select(F.collect_set(F.struct("level", "role"))).scalar()
+    want = docs.select("doc_id", listed.alias("__all")).select("doc_id", F.explode("__all").alias("a")).select("doc_id", "a.level", "a.role")
     have = roles.select("doc_id", "role").distinct().withColumn("ok", F.lit(True))
     return want.join(have, ["doc_id", "role"], "left").groupBy("doc_id", "level").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("is_source"))
 

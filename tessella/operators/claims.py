@@ -77,7 +77,8 @@ def with_ids(claims: DataFrame) -> DataFrame:
 def fill_defaults(claims: DataFrame, docs: DataFrame, spec: DataFrame) -> DataFrame:
     """claims with none or unknown claims added where spec(prop, min, default) asks for more than a document of docs has."""
     have = claims.where("depth = 0").groupBy("doc_id", "prop").agg(F.count("*").alias("n"))
-    want = docs.select("doc_id").distinct().crossJoin(spec.where("min > 0"))  # a few properties for each document
+    wanted = spec.where("min > 0").select(F.collect_list(F.struct("prop", "min", "default"))).scalar()
+    want = docs.select("doc_id").distinct().select("doc_id", wanted.alias("__spec")).select("doc_id", F.inline("__spec"))
     lack = want.join(have, ["doc_id", "prop"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < min")
     rows = lack.select("*", F.explode(F.sequence(F.lit(1), (F.col("min") - F.col("n")).cast("int"))).alias("i"))
     made = {c: F.lit(None).cast(kind) for c, kind in CLAIM.items()}
@@ -232,7 +233,7 @@ def select_by_language(claims: DataFrame, props: list[str], lang: str, chain: di
 
 def with_lang_unit(claims: DataFrame, languages: DataFrame, lang_prop: str = "IN_LANGUAGE", unit_prop: str = "IN_UNIT") -> DataFrame:
     """claims with langs (codes of their IN_LANGUAGE sub-claims by languages(id, code), und without any) and in_unit."""
-    subs = claims.where(F.col("prop").isin(lang_prop, unit_prop)).join(F.broadcast(languages), F.col("to") == F.col("id"), "left")
+    subs = claims.where(F.col("prop").isin(lang_prop, unit_prop)).join(languages, F.col("to") == F.col("id"), "left")
     found = subs.groupBy("parent_claim_id").agg(F.sort_array(F.collect_set(F.when(F.col("prop") == lang_prop, F.col("code")))).alias("langs"), F.min(F.when(F.col("prop") == unit_prop, F.col("to"))).alias("in_unit"))
     rows = claims.join(found.withColumnRenamed("parent_claim_id", "claim_id"), "claim_id", "left")
     return rows.withColumn("langs", F.when(F.coalesce(F.size("langs"), F.lit(0)) > 0, F.col("langs")).otherwise(F.array(F.lit("und"))))

@@ -45,7 +45,7 @@ def embed_claims(claims: DataFrame, fields: DataFrame, depth: int = 1, floor: fl
 
 def embedding_edges(claims: DataFrame, fields: DataFrame) -> DataFrame:
     """(target, embedder, paths): which documents embed which, and from where."""
-    refs = claims.where("type = 'ref' AND depth = 0").join(F.broadcast(fields), "prop")
+    refs = claims.where("type = 'ref' AND depth = 0").join(fields, "prop")
     return refs.groupBy(F.col("to").alias("target"), F.col("doc_id").alias("embedder")).agg(F.sort_array(F.collect_set("source_prop")).alias("paths"))
 
 

@@ -9,7 +9,7 @@ def cardinality_violations(claims: DataFrame, fields: DataFrame, has_class: Data
     """(doc_id, prop, n, min, max): documents whose number of claims of a class's field(class, prop, min, max) is out of bounds;
     max null is no bound."""
     n = claims.where("depth = 0").groupBy("doc_id", "prop").agg(F.count("*").alias("n"))
-    rows = has_class.join(F.broadcast(fields), "class").join(n, ["doc_id", "prop"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = has_class.join(fields, "class").join(n, ["doc_id", "prop"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.where("n < min OR n > max").select("doc_id", "prop", "n", "min", "max").distinct()
 
 

@@ -65,7 +65,7 @@ def head_conflicts(values: DataFrame) -> DataFrame:
 
 def latest_in_view(path: DataFrame, values: DataFrame) -> DataFrame:
     """Of values(view, id, ...) the ones of the nearest view of path(view, position) that has the id."""
-    rows = values.join(F.broadcast(path), "view")  # a view's path is short
+    rows = values.join(path, "view")
     return rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), "position").alias("r")).select("r.*")
 
 
