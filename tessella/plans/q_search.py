@@ -95,6 +95,7 @@ _filter("filter_direct", "cust IN ('c:1', 'c:2', 'c:7')", P.direct("CUSTOMER", "
 _filter("filter_amount", "o_totalprice - 0.005 <= 200000 AND o_totalprice + 0.005 > 100000", P.amount("TOTAL", 100000, 200000))
 _filter("filter_time", "epoch(o_orderdate) <= 852076800 AND epoch(o_orderdate) + 86400 > 820454400", P.time("ORDERED", 820454400, 852076800))
 _filter("filter_exists", "true", P.exists("TOTAL", "amount"))
+_filter("filter_exists_some", "o_orderpriority = '4-NOT SPECIFIED'", P.exists("PRIORITY"))
 _filter("filter_has", "o_orderstatus IN ('F', 'P')", P.has("STATUS_F", "STATUS_P"))
 _filter("filter_specials", "o_orderpriority = '4-NOT SPECIFIED'", P.special("PRIORITY", "unknown", "none"))
 _filter("filter_missing", "o_orderpriority <> '4-NOT SPECIFIED'", P.missing("PRIORITY"))
@@ -424,3 +425,18 @@ def sort_columns(s, d):
 def step_down(s, d):
     """Each price as the least value of a histogram, with ten times the size as its span."""
     return table(s, d, "part").select("p_partkey", V.step_down(F.round("p_retailprice", 2), F.col("p_size") * F.lit(10.0)).alias("start"))
+
+
+@query("""WITH w AS (SELECT p_partkey % 10 AS k, CASE WHEN p_partkey % 10 = 1 AND p_size % 5 = 0 THEN -1.7976931348623157e308 ELSE p_size - 0.5 END AS lo, CASE WHEN p_partkey % 10 = 2 AND p_size % 5 = 0 THEN 1.7976931348623157e308 WHEN p_partkey % 10 = 3 THEN p_size - 0.5 ELSE p_size + 0.5 END AS hi FROM part),
+f AS (SELECT k, CASE WHEN abs(lo) < 1e308 THEN lo END AS lo, CASE WHEN abs(hi) < 1e308 THEN hi END AS hi, lo <= -1e308 AS a, hi >= 1e308 AS b FROM w WHERE k IN (1, 2, 3, 4))
+SELECT k::BIGINT AS k, least(min(lo), min(hi))::DOUBLE AS least, greatest(max(lo), max(hi))::DOUBLE AS most, bool_or(a) AS open_start, bool_or(b) AS open_end, coalesce(min(hi) <= min(lo), false) AS start_is_end FROM f GROUP BY k""")
+def bounds_flags(s, d):
+    """Bounds of four properties: one with windows open at the start, one at the end, one of closed points, and a plain one."""
+    t, k, top = table(s, d, "part"), F.col("p_partkey") % 10, F.lit(1.7976931348623157e308)
+    odd = F.col("p_size") % 5 == 0
+    rows = t.select(F.col("p_partkey").cast("string").alias("doc_id"), F.concat(F.lit("P"), k.cast("string")).alias("prop"), F.lit("amount").alias("collection"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("unit"), F.when((k == 1) & odd, -top).otherwise(F.col("p_size") - 0.5).alias("lo"), F.when((k == 2) & odd, top).when(k == 3, F.col("p_size") - 0.5).otherwise(F.col("p_size") + 0.5).alias("hi"))
+    out = None
+    for n in (1, 2, 3, 4):
+        one = A.value_bounds(rows, f"P{n}").select(F.lit(n).cast("long").alias("k"), "least", "most", "open_start", "open_end", "start_is_end")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -91,3 +91,11 @@ def test_late_write_does_not_revive(spark):
     old = spark.createDataFrame([("d", 10, True)], "doc_id string, seq long, deleted boolean")
     late = spark.createDataFrame([("d", 8, False)], "doc_id string, seq long, deleted boolean")
     assert M.versioned_upsert(old, late).first().deleted
+
+
+def test_page_data_of_structured_pages(spark):
+    page = '<html><script type="application/ld+json">{"@type": "Person"}</script><p class="a-x b">t</p><SCRIPT id="s" type="application/ld+json">\n[1]\n</SCRIPT><script>var x</script><article class="a-y">'
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<p>none</p>")], "page_id int, html string")
+    got = {r.page_id: r for r in T.extract_page_data(df, ["article", "video"], "a-").collect()}
+    assert got[1].page_json == ['{"@type": "Person"}', "\n[1]\n"] and got[1].class_values == ["a-x", "a-y"] and got[1].has_article and not got[1].has_video
+    assert got[2].page_json is None and got[3].page_json == [] and got[3].class_values == []
