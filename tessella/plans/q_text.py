@@ -208,7 +208,7 @@ def index(s, d, terms=None):
 
 
 def scores(s, d, postings=None):
-    return I.bm25(index(s, d, FEW) if postings is None else postings, FEW, I.text_lengths(texts(s, d)))
+    return I.bm25(index(s, d, FEW) if postings is None else postings, FEW, settle(I.text_lengths(texts(s, d))))
 
 
 FEW = ["idiot", "scum"]
