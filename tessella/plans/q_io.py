@@ -50,7 +50,7 @@ def document_ids(s, d):
 @query("""WITH c AS (SELECT user_id AS session, event_id AS chunk, (event_id % 50)::BIGINT AS start, CAST(1 + value AS BIGINT) AS length FROM events), b AS (SELECT *, start + length AS e, coalesce(max(start + length) OVER (PARTITION BY session ORDER BY start, chunk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
 SELECT session, 60::BIGINT AS size, count(*) FILTER (start > before)::BIGINT AS gaps, max(e) > 60 AS overrun, max(e) < 60 AS short, count(*) FILTER (e <= before)::BIGINT AS redundant FROM b GROUP BY session""")
 def chunk_coverage(s, d):
-    c = table(s, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("chunk"), (F.col("event_id") % 50).alias("start"), F.round(1 + F.col("value")).cast("long").alias("length"))
+    c = table(s, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("chunk"), (F.col("event_id") % 50).alias("start"), F.rint(1 + F.col("value")).cast("long").alias("length"))
     return X.chunk_coverage(c, c.select("session", F.lit(60).cast("long").alias("size")).distinct())
 
 
