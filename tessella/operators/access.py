@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.operators.claims import claim_signature
+from tessella.operators.claims import claim_signature, shuffled
 
 
 def level_versions(docs: DataFrame, levels: list[str], hooks: list[Callable[[DataFrame, str], DataFrame]] = (), source: Column | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def readable_roles(docs: DataFrame, scopes: DataFrame, grants: DataFrame) -> Dat
 def claim_grants(claims: DataFrame, prop: str, action_prop: str = "ACTION") -> DataFrame:
     """(doc_id, user, action): users named by the document's own permission claims; create is never granted so."""
     subs = claims.where(F.col("prop") == action_prop).select(F.col("parent_claim_id").alias("claim_id"), F.col("str_value").alias("action"))
-    rows = claims.where((F.col("prop") == prop) & (F.col("type") == "ref")).join(subs, "claim_id").where("action <> 'create'")
+    rows = claims.where((F.col("prop") == prop) & (F.col("type") == "ref")).join(shuffled(subs), "claim_id").where("action <> 'create'")
     return rows.select("doc_id", F.col("to").alias("user"), "action").distinct()
 
 

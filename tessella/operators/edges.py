@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.operators.claims import CLAIM, FLOOR, claim_signature, make_id, with_paths
+from tessella.operators.claims import CLAIM, FLOOR, claim_signature, make_id, shuffled, with_paths
 from tessella.operators.hierarchy import expand_refs
 
 
@@ -37,7 +37,7 @@ def embed_claims(claims: DataFrame, fields: DataFrame, depth: int = 1, floor: fl
     if "dest" not in fields.columns:
         fields = fields.withColumn("dest", F.lit(None).cast("string"))
     refs = claims.where("type = 'ref' AND depth = 0").join(fields, "prop").select(F.col("doc_id").alias("__doc"), F.col("claim_id").alias("__claim"), F.col("to").alias("doc_id"), F.col("prop").alias("__prop"), F.col("source_prop").alias("path"), "dest")
-    found = refs.join(with_paths(claims.where(F.col("confidence") >= floor), depth), ["doc_id", "path"])
+    found = refs.join(shuffled(with_paths(claims.where(F.col("confidence") >= floor), depth)), ["doc_id", "path"])
     prop = F.coalesce("dest", "prop")
     made = {c: F.col(c) for c in CLAIM} | {"doc_id": F.col("__doc"), "claim_id": make_id(F.lit("embedded"), F.col("__claim"), F.col("claim_id"), prop), "parent_claim_id": F.col("__claim"), "parent_prop": F.col("__prop"), "depth": F.lit(1), "prop": prop}
     return found.select(*[made[c].alias(c) for c in CLAIM])

@@ -14,3 +14,10 @@ def test_halves_of_chunk_lengths_round_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     want = sorted(con.execute(catalog.oracle_sql()["chunk_coverage"]).fetchall())
     assert sorted(map(tuple, catalog.queries()["chunk_coverage"](spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["claim_grants", "match_paths"])
+def test_joins_of_claims_are_shuffled(spark, name):
+    """Spark takes claims for small tables; at size each of them would be sent whole through the driver."""
+    plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
