@@ -26,6 +26,7 @@ from tessella.llm.scratch import arrow_map
 
 SIZES = (2, 3, 4, 5)
 BITS = 20
+_TEXTS = 100  # fitted at a time
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[97:123] = _LETTER[128:] = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -106,23 +107,38 @@ def fit_weights(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p
     share = float(toxic.mean()) if n else 0.0
     if not n or share in (0.0, 1.0):
         return np.zeros(dims, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    # the driver holds 12 bytes for each feature of a text; what is made of them is made a slice of texts at a time
+    feature = np.concatenate([f for f, _ in rows])
     lens = np.array([len(f) for f, _ in rows])
-    feature, row = np.concatenate([f for f, _ in rows]), np.repeat(np.arange(n), lens)
-    p = np.bincount(feature[toxic[row]], minlength=dims)
-    q = np.bincount(feature, minlength=dims) - p
+    row = np.repeat(np.arange(n, dtype=np.int32), lens)
+    seen = [np.zeros(dims, np.int64), np.zeros(dims, np.int64)]
+    for (f, _), mark in zip(rows, toxic):
+        seen[int(mark)][f] += 1  # a text's features are different ones
+    q, p = seen
     ratio = (np.log((p + 1) / (toxic.sum() + 2)) - np.log((q + 1) / ((~toxic).sum() + 2))).astype(np.float32)
     ratio[p + q < 3] = 0
+    del p, q, seen
+    ids, place = np.flatnonzero(ratio), np.zeros(dims, np.int32)
+    place[ids] = np.arange(len(ids), dtype=np.int32)
     used = ratio[feature] != 0
-    ids, feature = np.unique(feature[used], return_inverse=True)
-    row, value = row[used], np.concatenate([c for _, c in rows])[used] * ratio[ids][feature]
+    feature, row, value = feature[used], row[used], np.concatenate([c for _, c in rows])[used]
+    value *= ratio[feature]
+    feature = place[feature]
+    del place, used
+    # slices end where a text does, so a text's sum is the same as in one piece
+    ends = np.searchsorted(row, np.arange(0, n + _TEXTS, _TEXTS))
     y = toxic.astype(np.float64)
     w, b = np.zeros(len(ids)), float(np.log(share / (1 - share)))
 
     def loss(w, b):
-        z = np.bincount(row, value * w[feature], n) + b
+        z = np.full(n, b)
+        for i, j in zip(ends[:-1], ends[1:]):
+            z += np.bincount(row[i:j], value[i:j] * w[feature[i:j]], n)
         g = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
-        grad = np.append(np.bincount(feature, value * g[row], len(ids)) + penalty * w, g.sum())
-        return float(np.logaddexp(0, z).sum() - (y * z).sum() + penalty / 2 * (w @ w)), grad
+        grad = penalty * w
+        for i, j in zip(ends[:-1], ends[1:]):
+            grad += np.bincount(feature[i:j], value[i:j] * g[row[i:j]], len(ids))
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + penalty / 2 * (w @ w)), np.append(grad, g.sum())
 
     x = _minimise(lambda x: loss(x[:-1], x[-1]), np.append(w, b), rounds)
     out = np.zeros(dims, np.float32)
@@ -226,7 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     got = arrow_map(rows, work, "f binary, c binary, y int").collect()
     got.sort(key=lambda r: (r.y, r.f, r.c))  # the same sums whatever the order of the tasks
     marks = np.array([r.y for r in got])
-    weights, intercept = fit_weights([(np.frombuffer(r.f, np.int32), np.frombuffer(r.c, np.float32)) for r in got], marks)
+    found = [(np.frombuffer(r.f, np.int32), np.frombuffer(r.c, np.float32)) for r in got]
+    del got
+    weights, intercept = fit_weights(found, marks)
     if len(counts) == 2 and 0 < marks.sum() < len(marks):
         intercept += float(np.log(counts[1] / counts[0]) - np.log(marks.sum() / (len(marks) - marks.sum())))
     return Model(weights, intercept)
