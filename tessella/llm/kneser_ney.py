@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text, cut at quantiles by language.
 
-The model is over bytes, n-grams of up to ``ORDER`` bytes. It is fitted on one half of the trusted texts, by a hash of the id, and on
-at most ``max_trusted`` of them (those with the smallest hash); the other half sets the limits. The fitted texts' n-gram counts, continuation counts, discounts and context weights are Spark joins over count
+The model is over bytes, n-grams of up to ``ORDER`` bytes. It is fitted on one half of the trusted texts, by a hash of the id, all of
+them; the other half sets the limits. The fitted texts' n-gram counts, continuation counts, discounts and context weights are Spark joins over count
 tables. Scoring covers all documents: each block asks for its different n-grams, the requests meet the model shard by shard, and
 the answers (probability, back-off weight) return to the block (see ``blocks``); no table of the model is broadcast.
 
@@ -162,13 +162,12 @@ def perplexities(df: DataFrame, known: DataFrame, unseen: float, id_col: str = "
     return texts(rows).unionByName(answers).groupBy("block").applyInArrow(score, "id long, n_bytes long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", max_trusted: int = 20_000, percent: float = 0.99, slack: float = 1.1) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", percent: float = 0.99, slack: float = 1.1) -> DataFrame:
     """(id, lang, n_bytes, perplexity, ppl_limit, kept) for each row of docs."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t"))
     trusted = labels.where(F.col(label) == 1).select(F.col(id_col).cast("long").alias("id")).distinct()
     half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))
-    some = trusted.where(half == 0).orderBy(F.xxhash64("id"), "id").limit(max_trusted)
-    known, unseen = model(rows.join(some, "id", "left_semi").select("t"))
+    known, unseen = model(rows.join(trusted.where(half == 0), "id", "left_semi").select("t"))
     known = written(known, "model")
     scored = written(perplexities(rows, known, unseen, "row", "t").withColumnRenamed("id", "row"), "perplexity")
     drop(known)
