@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessella.operators.claims import shuffled
+
 CAP = 1000
 
 
@@ -21,7 +23,7 @@ def sort_keys(docs: DataFrame, records: DataFrame, keys: list[tuple[str, bool]],
     rows = records.where(F.col("prop").isin(props) & (F.col("depth") == 0) & (F.col("collection").isin("time") | ((F.col("collection") == "amount") & F.col("unit").eqNullSafe(F.lit(unit)))))
     found = rows.groupBy("doc_id").agg(*[(F.min if up else F.max)(F.when(F.col("prop") == p, F.col("lo"))).alias(f"key_{p}") for p, up in keys])
     order = [(F.asc_nulls_last if up else F.desc_nulls_last)(f"key_{p}") for p, up in keys]
-    return docs.join(found, "doc_id", "left"), [*order, F.asc("doc_id")]
+    return docs.join(shuffled(found), "doc_id", "left"), [*order, F.asc("doc_id")]
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def sort_results(docs: DataFrame, records: DataFrame, keys: list[Key], lang: str
                 here = here & (F.col("collection") == k.kind)
                 value = F.when(here & F.col("unit").eqNullSafe(F.lit(k.unit)) if k.kind == "amount" else here, F.col("lo"))
             made.append((F.max if k.descending else F.min)(value).alias(f"key_{i}"))
-        out = out.join(rows.groupBy("doc_id").agg(*made), "doc_id", "left")
+        out = out.join(shuffled(rows.groupBy("doc_id").agg(*made)), "doc_id", "left")
     own = {"score": "score", "time": "time", "label": "__own"}
     out = out.withColumns({f"key_{i}": F.col(own[k.kind]) for i, k in enumerate(keys) if not k.prop}).drop("__own")
     return out, [*[(F.desc_nulls_last if k.descending else F.asc_nulls_last)(f"key_{i}") for i, k in enumerate(keys)], F.asc("doc_id")]

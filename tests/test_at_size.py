@@ -19,7 +19,7 @@ def test_halves_of_chunk_lengths_round_as_in_sql(spark, tmp_path):
     assert sorted(map(tuple, catalog.queries()["chunk_coverage"](spark, str(tmp_path)).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["claim_grants", "match_paths"])
+@pytest.mark.parametrize("name", ["claim_grants", "match_paths", "sort_min_max"])
 def test_joins_of_claims_are_shuffled(spark, name):
     """Spark takes claims for small tables; at size each of them would be sent whole through the driver."""
     plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
