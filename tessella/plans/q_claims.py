@@ -50,7 +50,7 @@ def confident_subtree(s, d):
 SELECT a.claim_id FROM k a LEFT JOIN k b ON a.parent_claim_id = b.claim_id LEFT JOIN k e ON b.parent_claim_id = e.claim_id LEFT JOIN k f ON e.parent_claim_id = f.claim_id
 WHERE a.ok AND coalesce(b.ok, true) AND coalesce(e.ok, true) AND coalesce(f.ok, true)""")
 def confident_levels(s, d):
-    return K.confident(claims(s, d, "shipments"), 0.75).select("claim_id")
+    return K.confident(claims(s, d, "shipments"), 0.75, levels("shipments")).select("claim_id")
 
 
 @query(C["orders"] + "SELECT doc_id, prop, type, left(sha256(doc_id || chr(0) || prop || chr(0) || '1'), 22) AS claim_id FROM c")
