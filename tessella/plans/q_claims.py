@@ -86,13 +86,13 @@ def navigate(s, d):
 SELECT a.claim_id, concat_ws('.', f.prop, e.prop, b.prop, a.prop) AS path FROM p a JOIN p b ON a.parent_claim_id = b.claim_id LEFT JOIN p e ON b.parent_claim_id = e.claim_id LEFT JOIN p f ON e.parent_claim_id = f.claim_id
 WHERE a.prop IN ('QUANTITY', 'FLAG_R')""")
 def match_paths_deep(s, d):
-    return K.match_paths(claims(s, d, "shipments"), ["**.QUANTITY", "SHIPMENT.*.FLAG_R"]).select("claim_id", "path")
+    return K.match_paths(claims(s, d, "shipments"), ["**.QUANTITY", "SHIPMENT.*.FLAG_R"], levels=levels("shipments")).select("claim_id", "path")
 
 
 @query(C["orders_lineitem"] + """, p AS (SELECT claim_id, prop AS path FROM c WHERE depth = 0 UNION ALL SELECT c.claim_id, u.prop || '.' || c.prop FROM c JOIN c u ON c.parent_claim_id = u.claim_id)
 SELECT claim_id, path FROM p WHERE path LIKE 'LINE.%' OR path = 'TOTAL' OR path = 'LINE'""")
 def match_paths(s, d):
-    return K.match_paths(claims(s, d, "orders", "lineitem"), ["LINE.**", "TOTAL"]).select("claim_id", "path")
+    return K.match_paths(claims(s, d, "orders", "lineitem"), ["LINE.**", "TOTAL"], levels=levels("orders", "lineitem")).select("claim_id", "path")
 
 
 @query(C["lineitem"] + """SELECT claim_id, CASE type WHEN 'amount' THEN raw WHEN 'time' THEN raw WHEN 'ref' THEN "to" ELSE upper(type) END AS text FROM c""")
