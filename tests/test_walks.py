@@ -9,7 +9,7 @@ from tessella.plans import catalog
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["claims_equivalent_deep", "duplicate_claims_deep", "claim_signatures_deep", "confident_levels", "match_paths_deep"])
+@pytest.mark.parametrize("name", ["claims_equivalent_deep", "duplicate_claims_deep", "claim_signatures_deep", "confident_levels", "match_paths_deep", "claims_flatten"])
 def test_levels_are_walked_without_joins_or_files(spark, tmp_path, name):
     before = spark.conf.get("spark.checkpoint.dir", None)
     spark.conf.set("spark.checkpoint.dir", str(tmp_path))
