@@ -43,6 +43,13 @@ def discover_sub(records: DataFrame) -> DataFrame:
     return rows.groupBy("parent_prop", "prop", "collection", F.coalesce("unit", F.lit("")).alias("unit")).agg(F.count_distinct("doc_id").alias("docs"))
 
 
+def discover(records: DataFrame) -> DataFrame:
+    """(kind, prop, unit, docs): how many documents say something of a property, in top-level references and statements (rel), amounts by
+    unit, and times: facet_facts() counted. Ancestors of a reference are of the same document and property, so records of references
+    that are not expanded give the same."""
+    return facet_facts(records).groupBy("kind", "prop", "unit").agg(F.count("*").alias("docs"))
+
+
 def pooled_has(records: DataFrame, parent: str | None = None) -> DataFrame:
     """(prop, docs): properties that are only ever stated by has, and the documents with each; '' stands for any of them."""
     rows = records.where("depth = 0" if parent is None else F.col("parent_prop") == parent)

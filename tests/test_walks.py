@@ -5,17 +5,23 @@ import os
 import pytest
 
 from tessella.plans import catalog
+from tessella.sources.settle import shared_dir
 
 DIR = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("name", ["claims_equivalent_deep", "duplicate_claims_deep", "claim_signatures_deep", "confident_levels", "match_paths_deep", "claims_flatten"])
-def test_levels_are_walked_without_joins_or_files(spark, tmp_path, name):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        df = catalog.queries()[name](spark, DIR)
-        assert df.count() > 0 and not os.listdir(tmp_path)
-        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_levels_are_walked_without_joins_or_files(spark, name):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = os.listdir(folder)
+    df = catalog.queries()[name](spark, DIR)
+    assert df.count() > 0 and os.listdir(folder) == before
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facets_are_discovered_without_joins_or_files(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = os.listdir(folder)
+    df = catalog.queries()["discover_facets"](spark, DIR)
+    assert df.count() == 8 and os.listdir(folder) == before
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
