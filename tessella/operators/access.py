@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.operators.claims import claim_signature, shuffled
+from tessella.operators.claims import claim_signature, shuffled, spread_join
 
 
 def level_versions(docs: DataFrame, levels: list[str], hooks: list[Callable[[DataFrame, str], DataFrame]] = (), source: Column | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def readable_roles(docs: DataFrame, scopes: DataFrame, grants: DataFrame) -> Dat
     every = docs.select("doc_id", open_.alias("__roles")).select("doc_id", F.explode("__roles").alias("role"))
     some = scopes.distinct()
     need = some.groupBy("doc_id", "prop").agg(F.count("*").alias("need"))
-    have = some.join(grants.where("prop IS NOT NULL").distinct(), ["prop", "value"]).groupBy("doc_id", "prop", "role").agg(F.count("*").alias("have"))
+    have = spread_join(some, grants.where("prop IS NOT NULL").distinct(), ["prop", "value"]).groupBy("doc_id", "prop", "role").agg(F.count("*").alias("have"))
     covered = have.join(need, ["doc_id", "prop"]).where("have = need").select("doc_id", "role")
     return every.select("doc_id", "role").unionByName(covered).distinct()
 
@@ -54,7 +54,7 @@ def permitted(caller_roles: DataFrame, roles: DataFrame, own: DataFrame, needs:
     """(caller, doc_id): callers holding the action and all that it needs: roles(doc_id, role, action) through caller_roles(caller,
     role), or own(doc_id, user, action)."""
     wanted = sorted({action, *needs.get(action, [])})
-    held = caller_roles.join(roles.where(F.col("action").isin(wanted)), "role").select("caller", "doc_id", "action")
+    held = spread_join(roles.where(F.col("action").isin(wanted)), caller_roles, ["role"]).select("caller", "doc_id", "action")
     held = held.unionByName(own.where(F.col("action").isin(wanted)).select(F.col("user").alias("caller"), "doc_id", "action"))
     return held.distinct().groupBy("caller", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("caller", "doc_id")
 
