@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.operators.claims import CLAIM, FLOOR, claim_signature, make_id, shuffled, with_paths
+from tessella.operators.claims import CLAIM, FLOOR, claim_signature, make_id, shuffled, spread_join, with_paths
 from tessella.operators.hierarchy import expand_refs
 
 
@@ -45,7 +45,7 @@ def embed_claims(claims: DataFrame, fields: DataFrame, depth: int = 1, floor: fl
 
 def embedding_edges(claims: DataFrame, fields: DataFrame) -> DataFrame:
     """(target, embedder, paths): which documents embed which, and from where."""
-    refs = claims.where("type = 'ref' AND depth = 0").join(fields, "prop")
+    refs = spread_join(claims.where("type = 'ref' AND depth = 0").select("doc_id", "prop", "to"), fields, ["prop"])
     return refs.groupBy(F.col("to").alias("target"), F.col("doc_id").alias("embedder")).agg(F.sort_array(F.collect_set("source_prop")).alias("paths"))
 
 

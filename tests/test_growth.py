@@ -19,3 +19,8 @@ def test_roles_of_many_documents_are_dealt_over_tasks(spark, name):
     shown = plan(catalog.queries()[name](spark, DIR))
     assert "hashpartitioning(role" not in shown.replace("__part", "") or "__part" in shown
     assert "__part" in shown
+
+
+@pytest.mark.parametrize("name", ["embedding_edges", "embedders_to_refresh", "affected_docs"])
+def test_references_of_one_property_are_dealt_over_tasks(spark, name):
+    assert "__part" in plan(catalog.queries()[name](spark, DIR))
