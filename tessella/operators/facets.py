@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.functions.values import step_down
+from tessella.operators.claims import shuffled
 from tessella.sources.settle import settle
 
 CAP, BINS = 1000, 100
@@ -226,8 +227,8 @@ def narrow_facets(rows: DataFrame, labels: DataFrame, text: str, key: str = "to"
     match = labels.where(F.lower("label").contains(text.lower())).select(F.col("id").alias(key)).distinct()
     keep = match
     if ancestors is not None:
-        keep = match.unionByName(match.withColumnRenamed(key, "id").join(ancestors, "id").select(F.col("ancestor").alias(key))).distinct()
-    return rows.join(keep, key, "left_semi")
+        keep = match.unionByName(match.withColumnRenamed(key, "id").join(shuffled(ancestors), "id").select(F.col("ancestor").alias(key))).distinct()
+    return rows.join(shuffled(keep), key, "left_semi")
 
 
 def merge_selected(values: DataFrame, selected: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -24,3 +24,9 @@ def test_roles_of_many_documents_are_dealt_over_tasks(spark, name):
 @pytest.mark.parametrize("name", ["embedding_edges", "embedders_to_refresh", "affected_docs"])
 def test_references_of_one_property_are_dealt_over_tasks(spark, name):
     assert "__part" in plan(catalog.queries()[name](spark, DIR))
+
+
+def test_ancestors_are_not_sent_whole_to_every_task(spark):
+    up = ancestors(spark, DIR)
+    assert "Broadcast" not in plan(H.expand_refs(claims(spark, DIR, "orders", only={"CUSTOMER"}), up))
+    assert "Broadcast" not in plan(H.mark_leaves(H.expand_refs(claims(spark, DIR, "orders", only={"CUSTOMER"}), up)))
