@@ -30,3 +30,12 @@ def test_ancestors_are_not_sent_whole_to_every_task(spark):
     up = ancestors(spark, DIR)
     assert "Broadcast" not in plan(H.expand_refs(claims(spark, DIR, "orders", only={"CUSTOMER"}), up))
     assert "Broadcast" not in plan(H.mark_leaves(H.expand_refs(claims(spark, DIR, "orders", only={"CUSTOMER"}), up)))
+
+
+def test_index_holds_what_a_search_asks_for(spark):
+    docs = spark.createDataFrame([(1, "en", "The cats of Rome"), (2, "en", "idiocy offers THE"), (3, "en", "x y")], "doc_id long, lang string, text string")
+    for folded in (False, True):
+        got = lambda **k: sorted((r.doc_id, r.exact) for r in I.build_token_index(docs, folded=folded, **k).collect())  # noqa: B023, E731
+        assert got(terms=["cat"]) == [(1, "cats")]
+        assert got(terms=[], exact=["of", "the"]) == [(1, "The"), (1, "of"), (2, "THE")]
+        assert got(terms=["cat"], prefixes=["idio"], ids=[3]) == [(1, "cats"), (2, "idiocy"), (3, "x"), (3, "y")]
