@@ -105,7 +105,7 @@ def read_documents(s, d):
     """Suppliers written as one JSON file each and read as documents."""
     path = _folder(s, "documents")
     rows = table(s, d, "supplier").select(F.expr("'s:' || s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
-    rows.write.option("maxRecordsPerFile", 1).json(path)
+    X.write_files(rows, path)
     return X.read_documents(s, path, rows.schema)
 
 
@@ -114,7 +114,7 @@ def file_inventory(s, d):
     """A file for each supplier with its region's name: equal files have one first."""
     path = _folder(s, "files")
     t = table(s, d, "supplier").join(table(s, d, "nation"), F.expr("s_nationkey = n_nationkey")).join(table(s, d, "region"), F.expr("n_regionkey = r_regionkey"))
-    t.select(F.col("r_name").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    X.write_files(t.select(F.col("r_name").alias("value")), path, "text")
     rows = X.file_inventory(s, path).where(F.col("path").contains("/part-"))
     return rows.groupBy("hash").agg(F.count("*").alias("files"), F.count_if("first").alias("firsts"), F.sum("length").alias("bytes"))
 

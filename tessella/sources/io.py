@@ -8,17 +8,25 @@ from tessella.operators.claims import match_paths
 from tessella.sources.settle import settle
 
 
+def write_files(rows: DataFrame, path: str, form: str = "json", parts: int = 64) -> None:
+    """Each row as a file of its own (JSON, or text of its one column). Files are written and moved to their place by parts tasks; else
+    the one task that reads a small table would write them all, and the driver would move them one by one."""
+    rows.repartition(parts).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).format(form).save(path)
+
+
 def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All *.json files below path, one document each. Unknown top-level keys are an error; a folder without files is empty."""
-    opts = {"recursiveFileLookup": True, "pathGlobFilter": "*.json"}
+    """All *.json files (UTF-8) below path, one document each. Unknown top-level keys are an error; a folder without files is empty.
+    Files are opened once: their texts become a table, which is checked and then parsed."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
-    text = spark.read.options(**opts, wholetext=True).text(path)
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    text = settle(text.select(F.regexp_replace("value", "^\ufeff", "").alias("value")).hint("rebalance"), "texts")
     unknown = text.select(F.explode(F.array_except(F.json_object_keys("value"), F.array(*[F.lit(n) for n in schema.names]))).alias("key")).limit(1).collect()
     if unknown:
         raise ValueError(f"unknown field {unknown[0].key}")
-    return spark.read.schema(schema).options(**opts, multiLine=True, mode="FAILFAST").json(path)
+    # as an array of documents: a file can hold an array, and one without any text holds no document
+    return text.select(F.inline(F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})))
 
 
 def log_after(log: DataFrame, after: int = -1, view: str | None = None) -> DataFrame:
@@ -118,6 +126,7 @@ def write_index(records: DataFrame, path: str, buckets: int = 16) -> None:
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, hash, first): files with their content's hash; first is false for all but the smallest path of equal files."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("hash"))
+    rows = settle(rows.hint("rebalance"), "inventory")  # files are opened once
     first = rows.groupBy("hash").agg(F.min("path").alias("__first"))
     return rows.join(first, "hash").select("path", "length", "hash", (F.col("path") == F.col("__first")).alias("first"))
 

@@ -76,3 +76,22 @@ def test_exports_of_paths_below_three_levels(spark):
     df = df.selectExpr("*", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS to", "'string' AS type")
     assert json.loads(X.export_jsonl(df, ["**.P4", "P0.P1"]).first().value) == {"P0.P1": ["v1"], "P0.P1.P2.P3.P4": ["v4"]}
     assert X.export_csv(df, ["**"]).first()["P0.P1.P2.P3"] == "v3"
+
+
+def test_each_row_is_a_file_and_files_are_opened_once(spark, tmp_path):
+    rows = spark.range(40).selectExpr("CAST(id AS string) AS id", "CAST(NULL AS string) AS name").coalesce(1)
+    X.write_files(rows, str(tmp_path / "a"), parts=8)
+    names = [p.name for p in (tmp_path / "a").rglob("part-*.json")]
+    # dealt over tasks: one task would write all files of a small table
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) == 8
+    (tmp_path / "a" / "more.json").write_text('[{"id": "x"}, {"id": "y", "name": "n"}]')
+    (tmp_path / "a" / "none.json").write_text("")
+    (tmp_path / "a" / "mark.json").write_text('﻿{"id": "z"}')
+    docs = X.read_documents(spark, str(tmp_path / "a"), SCHEMA)
+    X.file_inventory(spark, str(tmp_path / "a"))
+    for p in (tmp_path / "a").rglob("*.json"):
+        p.unlink()
+    assert sorted(r.id for r in docs.collect()) == sorted([*map(str, range(40)), "x", "y", "z"])
+    (tmp_path / "a" / "bad.json").write_text('{"id": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        X.read_documents(spark, str(tmp_path / "a"), SCHEMA).collect()
