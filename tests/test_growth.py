@@ -45,3 +45,13 @@ def test_trigrams_are_not_read_by_place(spark):
     assert "substr" not in plan(catalog.queries()["route_language"](spark, DIR)).lower()
     docs = spark.createDataFrame([(1, "abc\U0001F600def" * 9, "x"), (2, "", "x"), (3, None, "x"), (4, "ab", "y")], "doc_id long, text string, lang string")
     assert sorted(map(tuple, I.route_language(docs, docs).collect())) == [(1, "x"), (2, "und"), (3, "und"), (4, "und")]
+
+
+def test_words_of_an_index_are_not_shuffled(spark, tmp_path):
+    """Texts are dealt by document and language; their words are grouped and written where they are made."""
+    docs = spark.createDataFrame([(1, "en", "a b a"), (1, "en", "b c"), (1, "de", "a"), (2, "en", None)], "doc_id long, lang string, text string")
+    out = I.build_token_index(docs, folded=False)
+    assert sorted((r.doc_id, r.lang, r.token, r.positions, r.n) for r in out.collect()) == [(1, "de", "a", [0], 1), (1, "en", "a", [0, 2], 2), (1, "en", "b", [0, 1], 2), (1, "en", "c", [1], 1)]
+    shown = plan(catalog.queries()["token_index"](spark, DIR))
+    shown = shown[shown.index("Initial Plan"):] if "Initial Plan" in shown else shown
+    assert shown.count("Exchange") == 1 and shown.index("Generate") < shown.index("Exchange")
