@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessella.operators.claims import shuffled
+
 
 def cardinality_violations(claims: DataFrame, fields: DataFrame, has_class: DataFrame) -> DataFrame:
     """(doc_id, prop, n, min, max): documents whose number of claims of a class's field(class, prop, min, max) is out of bounds;
@@ -16,11 +18,16 @@ def cardinality_violations(claims: DataFrame, fields: DataFrame, has_class: Data
 def sub_cardinality_violations(claims: DataFrame, fields: DataFrame, has_class: DataFrame) -> DataFrame:
     """(doc_id, parent_claim_id, prop, n, min, max): claims, at any depth, whose number of sub-claims of a class's
     field(class, parent, prop, min, max) is out of bounds; parent is the property of the claim that has them."""
-    n = claims.where("depth > 0").groupBy("doc_id", "parent_claim_id", "prop").agg(F.count("*").alias("n"))
-    parents = claims.select("doc_id", F.col("prop").alias("parent"), F.col("claim_id").alias("parent_claim_id"))
-    rows = parents.join(has_class.join(fields, "class").drop("class").distinct(), ["doc_id", "parent"])
-    rows = rows.join(n, ["doc_id", "parent_claim_id", "prop"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rows.where("n < min OR n > max").select("doc_id", "parent_claim_id", "prop", "n", "min", "max")
+    asked = has_class.join(fields, "class").select("doc_id", "parent", "prop", "min", "max").distinct()
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("parent", "prop", "min", "max")).alias("f"))  # a document's fields
+    # claims are shuffled once, by document; what follows groups inside tasks
+    rows = claims.select("doc_id", "claim_id", "parent_claim_id", "prop", "depth").join(shuffled(asked), "doc_id")
+    row = lambda claim, prop, n, bounds: F.struct(claim.alias("parent_claim_id"), prop.alias("prop"), n.alias("n"), bounds.alias("bounds"))
+    bounds = lambda x: F.struct(x["min"].alias("min"), x["max"].alias("max"))
+    own = F.transform(F.filter("f", lambda x: x.parent == F.col("prop")), lambda x: row(F.col("claim_id"), x.prop, F.lit(0).cast("long"), bounds(x)))
+    sub = F.transform(F.slice(F.filter("f", lambda x: (F.col("depth") > 0) & (x.prop == F.col("prop"))), 1, 1), lambda x: row(F.col("parent_claim_id"), x.prop, F.lit(1).cast("long"), F.when(F.lit(False), bounds(x))))
+    found = rows.select("doc_id", F.inline(F.concat(own, sub))).groupBy("doc_id", "parent_claim_id", "prop").agg(F.sum("n").alias("n"), F.collect_list("bounds").alias("b"))
+    return found.select("doc_id", "parent_claim_id", "prop", "n", F.inline("b")).where("n < min OR n > max")
 
 
 def cardinality_fills(violations: DataFrame) -> DataFrame:

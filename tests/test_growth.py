@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessella.operators import hierarchy as H, textsearch as I
+from tessella.operators import hierarchy as H, quality as V, textsearch as I
 from tessella.plans import catalog
 from tessella.plans.q_search import ancestors
 from tessella.plans.tables import claims
@@ -55,3 +55,20 @@ def test_words_of_an_index_are_not_shuffled(spark, tmp_path):
     shown = plan(catalog.queries()["token_index"](spark, DIR))
     shown = shown[shown.index("Initial Plan"):] if "Initial Plan" in shown else shown
     assert shown.count("Exchange") == 1 and shown.index("Generate") < shown.index("Exchange")
+
+
+def test_sub_claims_are_counted_with_one_shuffle_of_claims(spark):
+    rows = [("d1", "c1", None, "A", 0), ("d1", "s1", "c1", "X", 1), ("d1", "s2", "c1", "X", 1), ("d1", "c2", None, "A", 0), ("d2", "c3", None, "A", 0), ("d2", "t1", "c3", "Z", 1), ("d3", "c4", None, "A", 0), ("d1", "c5", None, "B", 0)]
+    c = spark.createDataFrame(rows, "doc_id string, claim_id string, parent_claim_id string, prop string, depth int")
+    fields = spark.createDataFrame([("k", "A", "X", 1, 1), ("m", "A", "X", 0, None), ("m", "A", "Z", 2, 3), ("m", "A", "Z", 5, None)], "class string, parent string, prop string, min int, max int")
+    has_class = spark.createDataFrame([("d1", "k"), ("d2", "m"), ("d2", "m")], "doc_id string, class string")
+    out = V.sub_cardinality_violations(c, fields, has_class)
+    assert sorted(map(tuple, out.collect()), key=str) == [("d1", "c1", "X", 2, 1, 1), ("d1", "c2", "X", 0, 1, 1), ("d2", "c3", "Z", 1, 2, 3), ("d2", "c3", "Z", 1, 5, None)]
+    shown = plan(out)
+    shown = shown[shown.index("Initial Plan"):] if "Initial Plan" in shown else shown
+    assert shown.index("Generate inline") < shown.index("Exchange")  # the rows of claims and fields are made after it and stay there
+
+
+def test_embed_deep_makes_only_the_claims_it_needs(spark):
+    shown = plan(catalog.queries()["embed_deep"](spark, DIR))
+    assert "o_totalprice" not in shown and "l_quantity" not in shown
