@@ -46,8 +46,8 @@ def embed_claims(s, d):
 @query("SELECT 'c:' || o_custkey AS doc_id, 'RETURN' AS prop, count(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND 1.0::DOUBLE - 5 * l_discount >= 0.75 GROUP BY ALL")
 def embed_deep(s, d):
     """Customers refer back to their orders and get the returns of these orders' lines."""
-    back = E.inverse_claims(claims(s, d, "orders"), fixed(s, [("CUSTOMER", "ORDERS")], "prop string, inverse string"))
-    out = E.embed_claims(back.unionByName(claims(s, d, "lineitem")), fixed(s, [("ORDERS", "LINE.RETURNED", "RETURN")], "prop string, source_prop string, dest string"), depth=2, floor=0.75)
+    back = E.inverse_claims(claims(s, d, "orders", only={"CUSTOMER"}), fixed(s, [("CUSTOMER", "ORDERS")], "prop string, inverse string"))
+    out = E.embed_claims(back.unionByName(claims(s, d, "lineitem", only={"LINE", "RETURNED"})), fixed(s, [("ORDERS", "LINE.RETURNED", "RETURN")], "prop string, source_prop string, dest string"), depth=2, floor=0.75)
     return out.groupBy("doc_id", "prop").agg(F.count("*").alias("n"))
 
 
