@@ -26,6 +26,8 @@ from tessella.llm.scratch import drop, written
 from tessella.llm.words import mix
 
 ORDER = 4
+#: Bits of the map of trusted ids: 2**18 rows at most, however many ids there are.
+MAP_BITS = 24
 _PAD = b"\n" * (ORDER - 1)
 
 
@@ -162,12 +164,22 @@ def perplexities(df: DataFrame, known: DataFrame, unseen: float, id_col: str = "
     return texts(rows).unionByName(answers).groupBy("block").applyInArrow(score, "id long, n_bytes long, perplexity double")
 
 
+def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ids(id), each id once. A map of the ids' hashes, of a fixed size, goes to all tasks and leaves out nearly all other
+    rows where they are read; what it lets through is joined with ids. So other texts are never shuffled."""
+    cell = lambda df: df.withColumn("__bit", F.expr(f"xxhash64(id, 'map') & {(1 << MAP_BITS) - 1}L")).withColumn("__cell", F.expr("shiftright(__bit, 6)"))
+    bits = cell(ids).groupBy("__cell").agg(F.expr("bit_or(shiftleft(1L, CAST(__bit & 63 AS int)))").alias("__bits"))
+    near = cell(rows).join(F.broadcast(bits), "__cell").where("shiftright(__bits, CAST(__bit & 63 AS int)) & 1L = 1L")
+    # a semi-join would be moved below the join with the map
+    return near.drop("__cell", "__bit", "__bits").join(ids.hint("merge"), "id")
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", percent: float = 0.99, slack: float = 1.1) -> DataFrame:
     """(id, lang, n_bytes, perplexity, ppl_limit, kept) for each row of docs."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("t"))
     trusted = labels.where(F.col(label) == 1).select(F.col(id_col).cast("long").alias("id")).distinct()
     half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))
-    known, unseen = model(rows.join(trusted.where(half == 0), "id", "left_semi").select("t"))
+    known, unseen = model(of_ids(rows, trusted.where(half == 0)).select("t"))
     known = written(known, "model")
     scored = written(perplexities(rows, known, unseen, "row", "t").withColumnRenamed("id", "row"), "perplexity")
     drop(known)
