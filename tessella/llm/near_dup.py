@@ -205,16 +205,20 @@ def _prefixes(items: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def _meeting(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that can reach the threshold by their sizes and by what is left of both."""
+    """(a, b): pairs of different components that can reach the threshold by their sizes and by what is left of both.
+
+    Sets of one size in one component are bounded together; of two such groups that can meet, the smaller one's rows are fetched first,
+    so the members of a large component are fetched only for pairs that the other side's sizes and rests leave."""
     need = lambda n, m: f"({n} + {m}) * {percent} <= (100 + {percent}) * "  # noqa: E731  a common part of so many at least
-    parts = prefixes.groupBy("s", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
+    parts = prefixes.groupBy("s", "label", "n").agg(F.max("rest").alias("rest"), F.count("*").alias("c"))
     x, y = parts.alias("x"), parts.alias("y")
-    near = f"x.s = y.s AND x.label < y.label AND x.lo * {percent} <= y.hi * 100 AND y.lo * {percent} <= x.hi * 100 AND {need('x.lo', 'y.lo')} least(x.rest, y.rest)"
-    labels = x.join(y, F.expr(near)).select("x.s", F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
-    left, right = (prefixes.select("s", F.col("row").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("rest").alias(f"r{c}")) for c in "ab")
-    right = right.withColumnsRenamed({"s": "__s", "lb": "__lb"})
-    one = labels.join(left, ["s", "la"])
-    fits = f"s = __s AND lb = __lb AND na * {percent} <= nb * 100 AND nb * {percent} <= na * 100 AND {need('na', 'nb')} least(ra, rb)"
+    near = f"x.s = y.s AND x.label < y.label AND x.n * {percent} <= y.n * 100 AND y.n * {percent} <= x.n * 100 AND {need('x.n', 'y.n')} least(x.rest, y.rest)"
+    sides = [F.when(F.expr("x.c <= y.c"), F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{c}{s}") for p, q, s in (("x", "y", "a"), ("y", "x", "b")) for c in ("label", "n")]
+    groups_ = x.join(y, F.expr(near)).select("x.s", *sides)
+    left, right = (prefixes.select("s", F.col("row").alias(c), F.col("label").alias(f"label{c}"), F.col("n").alias(f"n{c}"), F.col("rest").alias(f"r{c}")) for c in "ab")
+    right = right.withColumnsRenamed({"s": "__s", "labelb": "__label", "nb": "__n"})
+    one = groups_.join(left, ["s", "labela", "na"])
+    fits = f"s = __s AND labelb = __label AND nb = __n AND {need('na', 'nb')} least(ra, rb)"
     return one.join(right, F.expr(fits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
