@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tessella.operators.claims import match_paths
+from tessella.operators.claims import _family as family, _gathered as gathered, match_paths
 from tessella.sources.settle import settle
 
 
@@ -78,23 +78,29 @@ def export_nested(claims: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, value): one JSON object for each document: each property to the array of its claims in order, a claim being an object of
     its value and, below sub, the same object of its sub-claims; of any depth.
 
-    Folded from the deepest level up: a level's claims become JSON text with what is below them, are put together by property and
-    then by parent. Only (id, parent, property, order, text) travels, and each level is written before the next one reads it.
+    Claims are shuffled once, by document. Folded from the deepest level up inside tasks: a level's claims become JSON text with what
+    is below them, and that of one parent is put together by property in the parent's row.
     """
     value = F.coalesce("str_value", "raw", "to", F.upper("type"))
-    rows = settle(claims.select("doc_id", "claim_id", "parent_claim_id", "depth", "prop", "ord", value.alias("value")), "claims")
-    below = None
-    for depth in range(rows.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], -1, -1):
-        level = rows.where(F.col("depth") == depth)
-        level = level.withColumn("sub", F.lit(None).cast("string")) if below is None else level.join(below, "claim_id", "left")
-        own = F.regexp_replace(F.to_json(F.struct("value")), "^[{]|[}]$", "")
-        text = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"sub":'), "sub"), F.when(own != "", own)), F.lit("}"))
-        key = F.coalesce("parent_claim_id", "doc_id").alias("claim_id") if depth else F.col("doc_id").alias("claim_id")
-        lists = level.select(key, "prop", F.struct("ord", "claim_id", text.alias("t")).alias("c")).groupBy("claim_id", "prop").agg(F.sort_array(F.collect_list("c")).alias("cs"))
-        named = lists.select("claim_id", F.struct("prop", F.concat(F.regexp_replace(F.to_json(F.array("prop")), r"^\[|\]$", ""), F.lit(":["), F.array_join(F.transform("cs", lambda c: c.t), ","), F.lit("]")).alias("t")).alias("p"))
-        below = named.groupBy("claim_id").agg(F.sort_array(F.collect_list("p")).alias("ps")).select("claim_id", F.concat(F.lit("{"), F.array_join(F.transform("ps", lambda p: p.t), ","), F.lit("}")).alias("sub"))
-        below = settle(below, "folded") if depth else below
-    out = below.select(F.col("claim_id").alias("doc_id"), F.col("sub").alias("value"))
+    rows = claims.select("doc_id", "claim_id", "parent_claim_id", "depth", "prop", "ord", value.alias("value"))
+    levels = 1 + rows.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    own = F.regexp_replace(F.to_json(F.struct("value")), "^[{]|[}]$", "")
+
+    def item(sub: Column) -> Column:
+        text = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"sub":'), sub), F.when(own != "", own)), F.lit("}"))
+        return F.struct("prop", "ord", "claim_id", text.alias("t"))
+
+    def folded(items: Column) -> Column:
+        """The object of sorted items: from each property to the array of its texts."""
+        of = lambda p: F.concat(F.regexp_replace(F.to_json(F.array(p)), r"^\[|\]$", ""), F.lit(":["), F.array_join(F.transform(F.filter(items, lambda x: x.prop == p), lambda x: x.t), ","), F.lit("]"))
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.array_distinct(F.transform(items, lambda x: x.prop)), of), ","), F.lit("}"))
+
+    rows, sub = gathered(rows, levels), F.lit(None).cast("string")
+    for depth in range(levels - 1, 0, -1):
+        below = F.sort_array(F.collect_list(F.when(F.col("depth") == depth, item(sub))).over(family(depth)))
+        rows = rows.withColumn("__below", below).where(F.col("depth") < depth).withColumn("sub", F.when(F.size("__below") > 0, folded(F.col("__below")))).drop("__below")
+        sub = F.col("sub")
+    out = rows.where("depth = 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(item(sub))).alias("cs")).select("doc_id", folded(F.col("cs")).alias("value"))
     if path:
         out.select("value").write.text(path)
     return out

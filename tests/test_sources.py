@@ -95,3 +95,13 @@ def test_each_row_is_a_file_and_files_are_opened_once(spark, tmp_path):
     (tmp_path / "a" / "bad.json").write_text('{"id": ')
     with pytest.raises(Exception, match="(?i)malformed"):
         X.read_documents(spark, str(tmp_path / "a"), SCHEMA).collect()
+
+
+def test_nested_exports_shuffle_claims_once(spark):
+    rows = [("a", "1", None, 0, "P", 0, "x"), ("a", "2", "1", 1, "Q", 0, "y"), ("a", "3", "2", 2, "R", 1, "z"), ("a", "4", "2", 2, "R", 0, None), ("a", "5", "9", 1, "Q", 0, "lost"), ("b", "6", None, 0, 'p"', 0, "w")]
+    df = spark.createDataFrame(rows, "doc_id string, claim_id string, parent_claim_id string, depth int, prop string, ord int, str_value string")
+    df = df.select("*", F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("to"), F.lit("has").alias("type"))
+    out = X.export_nested(df)
+    assert {r.doc_id: r.value for r in out.collect()} == {"a": '{"P":[{"sub":{"Q":[{"sub":{"R":[{"value":"HAS"},{"value":"z"}]},"value":"y"}]},"value":"x"}]}', "b": '{"p\\"":[{"value":"w"}]}'}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1 and "Join" not in plan
