@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessella.operators.claims import shuffled
+from tessella.sources.settle import settle
 
 CAP = 1000
 
@@ -156,9 +157,11 @@ def group_tree(docs: DataFrame, records: DataFrame, props: list[str], order: lis
     after the groups below it, in the given order. first marks where a heading starts; a group without a result among the first cap
     has no heading. more tells whether results were cut.
 
-    Each task keeps its first cap rows, so no group is brought together; counts are made for the groups that are shown.
+    Each task keeps its first cap rows, so no group is brought together; counts are made for the groups that are shown. The grouped
+    documents and the first rows are written once, and all that follows reads them.
     """
     rows, keys = _grouped(docs, records, props)
+    rows = plain = settle(rows, "grouped")
     named = labels.groupBy(F.col("id").alias("__id")).agg(F.min("label").alias("__label"))
     by: list[Column] = []
     for i, k in enumerate(keys):
@@ -174,7 +177,7 @@ def group_tree(docs: DataFrame, records: DataFrame, props: list[str], order: lis
         chains = chains.select(F.col("id").alias(f"v_{i}"), F.transform("c", lambda x: F.struct(x.id.alias("id"), x.label.alias("label"))).alias(f"c_{i}"), place.alias(f"o_{i}"))
         rows = rows.join(chains, F.col(k) == F.col(f"v_{i}"), "left").drop(f"v_{i}")
         by += [F.col(k).isNull().asc(), (F.desc if down else F.asc)(f"o_{i}")]
-    first = rows.orderBy(*by, *order).limit(cap + 1).withColumn("position", F.row_number().over(Window.orderBy(*by, *order)))
+    first = settle(rows.orderBy(*by, *order).limit(cap + 1).withColumn("position", F.row_number().over(Window.orderBy(*by, *order))), "first")
     cut = first.select(F.count("*") > cap).scalar()
     shown = first.where(F.col("position") <= cap)
     for n in range(1, len(keys) + 1):
@@ -182,7 +185,7 @@ def group_tree(docs: DataFrame, records: DataFrame, props: list[str], order: lis
         same = F.lit(True)
         for j, k in enumerate(keys[:n]):
             same = same & F.col(k).eqNullSafe(F.col(f"w_{j}"))
-        counts = rows.select(*keys[:n], "doc_id").join(groups, same).groupBy(*[f"w_{j}" for j in range(n)]).agg(F.count_distinct("doc_id").alias(f"n_{n}"))
+        counts = plain.select(*keys[:n], "doc_id").join(groups, same).groupBy(*[f"w_{j}" for j in range(n)]).agg(F.count_distinct("doc_id").alias(f"n_{n}"))
         shown = shown.join(counts, same, "left").drop(*[f"w_{j}" for j in range(n)])
     kind = "array<struct<col: int, id: string, label: string, docs: bigint>>"
     chain = []
