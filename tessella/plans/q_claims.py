@@ -159,7 +159,7 @@ UNION ALL SELECT 'o:' || l_orderkey, l_quantity - 0.5, 1.7976931348623157e308, f
 UNION ALL SELECT 'o:' || l_orderkey, NULL, NULL, NULL, 'unknown' FROM lineitem WHERE l_returnflag = 'A'""")
 def interval_windows(s, d):
     one, none = F.lit(1.0), F.lit(None).cast("string")
-    rows = table(s, d, "lineitem").select(
+    rows = table(s, d, "lineitem").where("l_returnflag IN ('N', 'R', 'A')").select(
         F.expr("'o:' || l_orderkey").alias("doc_id"), F.col("l_quantity").alias("from_v"), one.alias("from_p"), F.lit(False).alias("from_open"), F.when(F.col("l_returnflag") == "A", "unknown").alias("from_state"),
         (F.col("l_linenumber") * 5.0).alias("to_v"), one.alias("to_p"), F.lit(False).alias("to_open"), F.when(F.col("l_returnflag") == "A", "unknown").when(F.col("l_returnflag") == "R", "none").alias("to_state"),
     )

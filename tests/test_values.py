@@ -1,10 +1,12 @@
 """Values, folding, tokens, hierarchies with diamonds and cycles, incremental upkeep."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T, values as V
 from tessella.operators import hierarchy as H
+from tessella.plans import catalog
 from tessella.streaming import maintenance as M
 
 
@@ -99,3 +101,16 @@ def test_page_data_of_structured_pages(spark):
     got = {r.page_id: r for r in T.extract_page_data(df, ["article", "video"], "a-").collect()}
     assert got[1].page_json == ['{"@type": "Person"}', "\n[1]\n"] and got[1].class_values == ["a-x", "a-y"] and got[1].has_article and not got[1].has_video
     assert got[2].page_json is None and got[3].page_json == [] and got[3].class_values == []
+
+
+def test_intervals_of_odd_rows_are_those_of_their_sql(spark, tmp_path):
+    """Lines without a quantity, a line number or a known flag, and quantities that are no number."""
+    rows = [(i, flag, q, n) for i, (flag, q, n) in enumerate((f, q, n) for f in ("N", "R", "A", "X", None) for q in (None, 7.0, float("nan"), -2.0) for n in (None, 1, 3))]
+    spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_quantity double, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.execute(f"CREATE TABLE want AS {catalog.oracle_sql()['interval_windows']}")
+    catalog.queries()["interval_windows"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/got")
+    got = f"SELECT doc_id, lo, hi, hi_incl, kind FROM '{tmp_path}/got/*.parquet'"
+    for a, b in (("FROM want", got), (got, "FROM want")):
+        assert con.execute(f"{a} EXCEPT ALL {b}").fetchall() == []
