@@ -1,5 +1,6 @@
 """What must not grow with the tables: rows of one value in one task, small tables that are sent whole, rows that nothing asks for."""
 
+import duckdb
 import pytest
 
 from tessella.operators import hierarchy as H, quality as V, textsearch as I
@@ -72,3 +73,17 @@ def test_sub_claims_are_counted_with_one_shuffle_of_claims(spark):
 def test_embed_deep_makes_only_the_claims_it_needs(spark):
     shown = plan(catalog.queries()["embed_deep"](spark, DIR))
     assert "o_totalprice" not in shown and "l_quantity" not in shown
+
+
+def test_no_row_is_made_for_each_place_of_a_text(spark, tmp_path):
+    """Texts are counted where they are read and once; documents of several texts, short texts and odd characters as in SQL."""
+    texts = ["the cat of the house and the dog", "le chat de la maison et le chien", "THE \U0001F600\U0001F600 cat é́ of the", "", None, "x", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "le chat de la maison and the dog of"]
+    rows = [(i % 13, t, ["en", "fr", "en", "fr", None, "xx"][i % 6]) for i, t in enumerate(texts * 4)] + [(40 + i, t * 3, "en" if i % 2 else "fr") for i, t in enumerate(texts[:2])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalog.queries()["route_language"](spark, str(tmp_path))
+    want = con.execute(catalog.oracle_sql()["route_language"]).fetchall()
+    assert sorted(map(tuple, df.select("doc_id", "lang").collect())) == sorted(want) and {x for _, x in want} > {"und"}
+    shown = plan(df)
+    assert "Generate" not in shown and shown.count("MapInArrow") == 2  # its documents, and again those of several texts
