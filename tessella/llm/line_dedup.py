@@ -83,8 +83,9 @@ def _units(df: DataFrame, id_col: str, text: str, min_tokens: int) -> DataFrame:
     return parts.select("id", "line", "seg", F.xxhash64("m").alias("x"), F.hash("m").alias("y"))
 
 
-def _rebuilt(lines: Column, cuts: Column) -> Column:
-    """The text of lines without the sentences of cuts, (line, segs) by line; a line that keeps no token goes.
+def _rebuilt(lines: Column, cuts: Column, at: Column) -> Column:
+    """The text of lines without the sentences of cuts, (line, segs) by line; a line that keeps no token goes. at are the lines of cuts:
+    taken from cuts for each of them, they would be the square of their number.
 
     Runs of untouched lines are taken as slices and indices are subtracted by array_except, so the work is that of the text's length.
     """
@@ -99,7 +100,7 @@ def _rebuilt(lines: Column, cuts: Column) -> Column:
         return F.when(F.array_contains(cut["segs"], -1), F.expr("CAST(array() AS array<string>)")).otherwise(F.filter(made, lambda x: F.btrim(x, F.lit(SPACES)) != ""))
 
     def piece(cut, k):
-        before = F.when(k == 0, F.lit(-1)).otherwise(F.get(cuts["line"], k - 1))
+        before = F.when(k == 0, F.lit(-1)).otherwise(F.get(at, k - 1))
         return F.concat(F.slice(lines, before + 2, cut["line"] - before - 1), line(cut))
 
     last = F.element_at(cuts, -1)["line"]
@@ -125,7 +126,9 @@ def cut_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     joined = joined.withColumn("__cut", F.filter("__cut", lambda c: c["line"] < F.size("__lines")))
     joined = joined.withColumn("__some", F.coalesce(F.size("__cut"), F.lit(0)) > 0)
     joined = joined.withColumns({"__lines": F.when(F.col("__some"), F.col("__lines")), "__cut": F.when(F.col("__some"), F.col("__cut"))})
-    joined = joined.withColumn("__new", _rebuilt(F.col("__lines"), F.col("__cut")))
+    joined = joined.withColumn("__at", F.col("__cut.line"))
+    # made by a generator: as a projection, a condition on kept that is moved below it would make the text again, lines split for each cut
+    joined = joined.select("*", F.explode(F.array(_rebuilt(F.col("__lines"), F.col("__cut"), F.col("__at")))).alias("__new"))
     out = joined.withColumns({
         "__text": F.when(F.col("__some"), F.col("__new")).otherwise(was),
         "__kept": kept & (~F.col("__some") | (F.btrim("__new", F.lit(SPACES)) != "")),

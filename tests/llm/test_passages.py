@@ -46,3 +46,14 @@ def test_columns_named_like_those_made_inside(spark):
     for r in line_dedup.cut_passages(line_dedup.clean(extra)).collect():
         assert [r[c] for c in names] == list(range(len(names)))
         assert all(r[c] == plain[r.doc_id][c] for c in plain[r.doc_id].__fields__)
+
+
+def test_cleaned_texts_are_made_once(spark):
+    """A condition on kept must not make the text again below the projection that makes it."""
+    text = "\n".join(f"the word {chr(97 + k)} stands in this line. and another sentence of six words. {k}" for k in range(26))
+    df = spark.createDataFrame([(1, text), (2, text + "\nx"), (3, None), (4, "own words of this one document only.")], "doc_id long, text string")
+    out = line_dedup.cut_passages(line_dedup.clean(df)).where("kept")
+    shown = out._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("array_join(concat(flatten(") == 1 and "Generate explode(array(array_join(" in shown
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[2] == "x" and got[3] is None and got[4] == "own words of this one document only." and got[1].startswith("the word a stands")
